@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from episodica.llm import quality
+from episodica.llm import mixing, quality
 
 QUERIES = {
+    "op4_source_mix": mixing.op4_source_mix,
     "op7_quality_rules": quality.op7_quality_rules,
 }
 ORACLE_SQL = {
+    "op4_source_mix": mixing.OP4_SQL,
     "op7_quality_rules": quality.OP7_SQL,
 }
