@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from episodica.llm import mixing, quality
+from episodica.llm import mixing, quality, token_ids
 
 QUERIES = {
     "op4_source_mix": mixing.op4_source_mix,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op10_token_ids": token_ids.op10_token_ids,
 }
 ORACLE_SQL = {
     "op4_source_mix": mixing.OP4_SQL,
