@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from episodica.llm import chat, mixing, quality, token_ids, warc
+from episodica.llm import chat, licenses, mixing, quality, simhash, token_ids, warc
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_source_mix": mixing.op4_source_mix,
+    "op6_simhash_components": simhash.op6_simhash_components,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_warc_round_trip": warc.op8_warc_round_trip,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_token_ids": token_ids.op10_token_ids,
 }
 ORACLE_SQL = {
@@ -16,4 +18,5 @@ ORACLE_SQL = {
     "op4_source_mix": mixing.OP4_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_warc_round_trip": warc.OP8_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
 }
