@@ -19,9 +19,12 @@ empty table gives no rows. Memory is bounded by one Arrow batch, a block and the
 from __future__ import annotations
 
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,12 @@ BLOCK_IDS = 8192
 READ_IDS = 1 << 19
 END_ID = 2
 
-#: Words remembered by a worker, and the longest word that is remembered.
-MEMO_WORDS, MEMO_BYTES = 400_000, 48
+#: Documents encoded at once; words of a generation of the memo, and the longest that it keeps.
+ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 500, 400_000, 48
+
+#: Marks that a word may end in, and the test for words that normalisation leaves alone.
+CLOSING = b".,!?;:%$*#&|"
+PLAIN_WORD = re.compile(rb"[a-z]+").fullmatch
 
 
 def id_bits(vocabulary: int) -> int:
@@ -67,37 +74,70 @@ def unpack(data: bytes, bits: int) -> np.ndarray:
 class WordEncoder:
     """Encodes whole texts through a memo of words.
 
-    For tokenizers that never join characters across ASCII white space and drop it, the ids of a
-    text are those of its white-space-separated words in turn.
+    For tokenizers that lower-case, drop white space and never join characters across it, the ids of
+    a text are those of its white-space-separated words in turn, in lower case or not. Punctuation
+    behind a letter starts a new piece, so a word and its closing marks are remembered apart. Words
+    of a to z alone reach the model as they are. The memo has two generations of ``MEMO_WORDS``
+    words, so frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str, width: int, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype = Tokenizer.from_file(path), f"<u{width}"
-        self.end = np.array([end_id], self.dtype).tobytes()
+        self.tokenizer, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+        self.model = self.tokenizer.model
+        self.end = array(self.code, [end_id]).tobytes()
         self.memo: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """The packed ids of words."""
-        order = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in order], add_special_tokens=False)
-        return {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(order, found, strict=True)}
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian ids of a text with the end id."""
-        words = (text or "").encode().split()
-        if new := {w for w in words if w not in self.memo}:
-            fresh = self.learn(new)
-            if len(self.memo) + len(fresh) > MEMO_WORDS:
-                self.memo = {w: self.memo[w] for w in {*words} - new}
-            if len(fresh) > MEMO_WORDS or any(len(w) > MEMO_BYTES for w in fresh):
-                own = self.memo | fresh
-                self.memo |= {w: i for w, i in fresh.items() if len(w) <= MEMO_BYTES and len(fresh) <= MEMO_WORDS}
-                return b"".join([own[w] for w in words]) + self.end
-            self.memo |= fresh
-        return b"".join(map(self.memo.__getitem__, words)) + self.end
+        self.older: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Add words to the memo."""
+        plain = [w for w in words if PLAIN_WORD(w)]
+        for word in plain:
+            self.memo[word] = array(self.code, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
+        rest = list(words.difference(plain))
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        for word, encoding in zip(rest, found, strict=True):
+            self.memo[word] = array(self.code, encoding.ids).tobytes()
+
+    def prepare(self, texts: list[list[bytes]]) -> None:
+        """Make sure that the memo has every word of the texts."""
+        new, split = set().union(*texts) - self.memo.keys(), {}
+        unknown: set[bytes] = set()
+        for word in new:
+            if (ids := self.older.get(word)) is not None:
+                self.memo[word] = ids
+                continue
+            core = word.rstrip(CLOSING)
+            parts = (word,)
+            if core and len(core) < len(word) and (97 <= core[-1] <= 122 or core.decode()[-1].isalpha()):
+                parts = split[word] = (core, word[len(core) :])
+            for part in parts:
+                if part not in self.memo:
+                    if (ids := self.older.get(part)) is not None:
+                        self.memo[part] = ids
+                    else:
+                        unknown.add(part)
+        self.learn(unknown)
+        for word, (core, marks) in split.items():
+            self.memo[word] = self.memo[core] + self.memo[marks]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian ids of texts, each with the end id."""
+        data = [(t or "").encode() for t in texts]
+        parts = [(d if b"<|" in d else d.lower()).split() for d in data]  # bytes: ASCII white space and letters only
+        self.prepare(parts)
+        out = [b"".join(map(self.memo.__getitem__, words)) + self.end for words in parts]
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = {w: i for w, i in self.memo.items() if len(w) <= MEMO_BYTES}, {}
+        return out
+
+
+@cache
+def worker_encoder(path: str, width: int, end_id: int) -> WordEncoder:
+    """The encoder that all tasks of a Python worker share."""
+    return WordEncoder(path, width, end_id)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
@@ -105,11 +145,11 @@ def encode_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: i
     width = 2 if id_bits(vocabulary) <= 16 else 4
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, width, end_id)
+        encoder = worker_encoder(tokenizer, width, end_id)
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
-                ids = pa.array([encoder.encode(t.as_py()) for t in part.column(1)], pa.binary())
+            for at in range(0, len(batch), ENCODE_DOCS):
+                part = batch.slice(at, ENCODE_DOCS)
+                ids = pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     ordered = (
