@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from episodica.llm import chat, licenses, mixing, quality, simhash, token_ids, warc
+from episodica.llm import chat, decontaminate, licenses, mixing, quality, simhash, token_ids, warc
 
 QUERIES = {
     "op3_chat_format": chat.op3_chat_format,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_warc_round_trip": warc.op8_warc_round_trip,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op3_chat_format": chat.OP3_SQL,
     "op4_source_mix": mixing.OP4_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
     "op7_quality_rules": quality.OP7_SQL,
     "op8_warc_round_trip": warc.OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,

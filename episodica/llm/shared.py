@@ -52,6 +52,15 @@ def words(text: Column) -> Column:
     return F.filter(parts, lambda w: w != "")
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row.
+
+    Catalyst may merge a plain projection into the lambdas that use it, which would then compute it
+    for every element; a generator of one row is not merged.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")
