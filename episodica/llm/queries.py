@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from episodica.llm import chat, decontaminate, html, licenses, mixing, quality, simhash, token_ids, warc
+from episodica.llm import chat, decontaminate, html, licenses, mixing, quality, simhash, suffix_dedup, token_ids, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_html_main_text": html.op2_html_main_text,
     "op3_chat_format": chat.op3_chat_format,
     "op4_source_mix": mixing.op4_source_mix,
