@@ -43,8 +43,9 @@ def source_targets(sources: DataFrame) -> DataFrame:
     """``source_null, source_key, source_size`` with each source's ``target``, in one row per source.
 
     Targets are ``min(EPOCHS * size, level * weight)`` at the water level where they add up to
-    ``SHARE`` of all words: with sources ordered by ``EPOCHS * size / weight``, the level follows
-    from the first source that the level does not reach.
+    ``SHARE`` of all words. With sources ordered by ``EPOCHS * size / weight`` and all before one
+    capped, the level that the rest would share rises up to the first source that it does not cap
+    and falls behind it, so the greatest is the water level.
     """
     rank = F.row_number().over(W.orderBy("source_null", "source_key")) - 1
     weights = F.array(*[F.lit(w) for w in WEIGHTS])
@@ -60,7 +61,7 @@ def source_targets(sources: DataFrame) -> DataFrame:
             "open": F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)),
         }
     ).withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open"))
-    reached = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(all_rows)
+    reached = F.max("level").over(all_rows)
     return levels.select(
         "source_null",
         "source_key",
@@ -221,7 +222,7 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size,
          least(({EPOCHS} * source_size)::DOUBLE,
-               weight * min(CASE WHEN level <= {EPOCHS} * source_size / weight THEN level END) OVER ()) AS target
+               weight * max(level) OVER ()) AS target
   FROM l
 ), q AS (
   SELECT doc_id, size, source_size, target,
