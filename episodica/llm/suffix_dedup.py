@@ -17,7 +17,8 @@ construction are taken to that depth:
 * Compare adjacent prefixes. Equal names sort together; each string is compared byte by byte with
   the first of its neighbours, and all but the first are marked.
 
-A name with more than ``HOT`` samples is dealt out by a salt; strings that are first within their
+Texts that an earlier document has whole are settled by a hash and take no further part. A name with
+more than ``HOT`` samples is dealt out by a salt; strings that are first within their
 salt meet again by full name. So no task holds a hot group, and nothing is collected.
 
 Null texts are empty. Rows that repeat a document id and its text are one document; rows that
@@ -35,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.llm.shared import written
 from episodica.sources.tables import table
 
 #: Fixed value of the contract.
@@ -340,22 +342,41 @@ def _removal_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def copies(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Key columns, ``start, stop``: whole texts that an earlier document has as well.
+
+    Every byte of such a text is covered by an earlier string, and any string in it starts earlier
+    still in the first copy. Hashes are aggregated map-side; hot ones Spark can split in the join.
+    """
+    hashed = docs.select(F.struct(*keys).alias("key"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("stop"))
+    first = hashed.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = hashed.where(F.col("stop") >= LENGTH).join(first.select("sha", "first"), "sha").where("key > first")
+    return later.select("key.*", F.lit(0).cast("long").alias("start"), "stop")
+
+
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``, an array of ``(start, stop)`` byte spans that repeat earlier text, or null."""
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    """``docs`` with ``spans``, an array of ``(start, stop)`` byte spans that repeat earlier text, or null.
+
+    All steps that need texts read one exchange of them by key.
+    """
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text": F.coalesce(F.col(text), F.lit(""))})
     keys, unique = ["__id"], keyed
     if not keyed.groupBy("__id").count().where("count > 1").isEmpty():
-        keyed = keyed.withColumn("__hash", F.xxhash64(text))
+        keyed = keyed.withColumn("__hash", F.xxhash64("text"))
         keys = ["__id", "__hash"]
         unique = keyed.dropDuplicates(keys)
-    spans = repeated_spans(unique.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("text")), keys)
+    narrow = unique.select(*keys, "text")
+    whole = written(copies(narrow, keys), "copies")
+    spans = repeated_spans(narrow.join(whole.select(*keys), keys, "left_anti"), keys).unionByName(whole)
     by_doc = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return keyed.join(by_doc, keys, "left").drop(*keys)
+    return keyed.join(by_doc, keys, "left").drop("__hash")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """Per row: bytes, removed bytes, maximal removed runs, and the SHA-256 of what is left."""
-    found = with_spans(docs.select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    found = with_spans(docs.select("doc_id", "text")).select(
+        F.when(F.col("__id") != NO_ID, F.col("__id")).alias("doc_id"), "text", "spans"
+    )
     return found.mapInArrow(_removal_batches, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
