@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from episodica.plans import window_queries
+
+_MODULES = (window_queries,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
 FLAGSHIP = "temporal_window_obs"
