@@ -18,9 +18,11 @@ empty table gives no rows. Memory is bounded by one Arrow batch, a block and the
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,11 +45,15 @@ READ_IDS = 1 << 19
 END_ID = 2
 
 #: Documents encoded at once; words of a generation of the memo, and the longest that it keeps.
-ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 500, 400_000, 48
+ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 500, 250_000, 48
 
-#: Marks that a word may end in, and the test for words that normalisation leaves alone.
+#: Marks that a word may end in, and letters whose lower case depends on more than themselves.
 CLOSING = b".,!?;:%$*#&|"
-PLAIN_WORD = re.compile(rb"[a-z]+").fullmatch
+SPECIAL_CASING = re.compile("[\u03a3\u0130]")
+
+#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def id_bits(vocabulary: int) -> int:
@@ -55,6 +61,15 @@ def id_bits(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def vocabulary_size(tokenizer: str) -> int:
+    """One more than the largest id of a tokenizer's file; the driver does not load the tokenizer."""
+    with open(tokenizer, encoding="utf-8") as source:
+        spec = json.load(source)
+    vocabulary = spec["model"]["vocab"]
+    known = vocabulary.values() if isinstance(vocabulary, dict) else range(len(vocabulary))
+    return 1 + max([*known, *(t["id"] for t in spec.get("added_tokens", ()))])
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids (a multiple of 8 of them) in ``bits`` bits each, least significant bit first."""
     if bits in (8, 16, 32):
@@ -71,14 +86,20 @@ def unpack(data: bytes, bits: int) -> np.ndarray:
     return lanes.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-class WordEncoder:
-    """Encodes whole texts through a memo of words.
+def ends_in_letter(text: str) -> bool:
+    """Is the last character a letter, also once it is normalised and in lower case?"""
+    return unicodedata.normalize("NFC", text[-1])[-1].lower().isalpha()
+
+
+class WordEncoder(dict):
+    """Ids of words, learnt as they are asked for, and of whole texts by their words.
 
     For tokenizers that lower-case, drop white space and never join characters across it, the ids of
     a text are those of its white-space-separated words in turn, in lower case or not. Punctuation
-    behind a letter starts a new piece, so a word and its closing marks are remembered apart. Words
-    of a to z alone reach the model as they are. The memo has two generations of ``MEMO_WORDS``
-    words, so frequent words stay and memory is bounded.
+    behind a letter starts a new piece, so a word and its closing marks are learnt apart. Words of
+    lower-case letters alone reach the model as they are, each byte as its character of the
+    byte-level alphabet. Words asked for again are kept through the next generation of
+    ``MEMO_WORDS`` words, so frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str, width: int, end_id: int):
@@ -88,49 +109,38 @@ class WordEncoder:
         self.tokenizer, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
         self.model = self.tokenizer.model
         self.end = array(self.code, [end_id]).tobytes()
-        self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        """Add words to the memo."""
-        plain = [w for w in words if PLAIN_WORD(w)]
-        for word in plain:
-            self.memo[word] = array(self.code, [t.id for t in self.model.tokenize(word.decode())]).tobytes()
-        rest = list(words.difference(plain))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        for word, encoding in zip(rest, found, strict=True):
-            self.memo[word] = array(self.code, encoding.ids).tobytes()
-
-    def prepare(self, texts: list[list[bytes]]) -> None:
-        """Make sure that the memo has every word of the texts."""
-        new, split = set().union(*texts) - self.memo.keys(), {}
-        unknown: set[bytes] = set()
-        for word in new:
-            if (ids := self.older.get(word)) is not None:
-                self.memo[word] = ids
-                continue
+    def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.older.get(word)) is None:
             core = word.rstrip(CLOSING)
-            parts = (word,)
-            if core and len(core) < len(word) and (97 <= core[-1] <= 122 or core.decode()[-1].isalpha()):
-                parts = split[word] = (core, word[len(core) :])
-            for part in parts:
-                if part not in self.memo:
-                    if (ids := self.older.get(part)) is not None:
-                        self.memo[part] = ids
-                    else:
-                        unknown.add(part)
-        self.learn(unknown)
-        for word, (core, marks) in split.items():
-            self.memo[word] = self.memo[core] + self.memo[marks]
+            if core and len(core) < len(word) and (97 <= core[-1] <= 122 or ends_in_letter(core.decode())):
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = array(self.code, self.learn(word)).tobytes()
+        if len(word) <= MEMO_BYTES:
+            self[word] = ids
+        return ids
+
+    def learn(self, word: bytes) -> list[int]:
+        """The ids of a word that was not met before."""
+        text = word.decode()
+        if not text.isascii() and text.isalpha() and not SPECIAL_CASING.search(text):
+            text = text.lower()
+        if text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
+            return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]
+        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of texts, each with the end id."""
-        data = [(t or "").encode() for t in texts]
-        parts = [(d if b"<|" in d else d.lower()).split() for d in data]  # bytes: ASCII white space and letters only
-        self.prepare(parts)
-        out = [b"".join(map(self.memo.__getitem__, words)) + self.end for words in parts]
-        if len(self.memo) > MEMO_WORDS:
-            self.older, self.memo = {w: i for w, i in self.memo.items() if len(w) <= MEMO_BYTES}, {}
+        out = []
+        for text in texts:
+            data = (text or "").encode()
+            words = (data if b"<|" in data else data.lower()).split()  # bytes: ASCII white space and letters only
+            out.append(b"".join(map(self.__getitem__, words)) + self.end)
+            if len(self) > MEMO_WORDS:
+                self.older = dict(self)
+                self.clear()
         return out
 
 
@@ -314,9 +324,7 @@ class TokenIdSource(DataSource):
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode whole texts and write them as shards under ``path`` in ascending order of ``doc_id``."""
-    from tokenizers import Tokenizer
-
-    vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()
+    vocabulary = vocabulary_size(tokenizer)
     docs.sparkSession.dataSource.register(TokenIdSource)
     encoded = encode_documents(docs, tokenizer, vocabulary, end_id)
     encoded.write.format("token_ids").option("path", path).option("bits", str(id_bits(vocabulary))).mode("append").save()

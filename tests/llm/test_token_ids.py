@@ -60,3 +60,17 @@ def test_random_access(spark, sf):
         shard = token_ids.Shard(store, f"{folder}/{entry['name']}")
         for k in range(0, shard.n_docs, 7):
             assert (shard.document(k) == read[int(shard.doc_ids[k])]).all()
+
+
+def test_words_of_all_alphabets():
+    """The memo of words against the tokenizer on whole texts of random characters."""
+    import random
+
+    rng = random.Random(1)
+    pool = [chr(c) for c in (*range(32, 0x530), 0x1E9E, 0x149, 0x1F0, 0x4E2D, 0x1D400, 0xFB01, 0xFB1D, 0xA0, 0x2028, 0x85, 0x1C, 0x212A, 0x212B)]
+    ends = ["", ".", ",", "!!", "'s", "%%%", "...", "'", "|"]
+    words = ["".join(rng.choice(pool) for _ in range(rng.randrange(1, 5))) + rng.choice(ends) for _ in range(20_000)]
+    texts = [" ".join(words[k : k + 20]) for k in range(0, len(words), 20)]
+    encoder = token_ids.WordEncoder(token_ids.default_tokenizer(), 2, token_ids.END_ID)
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert encoder.encode(texts) == [np.array([*e.ids, token_ids.END_ID], "<u2").tobytes() for e in want]
