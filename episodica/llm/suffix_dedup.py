@@ -43,9 +43,9 @@ from episodica.sources.tables import table
 LENGTH = 100
 
 WORD, TRIPLE = 8, 24
-HOT = 20_000
+HOT = 4_000
 PIECE = 1 << 16
-MERGE_BYTES = 4 << 20
+MERGE_BYTES = 2 << 20
 LOW = np.uint64((1 << 18) - 1)
 NO_ID = -(1 << 63)
 OUT_ROWS = 100_000
@@ -282,14 +282,16 @@ def _settle_batches(keys: list[str]):
     return settled
 
 
-def repeated_spans(docs: DataFrame, keys: list[str]) -> DataFrame:
+def repeated_spans(docs: DataFrame, keys: list[str], settled: DataFrame) -> DataFrame:
     """Spans of bytes that repeat earlier ones: key columns, ``start, stop``; they may overlap.
 
-    ``docs`` has the key columns, bigints that are unique and in order of what is earlier, and ``text``.
+    ``docs`` has the key columns, bigints that are unique and in order of what is earlier, and
+    ``text``. Documents whose keys are in ``settled`` are left out.
     """
     key_schema = ", ".join(f"{k} bigint" for k in keys)
-    sampled = docs.select(*keys, "text").mapInArrow(_sample_batches, f"name int, place bigint, {key_schema}")
-    often = sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
+    sampled = docs.join(settled, keys, "left_anti").select(*keys, "text").mapInArrow(_sample_batches, f"name int, place bigint, {key_schema}")
+    # Written, so that the join reads a plain table and Spark can split its hot names.
+    often = written(sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
     salts = F.ceil(F.col("n") / HOT).cast("int")
     runs = (
         sampled.join(often, "name")
@@ -354,27 +356,36 @@ def copies(docs: DataFrame, keys: list[str]) -> DataFrame:
     return later.select("key.*", F.lit(0).cast("long").alias("start"), "stop")
 
 
-def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``, an array of ``(start, stop)`` byte spans that repeat earlier text, or null.
-
-    All steps that need texts read one exchange of them by key.
-    """
+def _keyed(docs: DataFrame, text: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with key columns, unique but for repeated rows, and whole texts in ``text``."""
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "text": F.coalesce(F.col(text), F.lit(""))})
-    keys, unique = ["__id"], keyed
-    if not keyed.groupBy("__id").count().where("count > 1").isEmpty():
-        keyed = keyed.withColumn("__hash", F.xxhash64("text"))
-        keys = ["__id", "__hash"]
-        unique = keyed.dropDuplicates(keys)
-    narrow = unique.select(*keys, "text")
-    whole = written(copies(narrow, keys), "copies")
-    spans = repeated_spans(narrow.join(whole.select(*keys), keys, "left_anti"), keys).unionByName(whole)
-    by_doc = spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return keyed.join(by_doc, keys, "left").drop("__hash")
+    if keyed.groupBy("__id").count().where("count > 1").isEmpty():
+        return keyed, ["__id"]
+    return keyed.withColumn("__hash", F.xxhash64("text")), ["__id", "__hash"]
+
+
+def _spans_by_key(narrow: DataFrame, keys: list[str]) -> DataFrame:
+    """Key columns and ``spans`` for texts ``(keys, text)`` with spans that repeat earlier text."""
+    unique = narrow if len(keys) == 1 else narrow.dropDuplicates(keys)
+    whole = written(copies(unique, keys), "copies")
+    spans = repeated_spans(unique, keys, whole.select(*keys)).unionByName(whole)
+    return spans.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+
+def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``spans``, an array of ``(start, stop)`` byte spans that repeat earlier text, or null."""
+    keyed, keys = _keyed(docs.drop("spans"), text)
+    return keyed.join(_spans_by_key(keyed.select(*keys, "text"), keys), keys, "left").drop(*keys)
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
-    """Per row: bytes, removed bytes, maximal removed runs, and the SHA-256 of what is left."""
-    found = with_spans(docs.select("doc_id", "text")).select(
+    """Per row: bytes, removed bytes, maximal removed runs, and the SHA-256 of what is left.
+
+    Cutting out contexts and removing spans read one exchange of the texts by key.
+    """
+    keyed, keys = _keyed(docs.select("doc_id", "text"), "text")
+    narrow = keyed.select(*keys, "text")
+    found = narrow.join(_spans_by_key(narrow, keys), keys, "left").select(
         F.when(F.col("__id") != NO_ID, F.col("__id")).alias("doc_id"), "text", "spans"
     )
     return found.mapInArrow(_removal_batches, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from episodica.llm import suffix_dedup
@@ -44,14 +45,32 @@ def made_rows():
     return [*rows, (60, rows[20][1]), (61, rows[20][1] + "tail"), (62, passage * 3)]
 
 
+@pytest.mark.parametrize("piece", [1, 150, 1000])
+def test_pieces_give_the_same_samples(monkeypatch, piece):
+    """Every string of a text has the same sample however the text is cut."""
+    text = "".join(t or "" for _, t in made_rows())[:5000]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["k", "text"])
+
+    def strings():
+        found = {}
+        for out in suffix_dedup._sample_batches(iter([batch])):
+            for name, place in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+                for k in range(place >> 8 & 255):
+                    found[(place >> 16) + k] = (name, (place >> 16) + (place & 255))
+        return found
+
+    whole = strings()
+    assert sorted(whole) == list(range(len(text.encode()) - 99))
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    assert strings() == whole
+
+
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 3])
-@pytest.mark.parametrize("piece", [suffix_dedup.PIECE, 150])
-def test_made_texts(spark, monkeypatch, hot, piece):
-    """Periodic texts, overlaps, copies; hot names are salted, texts cut into small pieces."""
+def test_made_texts(spark, monkeypatch, hot):
+    """Periodic texts, overlaps, copies; hot names are salted."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     rows = made_rows()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "text").repartition(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted((tuple(r) for r in suffix_dedup.removal_digests(docs).collect()), key=str) == slow(rows)
 
 
@@ -65,3 +84,5 @@ def test_repeated_ids_nulls_and_empty_table(spark):
     assert suffix_dedup.removal_digests(docs.limit(0)).collect() == []
     wide = docs.withColumns({"spans": docs.doc_id, "runs": docs.doc_id})
     assert suffix_dedup.removal_digests(wide).count() == 4
+    assert suffix_dedup.with_spans(wide).columns == ["doc_id", "text", "runs", "spans"]
+    assert suffix_dedup.with_spans(wide).count() == 4
