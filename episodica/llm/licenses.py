@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from episodica.llm.shared import SPACE_CLASS
 from episodica.sources.tables import table
 
-SENTENCE_END = rf"[.!?;:]+(?:[{SPACE_CLASS}]+|$)|\n[\x20\t]*\n[{SPACE_CLASS}]*"
+SENTENCE_END = rf"[.!?;]+(?:[{SPACE_CLASS}]+|$)|:[\x20\t]*\n[{SPACE_CLASS}]*|\n[\x20\t]*\n[{SPACE_CLASS}]*"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 #: Normalised sentences of public licences and licence notices, by identifier.

@@ -3,8 +3,10 @@
 Writing: each partition writes ``.warc.gz`` files of at most ``max_bytes``, one gzip member per
 record, whose ``sl`` extra field holds the member's length. The commit lists them in a manifest.
 
-Reading: one input partition per file. Filters on columns taken from headers are pushed down. A
-record's headers are inflated first; when they fail the filters, or payloads are not wanted, the
+Reading: one input partition per file. Predicates on record type, address and other headers are given
+to the reader as options, or, with ``pushdown``, taken over from Spark's filters on the columns that
+come from headers. (Spark 4.1 goes on using the filters of a DataFrame's first query in later ones
+without filters, so ``pushdown`` is for a DataFrame of one query, and off by default.) A record's headers are inflated first; when they fail the predicates, or payloads are not wanted, the
 reader seeks to the next member instead of inflating the rest. Archives of others, without the
 extra field or with plain members, are read as well, at the price of inflating what is skipped.
 
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import struct
 import zlib
@@ -220,15 +223,8 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, payloads: bool):
-        self.path, self.payloads, self.wanted = path, payloads, []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith, IsNotNull)) and f.attribute[0] in HEADER_COLUMNS and len(f.attribute) == 1:
-                self.wanted.append(f)
-            else:
-                yield f
+    def __init__(self, path: str, payloads: bool, wanted: dict):
+        self.path, self.payloads, self.given, self.wanted = path, payloads, wanted, []
 
     def partitions(self) -> list[_File]:
         listed = files.read_manifest(self.path)
@@ -239,8 +235,14 @@ class _Reader(DataSourceReader):
             listed = {"files": sorted(names)}
         return [_File(n) for n in listed["files"]] or [_File("")]
 
-    def passes(self, values: dict[str, str | None]) -> bool:
-        """Do the values from a record's headers pass all pushed filters?"""
+    def passes(self, headers: dict[str, str], values: dict[str, str | None]) -> bool:
+        """Do a record's headers pass the given predicates and all pushed filters?"""
+        if self.given["record_types"] is not None and values["record_type"] not in self.given["record_types"]:
+            return False
+        if self.given["url_prefix"] is not None and not (values["url"] or "").startswith(self.given["url_prefix"]):
+            return False
+        if any(headers.get(name) != value for name, value in self.given["headers"].items()):
+            return False
         for f in self.wanted:
             value = values[f.attribute[0]]
             good = value is not None and (
@@ -266,7 +268,7 @@ class _Reader(DataSourceReader):
                     "url": None if url is None else plain_value(url),
                     "payload_digest": None if digest is None else digest.removeprefix("sha1:"),
                 }
-                if not self.passes(values):
+                if not self.passes(headers, values):
                     continue
                 payload = None
                 n_bytes = headers.get("X-Payload-Length")
@@ -284,8 +286,17 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
 
+class _PushdownReader(_Reader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, (EqualTo, In, StringStartsWith, IsNotNull)) and f.attribute[0] in HEADER_COLUMNS and len(f.attribute) == 1:
+                self.wanted.append(f)
+            else:
+                yield f
+
+
 class WarcSource(DataSource):
-    """Format ``warc``. Options: ``path``; reading: ``payloads`` (true); writing: ``max_bytes``."""
+    """Format ``warc``. Options: ``path``; reading: ``payloads`` (true), ``predicates`` (JSON); writing: ``max_bytes``."""
 
     @classmethod
     def name(cls) -> str:
@@ -295,7 +306,9 @@ class WarcSource(DataSource):
         return "record_type string, page_id bigint, url string, payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"], self.options.get("payloads", "true") == "true")
+        wanted = {"record_types": None, "url_prefix": None, "headers": {}} | json.loads(self.options.get("predicates", "{}"))
+        kind = _PushdownReader if self.options.get("pushdown") == "true" else _Reader
+        return kind(self.options["path"], self.options.get("payloads", "true") == "true", wanted)
 
     def writer(self, schema, overwrite: bool) -> _Writer:
         return _Writer(self.options["path"], int(self.options.get("max_bytes", MAX_FILE_BYTES)))
@@ -326,11 +339,22 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     records.write.format("warc").option("path", path).mode("append").save()
 
 
-def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Records of a folder of WARC files; filters on ``HEADER_COLUMNS`` are pushed down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_warc(
+    spark: SparkSession,
+    path: str,
+    record_types: list[str] | None = None,
+    url_prefix: str | None = None,
+    headers: dict[str, str] | None = None,
+    payloads: bool = True,
+    pushdown: bool = False,
+) -> DataFrame:
+    """Records of a folder of WARC files: of some types, under a prefix, with some headers, or all."""
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("path", path).option("payloads", str(payloads).lower()).load()
+    predicates = json.dumps({"record_types": record_types, "url_prefix": url_prefix, "headers": headers or {}})
+    reader = spark.read.format("warc").option("path", path).option("payloads", str(payloads).lower())
+    return reader.option("predicates", predicates).option("pushdown", str(pushdown).lower()).load()
 
 
 def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
