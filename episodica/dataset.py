@@ -16,6 +16,8 @@ from episodica.operators.selection import filter_tasks, select_episodes
 from episodica.operators.tubelets import TubeletGrid, tubelets
 from episodica.operators.windows import TemporalWindow, batch_windows, default_window
 from episodica.sources.tabular import tabular_steps
+from episodica.sources.tasks import DEFAULT_FPS
+from episodica.sources.video import video_steps
 
 CACHE_VARIABLE = "EPISODICA_CACHE"
 
@@ -45,6 +47,12 @@ class TrajectoryDataset:
         made = cls(tabular_steps(rows if tasks is None else filter_tasks(rows, tasks)), **options)
         return made if episodes is None else made.select(episodes)
 
+    @classmethod
+    def from_video(cls, tasks: DataFrame, cameras: dict[str, DataFrame], chosen: list[int] | None = None, **options) -> TrajectoryDataset:
+        """From tasks ``(task_id, episode_id, task_name)`` and frames by camera; of the chosen tasks."""
+        wanted = tasks if chosen is None else tasks.where(F.col("task_id").isin(chosen))
+        return cls(to_transitions(video_steps(wanted, cameras), list(cameras)), **{"control_frequency": DEFAULT_FPS} | options)
+
     def select(self, episodes: list[int]) -> TrajectoryDataset:
         """The given episodes; a ``ValueError`` names those that there are not."""
         spark = self.steps.sparkSession

@@ -5,11 +5,12 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from episodica.functions.tensors import to_uint8
+from episodica.functions.tensors import PAD, mosaic_size, to_uint8
 
 
 def channel_ranges(values: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -37,6 +38,64 @@ def nth_episode(steps: DataFrame, ordinal: int) -> DataFrame:
     return steps.join(F.broadcast(placed.select("episode_id")), "episode_id", "left_semi")
 
 
+def gray_frames(clips: DataFrame, key: str, height: int, width: int, channels: int) -> DataFrame:
+    """``clip, t, gray``: frames of flat HWC tensors, each channel's range stretched, averaged to gray."""
+    long = clips.select("clip", "t", F.posexplode(key).alias("k", "value")).withColumn("channel", F.col("k") % channels)
+    codes = normalised(long).withColumn("pixel", F.floor(F.col("k") / channels))
+    pixels = codes.groupBy("clip", "t", "pixel").agg(F.floor(F.avg("code")).cast("int").alias("gray"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pixel", "gray"))), lambda p: p["gray"])
+    return pixels.groupBy("clip", "t").agg(ordered.alias("gray")).where(F.size("gray") == height * width)
+
+
+def _images(clips: DataFrame, key: str, height: int, width: int, channels: int) -> dict[int, dict[int, np.ndarray]]:
+    found: dict[int, dict[int, np.ndarray]] = {}
+    for row in gray_frames(clips, key, height, width, channels).orderBy("clip", "t").toLocalIterator():
+        found.setdefault(row.clip, {})[row.t] = np.array(row.gray, np.uint8).reshape(height, width)
+    if not found:
+        raise ValueError(f"no frames of {height} x {width} x {channels} in {key}")
+    return found
+
+
+def batch_gif(clips: DataFrame, key: str, height: int, width: int, channels: int = 3, fps: float = 4.0) -> bytes:
+    """All clips of a batch ``(clip, t, key)`` side by side in a nearly square mosaic."""
+    images = list(_images(clips, key, height, width, channels).values())
+    full_height, full_width = mosaic_size(len(images), height, width)
+    columns = (full_width + PAD) // (width + PAD)
+    frames = []
+    for t in sorted(images[0]):
+        canvas = np.zeros((full_height, full_width), np.uint8)
+        for n, clip in enumerate(images):
+            y, x = n // columns * (height + PAD), n % columns * (width + PAD)
+            canvas[y : y + height, x : x + width] = clip.get(t, 0)
+        frames.append(canvas.tobytes())
+    return gif(frames, full_width, full_height, fps)
+
+
+def item_gif(clips: DataFrame, clip: int, key: str, height: int, width: int, channels: int = 3, fps: float = 4.0) -> bytes:
+    """One clip of a batch; an ``IndexError`` where there is none of that number."""
+    own = clips.where(F.col("clip") == clip)
+    if own.isEmpty():
+        raise IndexError(f"no clip {clip}")
+    return batch_gif(own, key, height, width, channels, fps)
+
+
+def episode_gif(steps: DataFrame, keys: dict[str, tuple[int, int, int]], ordinal: int = 0, fps: float = 4.0) -> bytes:
+    """A whole episode: its image leaves, of the given shapes, side by side, padded to the highest."""
+    if not keys:
+        raise ValueError("no image leaves are given")
+    own = nth_episode(steps, ordinal).withColumn("clip", F.lit(0)).withColumnRenamed("step", "t")
+    strips = [(shape, _images(own, key, *shape)[0]) for key, shape in keys.items()]
+    top, full_width = max(s[0] for s, _ in strips), sum(s[1] for s, _ in strips)
+    frames = []
+    for t in sorted(strips[0][1]):
+        canvas, x = np.zeros((top, full_width), np.uint8), 0
+        for (height, width, _), images in strips:
+            canvas[:height, x : x + width] = images.get(t, 0)
+            x += width
+        frames.append(canvas.tobytes())
+    return gif(frames, full_width, top, fps)
+
+
 def gif(frames: Iterable[bytes], width: int, height: int, fps: float = 4.0) -> bytes:
     """Gray frames, one byte a pixel, as an animated GIF without compression of its own."""
     palette = b"".join(bytes((g, g, g)) for g in range(256))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,6 +73,16 @@ def extend_episode_map(known: DataFrame, episodes: DataFrame) -> DataFrame:
     return known.unionByName(fresh.crossJoin(F.broadcast(top)).select((F.col("global_id") + F.col("top") + 1).alias("global_id"), "task_id", "episode_id"))
 
 
+def save_episode_map(known: DataFrame, path: str) -> None:
+    """Keep a map for later sessions."""
+    known.write.mode("overwrite").parquet(path)
+
+
+def load_episode_map(spark: SparkSession, path: str) -> DataFrame:
+    """A map that was kept."""
+    return spark.read.schema("global_id bigint, task_id bigint, episode_id bigint").parquet(path)
+
+
 def archives_of(paths: DataFrame) -> DataFrame:
     """``task_id, first, last, position, path`` of archives named ``.../{task}/{first}-{last}.tar``."""
     part = lambda k: F.regexp_extract("path", r"(?:^|/)(\d+)/(\d+)-(\d+)\.tar$", k)

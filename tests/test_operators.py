@@ -155,6 +155,56 @@ def test_decoding_archives(spark):
     assert selection.align_cameras(cameras).count() == 2
 
 
+def test_video_episodes(spark, tmp_path):
+    rows = [(100, e, "fold") for e in (1000, 1010, 1020)] + [(200, e, "stack") for e in (2000, 2010)]
+    known = spark.createDataFrame(rows, "task_id long, episode_id long, task_name string")
+    frames = {c: known.select("episode_id", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("step"), F.lit(b"\0" * 192).alias("value")) for c, n in (("head_color", 4), ("hand_left_color", 5))}
+    data = TrajectoryDataset.from_video(known, frames)
+    assert (data.num_episodes(), data.num_steps(), data.control_frequency) == (5, 25, 30.0)
+    assert TrajectoryDataset.from_video(known, frames, [100]).num_steps() == 15
+    assert data.image_keys() == ["next/observation/hand_left_color", "next/observation/head_color", "observation/hand_left_color", "observation/head_color"]
+    first = data.steps.where("episode_id = 3 and step = 4").first()
+    assert (list(first["action"]), first.done, first.language_instruction) == ([0.0], True, "stack")
+    kept = selection.global_episode_map(known)
+    selection.save_episode_map(kept, str(tmp_path / "map"))
+    assert sorted(selection.load_episode_map(spark, str(tmp_path / "map")).collect()) == sorted(kept.collect())
+
+
+def test_reading_videos(spark, tmp_path):
+    import io
+    import tarfile
+
+    from episodica.sources.video import read_videos
+
+    (tmp_path / "observations/100").mkdir(parents=True)
+    for name, episode in (("1000-1010.tar", 1000), ("1011-1020.tar", 1011)):
+        with tarfile.open(tmp_path / "observations/100" / name, "w") as archive:
+            info = tarfile.TarInfo(f"{episode}/videos/head_color.mp4")
+            info.size = 3
+            archive.addfile(info, io.BytesIO(b"abc"))
+    known = spark.createDataFrame([(100, 1000, "fold")], "task_id long, episode_id long, task_name string")
+    paths = spark.createDataFrame([(0, "observations/100/1000-1010.tar"), (1, "observations/100/1011-1020.tar")], "position long, path string")
+    steps = read_videos(known, paths, str(tmp_path), lambda v: [bytes([b]) for b in v], ("head_color",))
+    assert sorted((r.episode_id, r.step, bytes(r.head_color)) for r in steps.collect()) == [(0, 0, b"a"), (0, 1, b"b"), (0, 2, b"c")]
+
+
+def test_rendering(spark):
+    clips = spark.range(3).select(F.col("id").alias("clip"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("t")).withColumn(
+        "image", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: (k * 3 + F.col("clip") * 50 + F.col("t") * 7).cast("double"))
+    )
+    made = render.batch_gif(clips, "image", 4, 5, 3)
+    assert made[6:10] == bytes([14, 0, 12, 0]) and made.count(b"\x21\xf9\x04") == 2
+    assert render.item_gif(clips, 1, "image", 4, 5, 3)[6:10] == bytes([5, 0, 4, 0])
+    with pytest.raises(IndexError):
+        render.item_gif(clips, 9, "image", 4, 5, 3)
+    steps = clips.select(F.col("clip").alias("episode_id"), F.col("t").alias("step"), "image")
+    assert render.episode_gif(steps, {"image": (4, 5, 3)}, -1)[6:10] == bytes([5, 0, 4, 0])
+    with pytest.raises(IndexError):
+        render.episode_gif(steps, {"image": (4, 5, 3)}, 3)
+    with pytest.raises(ValueError, match="no frames"):
+        render.batch_gif(clips, "image", 9, 9, 3)
+
+
 def test_skills(spark):
     segments = spark.createDataFrame([(1, 0, 0, 5, "a"), (1, 1, 3, 8, "b"), (1, 2, None, 20, "c")], "episode_id long, position int, start_frame int, end_frame int, action_text string")
     frames = spark.range(25).select(F.lit(1).cast("long").alias("episode_id"), F.col("id").cast("int").alias("step"))
