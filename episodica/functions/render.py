@@ -7,10 +7,10 @@ from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from episodica.functions.tensors import PAD, mosaic_size, to_uint8
+from episodica.operators.episodes import episode_ordinals
 
 
 def channel_ranges(values: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -30,12 +30,11 @@ def normalised(values: DataFrame) -> DataFrame:
 
 def nth_episode(steps: DataFrame, ordinal: int) -> DataFrame:
     """Steps of the episode at a place in order of ids, from the end when negative."""
-    ids = steps.select("episode_id").distinct()
-    count = ids.count()
+    places = episode_ordinals(steps)
+    count = places.count()
     if not -count <= ordinal < count:
         raise IndexError(f"episode {ordinal} of {count}")
-    placed = ids.withColumn("n", F.row_number().over(W.orderBy("episode_id")) - 1).where(F.col("n") == ordinal % count)
-    return steps.join(F.broadcast(placed.select("episode_id")), "episode_id", "left_semi")
+    return steps.join(F.broadcast(places.where(F.col("ordinal") == ordinal % count)), "episode_id", "left_semi")
 
 
 def gray_frames(clips: DataFrame, key: str, height: int, width: int, channels: int) -> DataFrame:

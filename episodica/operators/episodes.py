@@ -64,14 +64,28 @@ def runs(steps: DataFrame, value: str) -> DataFrame:
 
 
 def last_run_index(rows: DataFrame, episode: str, position: str) -> DataFrame:
-    """Episode index of rows in stored order: an id that recurs later is known by its last run."""
-    order = W.orderBy(position)
-    changed = (~F.col(episode).eqNullSafe(F.lag(episode).over(order))).cast("int")
-    numbered = rows.withColumn("__run", F.sum(changed).over(order))
-    by_run = numbered.groupBy("__run", episode).agg(F.min(position).alias("ep_start"), F.count("*").alias("ep_len"))
-    return by_run.groupBy(F.col(episode).alias("episode_id")).agg(
-        F.max_by("ep_start", "__run").alias("ep_start"), F.max_by("ep_len", "__run").alias("ep_len")
-    )
+    """Episode index of rows in stored order: an id that recurs later is known by its last run.
+
+    A row begins a run if the row before it has another id; rows are compared within ranges of
+    positions, and the first of a range with the last of the range before.
+    """
+    cut = rows.select(F.col(episode).alias("episode_id"), F.col(position).alias("__at"), F.floor(F.col(position) / ID_RANGE).alias("__range"))
+    ends = cut.groupBy("__range").agg(F.max_by(F.struct("episode_id"), "__at").alias("end"))
+    ends = ends.select("__range", F.lag("end").over(W.orderBy("__range")).alias("__end"))
+    inside = W.partitionBy("__range").orderBy("__at")
+    before = F.coalesce(F.lag(F.struct("episode_id")).over(inside), F.col("__end"))
+    begins = cut.join(ends, "__range").withColumn("__new", ~F.struct("episode_id").eqNullSafe(before))
+    starts = begins.where("__new").groupBy("episode_id").agg(F.max("__at").alias("ep_start"))
+    return cut.join(starts, "episode_id").where("__at >= ep_start").groupBy("episode_id", "ep_start").agg(F.count("*").alias("ep_len"))
+
+
+def episode_ordinals(steps: DataFrame) -> DataFrame:
+    """``episode_id, ordinal``: the place of every episode in order of ids, counted by ranges of ids."""
+    ids = steps.select("episode_id").distinct().withColumn("__range", F.floor(F.col("episode_id") / ID_RANGE))
+    ranges = ids.groupBy("__range").agg(F.count("*").alias("n"))
+    before = ranges.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(*_BEFORE)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(W.partitionBy("__range").orderBy("episode_id")) - 1
+    return ids.join(before, "__range").select("episode_id", (F.col("__before") + inside).alias("ordinal"))
 
 
 def explode_episodes(episodes: DataFrame, steps: str = "steps", episode: str = "episode_id") -> DataFrame:
