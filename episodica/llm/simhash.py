@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -207,42 +206,41 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return items, label[items]
 
 
-def _tile_edges(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _tile_edges(frame: pa.Table) -> pa.RecordBatch:
     """Stars of the linked fingerprints of whole tiles, sorted by tile."""
-    values = frame["fp"].to_numpy().view(np.uint64)
-    tile = (frame[["key", "a", "b"]].diff().fillna(1) != 0).any(axis=1).to_numpy().cumsum()
-    first = np.flatnonzero(np.diff(tile, prepend=0))
-    sizes = np.diff(np.append(first, len(frame)))
-    small = np.repeat(sizes <= SMALL_GROUP, sizes)
+    key, a, b, chunk, signed = (frame.column(c).to_numpy() for c in ("key", "a", "b", "chunk", "fp"))
+    values = signed.view(np.uint64)
+    new = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    tile, first = new.cumsum(), np.flatnonzero(new)
+    sizes = np.diff(np.append(first, len(values)))
     links = []
-    where = np.flatnonzero(small)
+    where = np.flatnonzero(np.repeat(sizes <= SMALL_GROUP, sizes))
     if len(where):
         i, j = close_in_small_groups(values[where], tile[where])
         links.append((where[i], where[j]))
     for start, size in zip(first[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
-        part, chunk = values[start : start + size], frame["chunk"].to_numpy()[start : start + size]
-        left, right = np.flatnonzero(chunk == chunk.min()), np.flatnonzero(chunk == chunk.max())
+        part, side = values[start : start + size], chunk[start : start + size]
+        left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
         i, j = close_in_block(part[left], part[right])
         links.append((start + left[i], start + right[j]))
-    a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*links, strict=True))
-    items, roots = stars(len(values), a, b)
-    return values[items].view(np.int64), values[roots].view(np.int64)
+    items, roots = stars(len(values), *(np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*links, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(signed[items]), pa.array(signed[roots])], names=["u", "v"])
 
 
-def _tiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest = None
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        last = frame[["key", "a", "b"]].iloc[-1] if len(frame) else None
-        open_tile = (frame[["key", "a", "b"]] == last).all(axis=1) if len(frame) else []
-        rest = frame[open_tile].reset_index(drop=True) if len(frame) else None
-        whole = frame[~open_tile].reset_index(drop=True) if len(frame) else frame
-        if len(whole):
-            u, v = _tile_edges(whole)
-            yield pd.DataFrame({"u": u, "v": v})
-    if rest is not None and len(rest):
-        u, v = _tile_edges(rest)
-        yield pd.DataFrame({"u": u, "v": v})
+    for batch in batches:
+        if not len(batch):
+            continue
+        frame = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        last = [frame.column(c).to_numpy() for c in ("key", "a", "b")]
+        whole = np.flatnonzero((last[0] != last[0][-1]) | (last[1] != last[1][-1]) | (last[2] != last[2][-1]))
+        cut = int(whole[-1]) + 1 if len(whole) else 0  # the last tile may go on
+        if cut:
+            yield _tile_edges(frame.slice(0, cut))
+        rest = frame.slice(cut)
+    if rest is not None:
+        yield _tile_edges(rest)
 
 
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -260,7 +258,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         .select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "fp")
     )
     dealt = tiles.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "chunk")
-    return dealt.mapInPandas(_tiles, "u bigint, v bigint")
+    return dealt.mapInArrow(_tiles, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
