@@ -178,12 +178,12 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
         F.sort_array(F.collect_list(F.struct("epoch", "words_taken"))).alias("servings")
     )
     per_key = per_row.groupBy(F.col("doc_id").alias("__id"), F.col("__row").alias("__key")).agg(
-        F.sort_array(F.collect_list("servings"), asc=False).alias("copies")
+        F.sort_array(F.collect_list("servings"), asc=False).alias("__copies")
     )
     kept = (
         numbered.withColumn("__copy", F.row_number().over(same.orderBy("doc_id")) - 1)
         .join(per_key, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")))
-        .withColumn("__serving", F.explode(F.coalesce(F.get("copies", F.col("__copy")), F.array())))
+        .withColumn("__serving", F.explode(F.coalesce(F.get("__copies", F.col("__copy")), F.array())))
     )
     n = F.col("__serving.words_taken")
     cut = F.when(n < word_count(F.col(text)), first_words(F.col(text), n)).otherwise(F.col(text))

@@ -59,8 +59,10 @@ def test_edge_cases(spark):
     assert sum(r.words_taken for r in mixing.mix(docs).collect()) == 6
     assert mixing.mix(docs.limit(0)).collect() == []
     assert mixing.mix(docs.where("size(split(text, 'q')) < 0 or text = ''")).where("words_taken > 0").collect() == []
-    out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns and [r.text for r in out.collect()].count("x y") == 3
+    names = ("size", "target", "copies", "servings", "words_taken", "epoch", "u", "source_key")
+    wide = docs.withColumns({c: F.lit("clash") for c in names})
+    out = mixing.mixed_documents(wide)
+    assert out.columns == wide.columns and [r.text for r in out.collect()].count("x y") == 3
 
 
 def test_first_words(spark):
