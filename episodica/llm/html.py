@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.llm.shared import in_small_batches
 from episodica.sources.tables import table
 
 #: Elements of HTML by what they do to text.
@@ -198,7 +199,7 @@ def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     others = [c for c in pages.columns if c not in (html, "text")]
     narrow = pages.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{html}`").alias("__html"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__html")
-    return narrow.mapInArrow(_extract_batches, f"{schema}, text string" if schema else "text string")
+    return in_small_batches(narrow).mapInArrow(_extract_batches, f"{schema}, text string" if schema else "text string")
 
 
 def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.llm.shared import in_small_batches
 from episodica.sources.tables import table
 
 #: Fixed values of the contract.
@@ -116,7 +117,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
         [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__text"]
         + [f"{m} bigint" for m in MEASURES]
     )
-    measured = narrow.mapInArrow(_measure_batches, schema)
+    measured = in_small_batches(narrow).mapInArrow(_measure_batches, schema)
     return measured.withColumn("failed", failure_bits())
 
 

@@ -46,6 +46,21 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of whole texts that Spark hands to Python at once.
+ARROW_ROWS = 2000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to pass at most ``ARROW_ROWS`` rows to Python at once.
+
+    The default of 10,000 whole texts is held several times over, by the executor and its workers.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(rows, str(ARROW_ROWS))
+    return df
+
+
 def words(text: Column) -> Column:
     """Words of a text by ``WORD_REGEX``; null gives an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), rf"[{SPACE_CLASS}]+")

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from episodica.llm.components import component_roots
-from episodica.llm.shared import written
+from episodica.llm.shared import in_small_batches, written
 from episodica.sources.tables import table
 
 #: Fixed values of the contract.
@@ -75,7 +75,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint of every row as a signed 64-bit integer."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
+    return in_small_batches(narrow).mapInArrow(_fingerprint_batches, "doc_id bigint, fp bigint")
 
 
 def block_bounds(radius: int = RADIUS) -> list[tuple[int, int]]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import written
+from episodica.llm.shared import in_small_batches, written
 from episodica.sources.tables import table
 
 #: Fixed value of the contract.
@@ -384,7 +384,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     Cutting out contexts and removing spans read one exchange of the texts by key.
     """
     keyed, keys = _keyed(docs.select("doc_id", "text"), "text")
-    narrow = keyed.select(*keys, "text")
+    narrow = in_small_batches(keyed.select(*keys, "text"))
     found = narrow.join(_spans_by_key(narrow, keys), keys, "left").select(
         F.when(F.col("__id") != NO_ID, F.col("__id")).alias("doc_id"), "text", "spans"
     )

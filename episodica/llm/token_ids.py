@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from episodica.llm import files
-from episodica.llm.shared import fresh_path
+from episodica.llm.shared import fresh_path, in_small_batches
 from episodica.sources.tables import table
 
 MAGIC = b"EPTOKID1"
@@ -168,7 +168,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: i
         .sortWithinPartitions("doc_id", "__tie")
         .select("doc_id", "text")
     )
-    return ordered.mapInArrow(encoded, "doc_id bigint, ids binary")
+    return in_small_batches(ordered).mapInArrow(encoded, "doc_id bigint, ids binary")
 
 
 @dataclass

@@ -46,7 +46,7 @@ from pyspark.sql.datasource import (
 )
 
 from episodica.llm import files
-from episodica.llm.shared import fresh_path
+from episodica.llm.shared import fresh_path, in_small_batches
 from episodica.sources.tables import table
 
 #: Fixed values of the WARC format.
@@ -327,7 +327,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     )
     first = hashed.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"))
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    records = hashed.join(first, ["sha1", "payload_bytes"]).select(
+    records = in_small_batches(hashed).join(first, ["sha1", "payload_bytes"]).select(
         F.when(revisit, "revisit").otherwise("response").alias("kind"),
         "page_id",
         "url",
