@@ -348,11 +348,12 @@ def copies(docs: DataFrame, keys: list[str]) -> DataFrame:
     """Key columns, ``start, stop``: whole texts that an earlier document has as well.
 
     Every byte of such a text is covered by an earlier string, and any string in it starts earlier
-    still in the first copy. Hashes are aggregated map-side; hot ones Spark can split in the join.
+    still in the first copy. Hashes that occur twice are aggregated map-side and written, so that
+    Spark can split hot ones in the join.
     """
     hashed = docs.select(F.struct(*keys).alias("key"), F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("stop"))
     first = hashed.groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = hashed.where(F.col("stop") >= LENGTH).join(first.select("sha", "first"), "sha").where("key > first")
+    later = hashed.where(F.col("stop") >= LENGTH).join(written(first.select("sha", "first"), "first"), "sha").where("key > first")
     return later.select("key.*", F.lit(0).cast("long").alias("start"), "stop")
 
 
