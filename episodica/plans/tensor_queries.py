@@ -40,8 +40,8 @@ def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentile_range_per_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First and last percentile of every channel, linear between values."""
-    return channel_ranges(_channels(spark, sf_dir))
+    """First and last percentile of every channel, linear between values, to nine places."""
+    return channel_ranges(_channels(spark, sf_dir)).select("channel", *[F.round(c, 9).alias(c) for c in ("lo", "hi")])
 
 
 def normalize_uint8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ _SHAPES = "(VALUES " + ", ".join(f"([{', '.join(map(str, s))}])" for s in SHAPES
 ORACLE_SQL = {
     "hwc_to_chw": f"""SELECT vec_id, (c * {HEIGHT * WIDTH} + p)::INT AS k, embedding[p * {CHANNELS} + c + 1]::DOUBLE AS value
 FROM embeddings, (SELECT unnest(range({CHANNELS})) AS c), (SELECT unnest(range({HEIGHT * WIDTH})) AS p)""",
-    "percentile_range_per_channel": f"WITH {_CHANNEL} SELECT channel, quantile_cont(value, 0.01::DOUBLE) AS lo, quantile_cont(value, 0.99::DOUBLE) AS hi FROM c GROUP BY channel",
+    "percentile_range_per_channel": f"WITH {_CHANNEL} SELECT channel, round(quantile_cont(value, 0.01::DOUBLE), 9) AS lo, round(quantile_cont(value, 0.99::DOUBLE), 9) AS hi FROM c GROUP BY channel",
     "normalize_uint8": f"""WITH {_CHANNEL}, r AS (SELECT channel, quantile_cont(value, 0.01::DOUBLE) AS lo, quantile_cont(value, 0.99::DOUBLE) AS hi FROM c GROUP BY channel)
 SELECT vec_id, k, {_CODE} FROM c JOIN r USING (channel)""",
     "normalize_uint8_events": f"""WITH r AS (SELECT event_type, quantile_cont(value, 0.01::DOUBLE) AS lo, quantile_cont(value, 0.99::DOUBLE) AS hi FROM events GROUP BY event_type)
