@@ -46,7 +46,7 @@ from pyspark.sql.datasource import (
 )
 
 from episodica.llm import files
-from episodica.llm.shared import fresh_path, in_small_batches
+from episodica.llm.shared import fresh_path, in_small_batches, written
 from episodica.sources.tables import table
 
 #: Fixed values of the WARC format.
@@ -317,17 +317,18 @@ class WarcSource(DataSource):
 def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """Write ``page_id, url, html`` as WARC files under ``path``; equal payloads are stored once.
 
-    The smallest id of each payload is aggregated map-side first; pages then join it on the digest,
-    a join whose hot digests Spark can split.
+    The smallest id of each payload that occurs twice is aggregated map-side and written; pages then
+    join that table on the digest, a join whose hot digests Spark can split.
     """
     pages.sparkSession.dataSource.register(WarcSource)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     hashed = pages.select(F.col("page_id").cast("long"), "url", html.alias("payload")).withColumns(
         {"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")}
     )
-    first = hashed.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"))
+    twice = hashed.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    first = written(twice.select("sha1", "payload_bytes", "first_id"), "payloads")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    records = in_small_batches(hashed).join(first, ["sha1", "payload_bytes"]).select(
+    records = in_small_batches(hashed).join(first, ["sha1", "payload_bytes"], "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("kind"),
         "page_id",
         "url",
