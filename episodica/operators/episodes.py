@@ -29,10 +29,12 @@ def number_steps(rows: DataFrame, episode: str, order: list[str], stretch: Colum
     before = F.coalesce(F.sum("n").over(W.partitionBy("episode_id").orderBy("__stretch").rowsBetween(*_BEFORE)), F.lit(0))
     placed = sizes.withColumns({"__before": before, "ep_len": F.sum("n").over(W.partitionBy("episode_id")).cast("int")}).drop("n")
     inside = W.partitionBy("episode_id", "__stretch").orderBy(*order)
+    placed = placed.withColumnsRenamed({"episode_id": "__episode", "__stretch": "__part"})
+    same = F.col("episode_id").eqNullSafe(F.col("__episode")) & F.col("__stretch").eqNullSafe(F.col("__part"))
     return (
-        cut.join(placed, ["episode_id", "__stretch"])
+        cut.join(placed, same)
         .withColumn("step", (F.row_number().over(inside) - 1 + F.col("__before")).cast("int"))
-        .drop("__stretch", "__before")
+        .drop("__stretch", "__before", "__episode", "__part")
     )
 
 

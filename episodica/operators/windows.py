@@ -82,17 +82,26 @@ def gather(steps: DataFrame, anchors: DataFrame, offsets: list[int], leaves: lis
 def batch_windows(steps: DataFrame, anchors: DataFrame, window: TemporalWindow, rows: int | None = None) -> DataFrame:
     """One row per anchor ``b``: an array per windowed leaf and, as ``next/<leaf>``, its mirrored one.
 
-    Leaves without a window keep their value at the anchor.
+    Leaves without a window keep their value at the anchor. One join gathers the steps of all
+    windows, each leaf only at the offsets that its windows have.
     """
     windowed = list(window.delta_timestamps)
     plain = [c for c in steps.columns if c not in (*windowed, "episode_id", "step", "ep_len")]
-    out = gather(steps, anchors, [0], plain, rows).select("b", "episode_id", "anchor_step", *plain)
-    for leaf in windowed:
-        for name, offsets in ((leaf, window.offsets(leaf)), (f"next/{leaf}", window.next_offsets(leaf))):
-            found = gather(steps, anchors, offsets, [leaf], rows)
-            ordered = F.transform(F.array_sort(F.collect_list(F.struct("t", F.col(leaf).alias("v")))), lambda x: x["v"])
-            out = out.join(found.groupBy("b").agg(ordered.alias(name)), "b")
-    return out
+    wanted = {leaf: {*window.offsets(leaf), *window.next_offsets(leaf)} for leaf in windowed} | {leaf: {0} for leaf in plain}
+    offsets = sorted({0}.union(*wanted.values()))
+    place = {k: t for t, k in enumerate(offsets)}
+
+    def values(leaf: str) -> Column:
+        at = F.col("t").isin([place[k] for k in wanted[leaf]])
+        return F.map_from_entries(F.collect_list(F.when(at, F.struct("t", F.col(f"`{leaf}`"))))).alias(f"__{leaf}")
+
+    found = gather(steps, anchors, offsets, [*windowed, *plain], rows)
+    by_anchor = found.groupBy("b", "episode_id", "anchor_step").agg(*[values(leaf) for leaf in (*windowed, *plain)])
+    pick = lambda leaf, ks: F.array(*[F.col(f"`__{leaf}`")[place[k]] for k in ks])
+    arrays = [
+        x for leaf in windowed for x in (pick(leaf, window.offsets(leaf)).alias(leaf), pick(leaf, window.next_offsets(leaf)).alias(f"next/{leaf}"))
+    ]
+    return by_anchor.select("b", "episode_id", "anchor_step", *[F.col(f"`__{leaf}`")[place[0]].alias(leaf) for leaf in plain], *arrays)
 
 
 def default_window(leaves: list[str], given: dict[str, list[float]], frequency: float = 10.0) -> TemporalWindow:

@@ -79,7 +79,7 @@ def episode_rle_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every event in all episodes."""
-    return episodes.with_flat_index(event_steps(spark, sf_dir)).select("event_id", "flat_index")
+    return episodes.with_flat_index(event_steps(spark, sf_dir, by_day=True)).select("event_id", "flat_index")
 
 
 def num_episodes_total_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,12 @@ from episodica.sources.tables import table
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users as episodes of their events; days part the numbering of long ones."""
-    return number_steps(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.to_date("ts"))
+def event_steps(spark: SparkSession, sf_dir: str, by_day: bool = False) -> DataFrame:
+    """Users as episodes of their events; ``by_day`` numbers long ones day by day.
+
+    Windows need an episode's rows together anyway and share one exchange with plain numbering.
+    """
+    return number_steps(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], F.to_date("ts") if by_day else None)
 
 
 def line_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from episodica.operators import sampling
 from episodica.operators.episodes import with_flat_index
 from episodica.operators.tubelets import TubeletGrid, tubelet_steps, tubelets
-from episodica.operators.windows import TemporalWindow, gather, long_windows
+from episodica.operators.windows import TemporalWindow, batch_windows, long_windows
 from episodica.plans.steps import EVENTS_SQL, LINES_SQL, TURNS_SQL, event_steps, line_steps, turn_steps
 
 HISTORY = TemporalWindow({"value": [-0.2, -0.1, 0.0]})
@@ -102,14 +102,11 @@ def hash_anchor_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_anchor_window_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drawn batch with its history and its mirrored next window."""
-    steps = event_steps(spark, sf_dir)
-    anchors = sampling.draw_anchors(steps, DRAWS, SEED)
-    found = [
-        gather(steps, anchors, offsets, ["value"], DRAWS).select("b", "t", F.col("value").alias(name))
-        for name, offsets in (("value", HISTORY.offsets("value")), ("next_value", HISTORY.next_offsets("value")))
-    ]
-    return found[0].join(found[1], ["b", "t"])
+    """A drawn batch with its history and its mirrored next window, in long form."""
+    steps = event_steps(spark, sf_dir, by_day=True)
+    batch = batch_windows(steps.select("episode_id", "step", "ep_len", "value"), sampling.draw_anchors(steps, DRAWS, SEED), HISTORY, DRAWS)
+    pairs = F.arrays_zip(F.col("value"), F.col("`next/value`").alias("next_value"))
+    return batch.select("b", F.posexplode(pairs).alias("t", "w")).select("b", "t", "w.*")
 
 
 def hash_episode_pick_tubelet(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +118,7 @@ def hash_episode_pick_tubelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_by_flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps at every hundredth place of all episodes laid end to end."""
-    flat = with_flat_index(event_steps(spark, sf_dir))
+    flat = with_flat_index(event_steps(spark, sf_dir, by_day=True))
     return flat.where(F.col("flat_index") % 100 == 0).select("flat_index", "episode_id", "step", "event_id")
 
 
