@@ -1,8 +1,9 @@
 """Connected components of a graph of edges, by alternating star contractions.
 
-Each round joins every edge with the smallest neighbour of its ends (a map-side aggregated minimum
-and a join whose hot keys Spark can split), and is written to the shared folder, so that lineage
-stays short and no edge list reaches the driver. Edges shrink to one star per component.
+Each round joins every edge with the smallest neighbour of its ends. Minima are aggregated map-side
+and written, so that the join reads plain tables and Spark can split hot nodes; edges are written
+too, so lineage stays short and no edge list reaches the driver. Edges shrink to one star per
+component.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the node's smallest neighbour, or itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -46,7 +47,8 @@ def component_roots(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        edges = written(_small_star(_large_star(edges)), "edges")
+        edges = written(_large_star(edges), "edges")
+        edges = written(_small_star(edges), "edges")
         previous, state = state, _state(edges)
         if state == previous:
             break
