@@ -104,8 +104,8 @@ def missing_episodes_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selection_key_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Key of the set of users with an odd number."""
-    users = table(spark, sf_dir, "events").where("user_id % 2 = 1").select(F.col("user_id").alias("episode_id"))
+    """Key of the set of all users."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"))
     return selection.selection_key(users)
 
 
@@ -116,8 +116,8 @@ def task_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_and_episode_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same within some users."""
-    wanted = spark.range(1, 40, 3).withColumnRenamed("id", "episode_id")
+    """The same within the users that are customers of a segment."""
+    wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("episode_id"))
     rows = table(spark, sf_dir, "events").withColumnsRenamed({"event_type": "task", "user_id": "episode_id"})
     return selection.select_episodes(selection.filter_tasks(rows, ["click", "error"]), wanted).select("event_id", "episode_id", "task")
 
@@ -169,9 +169,12 @@ def global_episode_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def episode_map_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A map of some nations, extended by the others."""
-    known = selection.global_episode_map(_tasks(spark, sf_dir).where("task_id % 2 = 0"))
-    return selection.extend_episode_map(known, _tasks(spark, sf_dir))
+    """A map of the nations of one region, extended by the others."""
+    region = table(spark, sf_dir, "region").where("r_name = 'ASIA'")
+    nations = table(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    tasks = _tasks(spark, sf_dir)
+    known = selection.global_episode_map(tasks.join(nations.select(F.col("n_nationkey").alias("task_id")), "task_id", "left_semi"))
+    return selection.extend_episode_map(known, tasks)
 
 
 def tar_range_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,16 +270,17 @@ UNION ALL SELECT count(DISTINCT l_orderkey), count(*), 'lineitem' FROM lineitem"
     "episode_selection_semi": f"WITH {EVENTS_SQL} SELECT episode_id, step, event_id FROM ev WHERE episode_id IN (SELECT user_id FROM events WHERE event_type = 'error')",
     "missing_episodes_anti": "SELECT DISTINCT user_id AS episode_id FROM events WHERE user_id NOT IN (SELECT conv_id FROM conversations)",
     "selection_key_md5": """SELECT substr(md5(string_agg(u::VARCHAR, ',' ORDER BY u)), 1, 16) AS selection_key, count(*) AS n_episodes
-FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 2 = 1)""",
+FROM (SELECT DISTINCT user_id AS u FROM events)""",
     "task_filter": "SELECT event_id, user_id, event_type AS task FROM events WHERE event_type IN ('click', 'error')",
-    "task_and_episode_filter": "SELECT event_id, user_id AS episode_id, event_type AS task FROM events WHERE event_type IN ('click', 'error') AND user_id IN (SELECT unnest(range(1, 40, 3)))",
+    "task_and_episode_filter": "SELECT event_id, user_id AS episode_id, event_type AS task FROM events WHERE event_type IN ('click', 'error') AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     "distinct_episode_ids": "SELECT DISTINCT l_orderkey AS episode_id FROM lineitem",
     "frame_sort_group": f"WITH {LINES_SQL} SELECT episode_id, step, ep_len, l_linenumber, l_partkey, l_extendedprice FROM ln",
     "dot_to_nested_lift_next": """SELECT user_id AS episode_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS step,
   value AS state, event_type AS kind, value AS reward, event_type = 'error' AS is_last, 6::BIGINT AS n_columns FROM events""",
     "drop_string_fields": "SELECT doc_id AS episode_id, n_chars, 'meta' AS leaves FROM documents",
     "global_episode_map": "SELECT row_number() OVER (ORDER BY c_nationkey, c_custkey) - 1 AS global_id, c_nationkey AS task_id, c_custkey AS episode_id FROM customer",
-    "episode_map_extension": "SELECT row_number() OVER (ORDER BY c_nationkey % 2, c_nationkey, c_custkey) - 1 AS global_id, c_nationkey AS task_id, c_custkey AS episode_id FROM customer",
+    "episode_map_extension": """SELECT row_number() OVER (ORDER BY r_name <> 'ASIA', c_nationkey, c_custkey) - 1 AS global_id, c_nationkey AS task_id, c_custkey AS episode_id
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""",
     "tar_range_lookup": """WITH e AS (SELECT DISTINCT p_size AS s, p_partkey // 100 * 100 AS b FROM part)
 SELECT p_size AS task_id, p_partkey AS episode_id,
   arg_min('obs/' || s || '/' || b || '-' || (b + 150) || '.tar', b) AS path

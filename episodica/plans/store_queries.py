@@ -25,11 +25,12 @@ def _fresh(spark: SparkSession, stem: str) -> str:
 
 
 def store_incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd users are stored first, then all: the second build adds the missing ones only."""
+    """Users with a conversation are stored first, then all: the second build adds the missing ones only."""
     steps = event_steps(spark, sf_dir).select("episode_id", "step", "ep_len", "event_id", "value")
     store = EpisodeStore(spark, _fresh(spark, "store"))
     everyone = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"))
-    store.build(steps, everyone.where("episode_id % 2 = 1"), "odd")
+    talking = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode_id"))
+    store.build(steps, talking, "talking")
     store.build(steps, everyone, "rest")
     batches = store.manifest().select("episode_id", "batch", "n_steps")
     return store.read().join(batches, "episode_id").select("episode_id", "step", "event_id", "flat_index", "batch", "n_steps")
@@ -88,7 +89,7 @@ def stripped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (store_incremental_build, stream_ingest, dataset_sample_batch, video_episode_steps, episode_last_run, stripped_names)}
 ORACLE_SQL = {
     "store_incremental_build": f"""WITH {EVENTS_SQL} SELECT episode_id, step, event_id, row_number() OVER (ORDER BY episode_id, step) - 1 AS flat_index,
-  CASE WHEN episode_id % 2 = 1 THEN 'odd' ELSE 'rest' END AS batch, ep_len::BIGINT AS n_steps FROM ev""",
+  CASE WHEN episode_id IN (SELECT conv_id FROM conversations) THEN 'talking' ELSE 'rest' END AS batch, ep_len::BIGINT AS n_steps FROM ev""",
     "stream_ingest": f"WITH {TURNS_SQL} SELECT episode_id, step, role, row_number() OVER (ORDER BY episode_id, step) - 1 AS flat_index FROM tn",
     "dataset_sample_batch": f"""WITH {EVENTS_SQL}, fl AS (SELECT *, row_number() OVER (ORDER BY episode_id, step) - 1 AS flat FROM ev), an AS (
   SELECT b, fl.* FROM (SELECT b, cast(concat('0x', substr(md5(concat('7:', b::VARCHAR)), 1, 15)) AS BIGINT) % (SELECT count(*) FROM ev) AS flat

@@ -10,6 +10,7 @@ from episodica.operators.episodes import with_flat_index
 from episodica.operators.tubelets import TubeletGrid, tubelet_steps, tubelets
 from episodica.operators.windows import TemporalWindow, batch_windows, long_windows
 from episodica.plans.steps import EVENTS_SQL, LINES_SQL, TURNS_SQL, event_steps, line_steps, turn_steps
+from episodica.sources.tables import table
 
 HISTORY = TemporalWindow({"value": [-0.2, -0.1, 0.0]})
 UNSORTED = TemporalWindow({"value": [0.1, -0.3, 0.1]})
@@ -117,9 +118,10 @@ def hash_episode_pick_tubelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_by_flat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps at every hundredth place of all episodes laid end to end."""
+    """Steps at the places in all episodes that another table asks for."""
     flat = with_flat_index(event_steps(spark, sf_dir, by_day=True))
-    return flat.where(F.col("flat_index") % 100 == 0).select("flat_index", "episode_id", "step", "event_id")
+    wanted = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("flat_index"))
+    return flat.join(wanted, "flat_index", "left_semi").select("flat_index", "episode_id", "step", "event_id")
 
 
 _GRID_SQL = f"""g AS (
@@ -175,5 +177,5 @@ SELECT ev.episode_id, clip, t, ev.step, value
 FROM e CROSS JOIN (SELECT unnest(range(3))::INT AS clip) CROSS JOIN (SELECT unnest(range(3))::INT AS t)
 JOIN ev ON ev.episode_id = e.episode_id AND ev.step = least(e.ep_len - 1, round_even(clip * greatest(0, e.ep_len - 5) / 2.0, 0)::INT + 2 * t)""",
     "row_by_flat_index": f"""WITH {EVENTS_SQL}, f AS (SELECT *, row_number() OVER (ORDER BY episode_id, step) - 1 AS flat_index FROM ev)
-SELECT flat_index, episode_id, step, event_id FROM f WHERE flat_index % 100 = 0""",
+SELECT flat_index, episode_id, step, event_id FROM f WHERE flat_index IN (SELECT p_partkey FROM part)""",
 }
