@@ -25,7 +25,6 @@ import struct
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -33,7 +32,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from episodica.llm import files
 from episodica.llm.shared import fresh_path, in_small_batches
@@ -45,7 +43,7 @@ READ_IDS = 1 << 19
 END_ID = 2
 
 #: Documents encoded at once; words of a generation of the memo, and the longest that it keeps.
-ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 500, 250_000, 48
+ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 500, 150_000, 48
 
 #: Marks that a word may end in, and letters whose lower case depends on more than themselves.
 CLOSING = b".,!?;:%$*#&|"
@@ -150,42 +148,26 @@ def worker_encoder(path: str, width: int, end_id: int) -> WordEncoder:
     return WordEncoder(path, width, end_id)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, ids`` in ascending order of id over the partitions; ids of 2 or 4 bytes each."""
-    width = 2 if id_bits(vocabulary) <= 16 else 4
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer, width, end_id)
-        for batch in batches:
-            for at in range(0, len(batch), ENCODE_DOCS):
-                part = batch.slice(at, ENCODE_DOCS)
-                ids = pa.array(encoder.encode(part.column(1).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
-
-    ordered = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("__tie"))
-        .repartitionByRange("doc_id", "__tie")
-        .sortWithinPartitions("doc_id", "__tie")
-        .select("doc_id", "text")
-    )
-    return in_small_batches(ordered).mapInArrow(encoded, "doc_id bigint, ids binary")
+def in_order(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` in ascending order of id over the partitions; equal ids by a hash of the text."""
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("__tie"))
+    return ordered.repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").select("doc_id", "text")
 
 
-@dataclass
-class _Shard(WriterCommitMessage):
-    partition: int
-    name: str | None
-    n_ids: int = 0
-    n_docs: int = 0
+class ShardWriter:
+    """Encodes ``doc_id, text`` and packs the ids; one Python worker does both."""
 
+    def __init__(self, path: str, bits: int, tokenizer: str, end_id: int):
+        self.path, self.bits, self.tokenizer, self.end_id = path, bits, tokenizer, end_id
 
-class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, bits: int):
-        self.path, self.bits = path, bits
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pylist([self.write(batches)])
 
-    def write(self, batches: Iterator[pa.RecordBatch]) -> _Shard:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> dict:
+        """Write a partition as a shard under a name of this attempt."""
         partition = TaskContext.get().partitionId()
-        width = "<u2" if self.bits <= 16 else "<u4"
+        size = 2 if self.bits <= 16 else 4
+        width, encoder = f"<u{size}", worker_encoder(self.tokenizer, size, self.end_id)
         store, path = files.open_store(self.path)
         store.create_dir(path, recursive=True)
         name, docs, counts, nulls, offsets, at, total = files.attempt_name(partition, ".ids"), [], [], [], [], 16, 0
@@ -201,13 +183,11 @@ class _Writer(DataSourceArrowWriter):
                 at += len(data)
                 out.write(data)
 
-            for batch in batches:
-                if not len(batch):
-                    continue
-                column = batch.column(1)
-                docs.append(np.asarray(batch.column(0).fill_null(0)))
-                nulls.append(np.asarray(batch.column(0).is_null(), np.uint8))
-                parts = [np.frombuffer(x.as_buffer(), width) for x in column]
+            for batch in (b.slice(at, ENCODE_DOCS) for b in batches for at in range(0, len(b), ENCODE_DOCS)):
+                # Copies: a view of a column would keep the whole batch with its texts.
+                docs.append(np.array(batch.column(0).fill_null(0)))
+                nulls.append(np.array(batch.column(0).is_null(), np.uint8))
+                parts = [np.frombuffer(x, width) for x in encoder.encode(batch.column(1).to_pylist())]
                 counts.append(np.array([len(p) for p in parts], "<i8"))
                 ids = np.concatenate([rest, *parts])
                 total += len(ids) - len(rest)
@@ -221,18 +201,7 @@ class _Writer(DataSourceArrowWriter):
             for parts, kind in ((docs, "<i8"), (counts, "<i8"), (nulls, "u1"), ([np.array(offsets)], "<u8")):
                 out.write(np.concatenate([np.empty(0, kind), *parts]).astype(kind).tobytes())
             out.write(struct.pack("<QQQQ", total, n_docs, len(offsets), at) + MAGIC)
-        return _Shard(partition, name, total, n_docs)
-
-    def commit(self, messages: list[_Shard | None]) -> None:
-        shards = sorted((m for m in messages if m), key=lambda m: m.partition)
-        entries, before = [], 0
-        for m in shards:
-            entries.append({"name": m.name, "start": before, "n_ids": m.n_ids, "n_docs": m.n_docs})
-            before += m.n_ids
-        files.write_manifest(self.path, {"bits": self.bits, "shards": entries})
-
-    def abort(self, messages: list[_Shard | None]) -> None:
-        files.delete_files(self.path, [m.name for m in messages if m])
+        return {"partition": partition, "name": name, "n_ids": total, "n_docs": n_docs}
 
 
 class Shard:
@@ -266,74 +235,54 @@ class Shard:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-@dataclass
-class _Part(InputPartition):
-    name: str
-    start: int
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[_Part]:
-        shards = files.read_manifest(self.path)["shards"]
-        return [_Part(s["name"], s["start"]) for s in shards if s["n_docs"]] or [_Part("", 0)]
-
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        if not part.name:
-            return
-        store, path = files.open_store(self.path)
-        shard = Shard(store, f"{path}/{part.name}")
-        first = 0
-        while first < shard.n_docs:
-            stop = max(first + 1, int(np.searchsorted(shard.starts, shard.starts[first] + READ_IDS, "right")) - 1)
-            ids = shard.ids(int(shard.starts[first]), int(shard.starts[stop])).astype("<u4")
-            cuts = shard.starts[first : stop + 1] - shard.starts[first]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(shard.doc_ids[first:stop], pa.int64(), mask=shard.nulls[first:stop].astype(bool)),
-                    pa.array(part.start + shard.starts[first:stop]),
-                    pa.array(shard.counts[first:stop]),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                ],
-                names=["doc_id", "start", "n_tokens", "ids"],
-            )
-            first = stop
-
-
-class TokenIdSource(DataSource):
-    """Format ``token_ids``: writes ``doc_id, ids`` and reads ``doc_id, start, n_tokens, ids``.
-
-    Options: ``path``, and for writing ``bits``.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "token_ids"
-
-    def schema(self) -> str:
-        return "doc_id bigint, start bigint, n_tokens bigint, ids binary"
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
-
-    def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"], int(self.options["bits"]))
+def read_shard(store, folder: str, entry: dict) -> Iterator[pa.RecordBatch]:
+    """The documents of a shard of the manifest, about ``READ_IDS`` ids at a time."""
+    shard, first = Shard(store, f"{folder}/{entry['name']}"), 0
+    while first < shard.n_docs:
+        stop = max(first + 1, int(np.searchsorted(shard.starts, shard.starts[first] + READ_IDS, "right")) - 1)
+        ids = shard.ids(int(shard.starts[first]), int(shard.starts[stop])).astype("<u4")
+        cuts = shard.starts[first : stop + 1] - shard.starts[first]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(shard.doc_ids[first:stop], pa.int64(), mask=shard.nulls[first:stop].astype(bool)),
+                pa.array(entry["start"] + shard.starts[first:stop]),
+                pa.array(shard.counts[first:stop]),
+                pa.array([ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            ],
+            names=["doc_id", "start", "n_tokens", "ids"],
+        )
+        first = stop
 
 
 def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode whole texts and write them as shards under ``path`` in ascending order of ``doc_id``."""
-    vocabulary = vocabulary_size(tokenizer)
-    docs.sparkSession.dataSource.register(TokenIdSource)
-    encoded = encode_documents(docs, tokenizer, vocabulary, end_id)
-    encoded.write.format("token_ids").option("path", path).option("bits", str(id_bits(vocabulary))).mode("append").save()
+    bits = id_bits(vocabulary_size(tokenizer))
+    written = in_small_batches(in_order(docs)).mapInArrow(
+        ShardWriter(path, bits, tokenizer, end_id), "partition bigint, name string, n_ids bigint, n_docs bigint"
+    )
+    entries, before = [], 0
+    for shard in sorted(written.collect()):  # one row per shard, of the attempts that succeeded
+        entries.append({"name": shard.name, "start": before, "n_docs": shard.n_docs})
+        before += shard.n_ids
+    files.write_manifest(path, {"bits": bits, "shards": entries})
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of a folder of shards; ``ids`` are little-endian unsigned 32-bit integers."""
-    spark.dataSource.register(TokenIdSource)
-    return spark.read.format("token_ids").option("path", path).load()
+    """``doc_id, start, n_tokens, ids`` of a folder of shards, a task per shard.
+
+    ``ids`` are little-endian unsigned 32-bit integers.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = files.open_store(path)
+        shards = files.read_manifest(path)["shards"]
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from read_shard(store, folder, shards[k])
+
+    n = len(files.read_manifest(path)["shards"])
+    numbers = spark.range(0, n, 1, max(1, n))
+    return numbers.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def default_tokenizer() -> str:
