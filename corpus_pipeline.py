@@ -1,6 +1,6 @@
 """From raw documents to token ids: five stages, each written as Parquet and read by the next.
 
-Quality rules, SimHash near-deduplication, benchmark decontamination, mixing of sources and token
+Quality rules, near-deduplication by five-word similarity, benchmark decontamination, mixing of sources and token
 ids. Every stage but the last returns the columns of ``documents``.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import decontaminate, mixing, quality, simhash, token_ids
+from episodica.llm import decontaminate, mixing, quality, similar, token_ids
 from episodica.llm.shared import written
 from episodica.sources.tables import table
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near fingerprints, that with the smallest id."""
-    return simhash.deduplicated(docs)
+    """One document of every component of similar texts, that with the smallest id."""
+    return similar.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

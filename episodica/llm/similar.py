@@ -1,0 +1,106 @@
+"""Near-duplicate texts by the exact similarity of their five-word shingles.
+
+Texts are similar if the sets of their shingles of ``SHINGLE_WORDS`` words have a Jaccard similarity
+of ``THRESHOLD`` or more; a text of fewer words is one shingle of its own length. Texts with equal
+words, letter case aside, are one text with one key, so copies in any number cost one text.
+
+Candidates lose nothing: with the shingles of all texts in one order, two similar texts share one
+among the first ``n - ceil(THRESHOLD * n) + 1`` of each. The order puts shingles that are frequent in
+a sample last and goes by hash otherwise; any order is right, this one keeps the files short. Sizes
+and places bound the overlap of a pair before it is verified by its whole sets.
+
+Null and empty texts are one text, without shingles. Only DataFrame functions are used.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from episodica.llm.components import component_roots
+from episodica.llm.decontaminate import shingle_hashes
+from episodica.llm.shared import with_computed, words, written
+
+SHINGLE_WORDS = 5
+THRESHOLD = 0.8
+
+#: One text in SAMPLE is looked at for shingles that HOT texts of them share.
+SAMPLE = 16
+HOT = 8
+MOST_HOT = 20_000
+
+
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's values and of which of them are null."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
+def text_key(text: Column) -> Column:
+    """16 bytes that name the words of a text, in lower case."""
+    return F.unhex(F.md5(F.array_join(words(F.lower(text)), " ")))
+
+
+def _shingles(texts: DataFrame, *others: str) -> DataFrame:
+    """``texts`` with the distinct ``shingles`` of every ``text`` that has words."""
+    tokens = with_computed(texts, "tokens", words(F.lower("text"))).where(F.size("tokens") > 0)
+    whole = F.array(F.xxhash64(F.array_join("tokens", " ")))
+    hashed = F.when(F.size("tokens") < SHINGLE_WORDS, whole).otherwise(shingle_hashes(F.col("tokens"), SHINGLE_WORDS))
+    return with_computed(tokens.select(*others, "tokens"), "shingles", F.array_distinct(hashed)).drop("tokens")
+
+
+def _least_overlap(a: Column, b: Column) -> Column:
+    """Shared shingles that sets of these sizes need, less a margin for rounding."""
+    return (a + b) * F.lit(THRESHOLD / (1 + THRESHOLD)) - 1e-6
+
+
+def similar_pairs(texts: DataFrame) -> DataFrame:
+    """``u, v``: keys of all similar texts among ``texts``, which has ``key`` once each and ``text``."""
+    shingled = _shingles(texts, "key")
+    sample = shingled.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("s"))
+    frequent = sample.groupBy("s").count().where(F.col("count") >= HOT).orderBy(F.desc("count"), "s").limit(MOST_HOT)
+    hot = written(frequent.select("s"), "hot-shingles").agg(F.collect_list("s").alias("hot"))  # at most MOST_HOT numbers
+    split = shingled.crossJoin(F.broadcast(hot)).select(
+        "key",
+        F.size("shingles").alias("n"),
+        F.concat(F.array_sort(F.array_except("shingles", "hot")), F.array_sort(F.array_intersect("shingles", "hot"))).alias("ordered"),
+    )
+    prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-6) + 1).cast("int"))
+    filed = split.select("key", "n", F.posexplode(prefix).alias("p", "s"))
+    a, b = filed.alias("a"), filed.alias("b")
+    low, high = F.least("a.p", "b.p"), F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
+    need = _least_overlap(F.col("a.n"), F.col("b.n"))
+    fits = (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * THRESHOLD - 1e-6) & (low + high >= need)
+    found = a.join(b, (F.col("a.s") == F.col("b.s")) & fits).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
+    candidates = written(found, "similar-candidates")
+    either = candidates.select(F.col("u").alias("key")).unionByName(candidates.select(F.col("v").alias("key"))).distinct()
+    sets = written(_shingles(texts.join(either, "key", "left_semi"), "key"), "similar-sets")
+    pairs = candidates.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), "u").join(
+        sets.select(F.col("key").alias("v"), F.col("shingles").alias("y")), "v"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    return pairs.where(shared >= _least_overlap(F.size("x"), F.size("y"))).select("u", "v")
+
+
+def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row of ``docs`` for every component of similar texts, that with the smallest id; all columns.
+
+    Ids need not be unique: rows are told apart by all their values, and rows without an id come
+    after those with one.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumns({"__row": row_key(docs), "__key": text_key(F.col(f"`{text}`"))})
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    first = written(keyed.select(F.col("__key").alias("key"), place.alias("place")).groupBy("key").agg(F.min("place").alias("place")), "first-of-texts")
+    firsts = first.select(F.col("key").alias("__of"), F.col("place.id").alias("__id"), F.col("place.row").alias("__at"))
+    is_first = (F.col("__row") == F.col("__at")) & (F.col("__key") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    texts = keyed.join(firsts, is_first, "left_semi").groupBy(F.col("__key").alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text"))
+    roots = component_roots(similar_pairs(texts))
+    best = (
+        first.join(roots, F.col("key") == F.col("u"), "left")
+        .groupBy(F.coalesce("root", "key").alias("root"))
+        .agg(F.min("place").alias("place"))
+        .select(F.col("place.id").alias("__id"), F.col("place.row").alias("__at"))
+    )
+    kept = keyed.join(best, (F.col("__row") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__row"]).select(*columns)

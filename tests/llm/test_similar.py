@@ -1,0 +1,53 @@
+"""The pipeline's near-deduplication against all pairs by brute force."""
+
+import random
+import sys
+
+import pytest
+
+from episodica.sources.tables import table
+
+sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {*zip(*(words[k:] for k in range(5)), strict=False)} if len(words) >= 5 else {tuple(words)}
+
+
+def slow_kept(rows):
+    """Ids of the first document of every component of texts at a similarity of 0.8 or more."""
+    rows = sorted(rows)
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return sorted(rows[k][0] for k in {*label})
+
+
+def stage(spark, docs):
+    return corpus_pipeline.near_deduplication(spark, docs, "")
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Copies with a few changed words are far apart in fingerprints, but similar."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 30, 120, 400]))]
+        for c, changes in enumerate((0, 1, 1, 2, 3, 5)):
+            copy = list(words)
+            for _ in range(changes * len(words) // 100 + (changes > 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+            rows.append((100 * k + c, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in stage(spark, docs).collect()) == slow_kept(rows)
+
+
+def test_documents_match_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
+    got = sorted(r.doc_id for r in stage(spark, table(spark, sf, "documents")).collect())
+    assert got == slow_kept(rows)
