@@ -130,9 +130,14 @@ def _verified(windows: DataFrame, items: DataFrame, threshold: float) -> DataFra
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns."""
-    hit = contaminated(docs, benchmark, text).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item, with all their columns.
+
+    Rows are told apart by a digest of their text, which alone decides, not by their ids.
+    """
+    digest = F.unhex(F.sha2(F.col(f"`{text}`"), 256))
+    found = contaminated(docs.select(digest.alias("doc_id"), F.col(f"`{text}`").alias("text")), benchmark)
+    hit = found.select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, digest == F.col("__hit"), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

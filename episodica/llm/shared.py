@@ -75,6 +75,28 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of a row's values and of which of them are null."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
+def row_place(row: Column) -> Column:
+    """The order of rows by document id, nulls last, then by ``row``."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row.alias("row"))
+
+
+def rows_at(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """One row of ``keyed``, which has a ``__row``, for every ``place`` of ``places``.
+
+    The join's columns are those by which repeated rows are dropped, so rows are exchanged once.
+    """
+    same = lambda no_id, doc_id, row: {"__no_id": no_id, "__id": F.coalesce(doc_id.cast("string"), F.lit("")), "__row": row}
+    wanted = places.select(*[c.alias(name) for name, c in same(F.col("place.no_id"), F.col("place.id"), F.col("place.row")).items()])
+    named = keyed.withColumns(same(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row")))
+    return named.join(wanted, ["__no_id", "__id", "__row"], "left_semi").dropDuplicates(["__no_id", "__id", "__row"]).select(*keyed.columns)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_REGEX)), F.lit(0)).cast("long")

@@ -25,11 +25,10 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from episodica.llm.components import component_roots
-from episodica.llm.shared import in_small_batches, written
+from episodica.llm.shared import in_small_batches, row_key, row_place, rows_at, written
 from episodica.sources.tables import table
 
 #: Fixed values of the contract.
@@ -273,17 +272,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of ``docs`` for every component, that with the smallest document id; all columns."""
-    columns = docs.columns
-    found = near_duplicates(docs, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    same_id = W.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-        .withColumn("__nth", F.row_number().over(same_id))
-        .where("__nth = 1")
-        .select(*[F.col(f"`{c}`") for c in columns])
-    )
+    """One row of ``docs`` for every component, that with the smallest document id; all columns.
+
+    Ids need not be unique: rows are told apart by all their values, and rows without an id come
+    after those with one.
+    """
+    keyed = docs.withColumn("__row", row_key(docs))
+    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    of_row = found.select(F.col("doc_id").alias("__of"), "component_id").distinct()
+    rows = keyed.select("doc_id", "__row").join(of_row, F.col("__row") == F.col("__of"))
+    places = rows.groupBy("component_id").agg(F.min(row_place(F.col("__row"))).alias("place"))
+    return rows_at(keyed, places).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from episodica.llm.components import component_roots
 from episodica.llm.decontaminate import shingle_hashes
-from episodica.llm.shared import with_computed, words, written
+from episodica.llm.shared import row_key, row_place, rows_at, with_computed, words, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -30,12 +30,6 @@ HOT = 8
 MOST_HOT = 20_000
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A hash of a row's values and of which of them are null."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return F.xxhash64(*columns, *[c.isNull() for c in columns])
-
-
 def text_key(text: Column) -> Column:
     """16 bytes that name the words of a text, in lower case."""
     return F.unhex(F.md5(F.array_join(words(F.lower(text)), " ")))
@@ -90,17 +84,11 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumns({"__row": row_key(docs), "__key": text_key(F.col(f"`{text}`"))})
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
-    first = written(keyed.select(F.col("__key").alias("key"), place.alias("place")).groupBy("key").agg(F.min("place").alias("place")), "first-of-texts")
-    firsts = first.select(F.col("key").alias("__of"), F.col("place.id").alias("__id"), F.col("place.row").alias("__at"))
-    is_first = (F.col("__row") == F.col("__at")) & (F.col("__key") == F.col("__of")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    texts = keyed.join(firsts, is_first, "left_semi").groupBy(F.col("__key").alias("key")).agg(F.first(F.col(f"`{text}`")).alias("text"))
-    roots = component_roots(similar_pairs(texts))
-    best = (
-        first.join(roots, F.col("key") == F.col("u"), "left")
-        .groupBy(F.coalesce("root", "key").alias("root"))
-        .agg(F.min("place").alias("place"))
-        .select(F.col("place.id").alias("__id"), F.col("place.row").alias("__at"))
-    )
-    kept = keyed.join(best, (F.col("__row") == F.col("__at")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__row"]).select(*columns)
+    first = keyed.groupBy("__key").agg(F.min(row_place(F.col("__row"))).alias("place"))
+    texts = written(rows_at(keyed, first), "texts")
+    roots = written(component_roots(similar_pairs(texts.select(F.col("__key").alias("key"), F.col(f"`{text}`").alias("text")))), "roots")
+    linked = roots.select("u", "root").unionByName(roots.select(F.col("root").alias("u"), "root").distinct())
+    placed = texts.select("__key", row_place(F.col("__row")).alias("place")).join(linked, F.col("__key") == F.col("u"))
+    best = placed.groupBy("root").agg(F.min("place").alias("least"))
+    lost = placed.join(best, "root").where("place > least").select(F.col("__key").alias("lost"))
+    return texts.join(lost, F.col("__key") == F.col("lost"), "left_anti").select(*columns)

@@ -5,6 +5,7 @@ import sys
 
 import pytest
 
+from episodica.llm import decontaminate, simhash
 from episodica.sources.tables import table
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
@@ -47,6 +48,20 @@ def test_near_copies_go_and_others_stay(spark):
     assert sorted(r.doc_id for r in stage(spark, docs).collect()) == slow_kept(rows)
 
 
+def test_rows_are_kept_by_row_not_by_id(spark):
+    """Rows without an id, or with one id, are separate documents in every stage."""
+    words = {k: " ".join(f"{k}{n}" for n in range(40)) for k in "abcdei"}
+    rows = [(1, "a", 1), (2, "a", 2), (2, "b", 3), (3, "c", 4), (3, "d", 5), (None, "e", 6), (None, "a", 7), (None, "c", 8), (None, "d", None), (None, "e", 6)]
+    docs = spark.createDataFrame([(d, words[t], n) for d, t, n in rows], "doc_id long, text string, n long")
+    want = [(1, "a", 1), (2, "b", 3), (3, "c", 4), (3, "d", 5), (None, "e", 6)]
+    for kept in (stage(spark, docs), simhash.deduplicated(docs)):
+        assert kept.columns == docs.columns
+        assert {*map(tuple, kept.collect())} == {(d, words[t], n) for d, t, n in want} and kept.count() == 5
+    items = spark.createDataFrame([(1, words["a"]), (2, words["c"])], "item_id long, text string")
+    clean = decontaminate.decontaminated(docs.unionByName(docs.limit(1).selectExpr("doc_id", "string(null) AS text", "n")), items)
+    assert sorted(((r.text or "")[:1], r.n or 0) for r in clean.collect()) == [("", 1), ("b", 3), ("d", 0), ("d", 5), ("e", 6), ("e", 6)]
+
+
 def test_documents_match_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     got = sorted(r.doc_id for r in stage(spark, table(spark, sf, "documents")).collect())
