@@ -20,6 +20,14 @@ from episodica.llm.shared import SPACE_CLASS
 from episodica.sources.tables import table
 
 SENTENCE_END = rf"[.!?;]+(?:[{SPACE_CLASS}]+|$)|:[\x20\t]*\n[{SPACE_CLASS}]*|\n[\x20\t]*\n[{SPACE_CLASS}]*"
+
+#: The scan also ends sentences at colons inside a line, but not after an SPDX tag, and at lines that
+#: hold comment marks only. ``SENTENCE_END`` stays as the SQL has it.
+COMMENT_MARKS = r"[\x20\t\r/*#;%!|'\-]*"
+SCAN_END = (
+    rf"[.!?;]+(?:[{SPACE_CLASS}]+|$)|:[\x20\t]*\r?\n[{SPACE_CLASS}]*|(?<!(?i:spdx-license-identifier)[\x20\t]{{0,3}}):[{SPACE_CLASS}]+"
+    rf"|\n{COMMENT_MARKS}(?=\n)[{SPACE_CLASS}]*"
+)
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 #: Normalised sentences of public licences and licence notices, by identifier.
@@ -98,7 +106,7 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     known = list(SENTENCES.values())
     by_sentence = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    whole = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.struct(normalised(s).alias("n"), s.alias("raw")))
+    whole = F.transform(F.split(F.coalesce(text, F.lit("")), SCAN_END), lambda s: F.struct(normalised(s).alias("n"), s.alias("raw")))
     pieces = F.transform(
         whole,
         lambda s: F.when(s["n"].isin(known), F.array(s["n"]))
