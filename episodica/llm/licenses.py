@@ -96,21 +96,130 @@ RULES = (
     (("spdx-bsd3",), "BSD-3-Clause"),
 )
 
+#: Fixed values of the scan beyond the SQL's table. Names of licences, normalised, as notices spell them.
+_VERSIONED = {
+    "GPL": (("gnu general public license", "gnu gpl", "gpl", "general public license"), ("2.0", "3.0")),
+    "LGPL": (("gnu lesser general public license", "gnu lgpl", "lgpl", "lesser general public license"), ("2.1", "3.0")),
+    "AGPL": (("gnu affero general public license", "gnu agpl", "agpl", "affero general public license"), ("3.0",)),
+}
+_NAMES = {
+    "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache license version 2", "apache 2 0 license", "apache 2 0", "apache 2 license"),
+    "MIT": ("mit license", "mit", "expat license"),
+    "ISC": ("isc license", "isc"),
+    "BSD": ("bsd license", "bsd"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "two clause bsd license", "simplified bsd license", "bsd 2 clause"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "three clause bsd license", "new bsd license", "modified bsd license", "bsd 3 clause"),
+    "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mpl 2 0", "mpl version 2 0"),
+    "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "epl 2 0"),
+    "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0"),
+    "Zlib": ("zlib license",),
+    "Unlicense": ("unlicense",),
+    "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal", "creative commons zero v1 0 universal"),
+    **{
+        f"CC-{part}-{v}.0": (f"cc {part.lower().replace('-', ' ')} {v} 0", f"creative commons {words} {v} 0 {area} license", f"creative commons {words} {v} 0 license", f"creative commons {words} {v} 0")
+        for v, area in (("4", "international"), ("3", "unported"))
+        for part, words in (
+            ("BY", "attribution"), ("BY-SA", "attribution sharealike"), ("BY-NC", "attribution noncommercial"), ("BY-ND", "attribution noderivatives"),
+            ("BY-NC-SA", "attribution noncommercial sharealike"), ("BY-NC-ND", "attribution noncommercial noderivatives"),
+        )
+    },
+}
+_LATER = (" or later", " or any later version", " or at your option any later version")
+
+
+def _names() -> dict[str, str]:
+    """Identifiers of licences by normalised name."""
+    found = {name: spdx for spdx, spelled in _NAMES.items() for name in spelled}
+    for family, (titles, versions) in _VERSIONED.items():
+        for v in versions:
+            short = v.removesuffix(".0").replace(".", " ")
+            numbers = {v.replace(".", " "), short}
+            for name in (f"{t}{j}{n}" for t in titles for j in (" version ", " v", " ") for n in numbers):
+                found[name] = f"{family}-{v}-only"
+                found |= {name + later: f"{family}-{v}-or-later" for later in _LATER}
+            found |= {f"{family.lower()}v{n}": f"{family}-{v}-only" for n in numbers}
+            found |= {f"{family.lower()}v{n}{later}": f"{family}-{v}-or-later" for n in numbers for later in _LATER}
+    return found
+
+
+#: What may come before the name in a notice; ``NOTICE`` stands for it and is in no normalised text.
+NOTICE_START = (
+    "^(?:(?:this|the) (?:work|project|software|program|file|code|source code|library|package|document|text|module) is |it is )?"
+    "(?:licensed|released|distributed|published|provided|made available|available) under (?:the )?(?:terms of (?:the )?)?"
+)
+NOTICE = "> "
+
+_FSF = "you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation either version {} of the license or at your option any later version"
+_BODIES = {
+    "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl21-terms": _FSF.format("lesser", "2 1"),
+    "lgpl3-terms": _FSF.format("lesser", "3"),
+    "agpl3-terms": _FSF.format("affero", "3"),
+    "mpl2-form": "this source code form is subject to the terms of the mozilla public license v",
+}
+_NOTICE_IDS = {name: "notice-" + spdx.lower() for name, spdx in _names().items()}
+_SPDX = {x: x for x in sorted({*_names().values()} - {"BSD"})}
+_SPDX |= {f"{f}-{v}": f"{f}-{v}-only" for f, (_, vs) in _VERSIONED.items() for v in vs}
+_SPDX |= {f"{f}-{v}+": f"{f}-{v}-or-later" for f, (_, vs) in _VERSIONED.items() for v in vs}
+
+
+def _scan_sentences() -> dict[str, str]:
+    """Sentence to identifier: the SQL's table, then bodies, notices and SPDX tags."""
+    found = {v: k for k, v in SENTENCES.items()}
+    for k, v in _BODIES.items():
+        found.setdefault(v, k)
+    for name, k in _NOTICE_IDS.items():
+        found.setdefault(NOTICE + name, k)
+    for tag, spdx in _SPDX.items():  # a plus is lost when a text is normalised; it is written out before
+        found.setdefault("spdx license identifier " + " ".join(tag.lower().replace("+", " or later").replace("-", " ").replace(".", " ").split()), "notice-" + spdx.lower())
+    return found
+
+
+SCAN_SENTENCES = _scan_sentences()
+SCAN_RULES = (
+    (("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
+    (("bsd-grant", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    *RULES,
+    *(((k,), spdx) for k, spdx in (("lgpl21-terms", "LGPL-2.1-or-later"), ("lgpl3-terms", "LGPL-3.0-or-later"), ("agpl3-terms", "AGPL-3.0-or-later"))),
+    (("gpl3-terms",), "GPL-3.0-or-later"),
+    (("gpl2-terms",), "GPL-2.0-or-later"),
+    (("isc-grant",), "ISC"),
+    (("mpl2-form",), "MPL-2.0"),
+    *((("notice-" + spdx.lower(),), spdx) for spdx in sorted({*_names().values()})),
+    (("mit-notice-kept",), "MIT"),
+    (("mit-asis", "mit-liability"), "MIT"),
+    (("apache-asis",), "Apache-2.0"),
+    (("bsd-source",), "BSD"),
+    (("bsd-binary",), "BSD"),
+    (("bsd-asis",), "BSD"),
+)
+
 
 def normalised(piece: Column) -> Column:
     """Lower case, runs of anything but letters and digits to one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(piece), NOT_WORD, " "))
 
 
+def looked_up(piece: Column) -> Column:
+    """A piece as the table has it: normalised, the start of a notice as ``NOTICE``."""
+    plain = normalised(F.regexp_replace(piece, r"(?i)(spdx-license-identifier\s*:\s*[a-z]+-[0-9.]+)\+", "$1-or-later"))
+    own = plain.isin([*SENTENCES.values()])
+    return F.when(own | ~F.contains(plain, F.lit(" under ")), plain).otherwise(F.regexp_replace(plain, NOTICE_START, NOTICE))
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
-    known = list(SENTENCES.values())
-    by_sentence = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    whole = F.transform(F.split(F.coalesce(text, F.lit("")), SCAN_END), lambda s: F.struct(normalised(s).alias("n"), s.alias("raw")))
+    known = list(SCAN_SENTENCES)
+    by_sentence = F.create_map(*[F.lit(x) for pair in SCAN_SENTENCES.items() for x in pair])
+    whole = F.transform(F.split(F.coalesce(text, F.lit("")), SCAN_END), lambda s: F.struct(looked_up(s).alias("n"), s.alias("raw")))
     pieces = F.transform(
         whole,
         lambda s: F.when(s["n"].isin(known), F.array(s["n"]))
-        .when(F.contains(s["raw"], F.lit("\n")), F.filter(F.transform(F.split(s["raw"], "\n"), normalised), lambda x: x.isin(known)))
+        .when(F.contains(s["raw"], F.lit("\n")), F.filter(F.transform(F.split(s["raw"], "\n"), looked_up), lambda x: x.isin(known)))
         .otherwise(F.array().cast("array<string>")),
     )
     return F.transform(F.flatten(pieces), lambda x: by_sentence[x])
@@ -118,7 +227,7 @@ def sentence_ids(text: Column) -> Column:
 
 def licences(ids: Column) -> Column:
     """Licences that the ordered rules find in an identifier sequence: sorted, each once."""
-    rules = F.array(*[F.struct(F.lit(" " + " ".join(seq) + " ").alias("seq"), F.lit(name).alias("name")) for seq, name in RULES])
+    rules = F.array(*[F.struct(F.lit(" " + " ".join(seq) + " ").alias("seq"), F.lit(name).alias("name")) for seq, name in SCAN_RULES])
     start = F.struct(F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")).alias("rest"), F.array().cast("array<string>").alias("found"))
     found = F.aggregate(
         rules,

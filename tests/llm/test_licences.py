@@ -58,3 +58,25 @@ def test_published_notices(spark, head, mark, tail):
     docs = spark.createDataFrame(rows, "text string, want string")
     for want, found in licenses.scan(docs).select("want", F.array_join("licences", ",")).collect():
         assert found == want
+
+
+def test_notices_of_other_licences(spark):
+    """Every phrase goes with every name, and bodies count in part."""
+    rows = [
+        ("This work is licensed under the MIT License.", "MIT"),
+        ("Released under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Licensed under the GNU General Public License, version 2.", "GPL-2.0-only"),
+        ("This work is licensed under the GNU General Public License, version 2 or later.", "GPL-2.0-or-later"),
+        ("Distributed under the GNU Lesser General Public License v2.1.", "LGPL-2.1-only"),
+        ("Released under the GNU AGPL version 3.", "AGPL-3.0-only"),
+        ("This project is released under the terms of the Mozilla Public License 2.0.", "MPL-2.0"),
+        ("Licensed under the ISC license.", "ISC"),
+        ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        *((f"// SPDX-License-Identifier: {tag}\n", want) for tag, want in (("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0+", "GPL-2.0-or-later"), ("LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("MPL-2.0", "MPL-2.0"), ("BSD-2-Clause", "BSD-2-Clause"))),
+        (MIT.split("\n\n")[2], "MIT"),
+        (BSD.split("\n\n")[2], "BSD"),
+        ("We released this under the sun. MIT License. > mit license. notice mit", ""),
+    ]
+    docs = spark.createDataFrame(rows, "text string, want string")
+    for want, found in licenses.scan(docs).select("want", F.array_join("licences", ",")).collect():
+        assert found == want
