@@ -4,8 +4,8 @@ Texts are similar if the sets of their shingles of ``SHINGLE_WORDS`` words have
 of ``THRESHOLD`` or more; a text of fewer words is one shingle of its own length. Texts with equal
 words, letter case aside, are one text with one key, so copies in any number cost one text.
 
-Candidates lose nothing: with the shingles of all texts in one order, two similar texts share one
-among the first ``n - ceil(THRESHOLD * n) + 1`` of each. The order puts shingles that are frequent in
+Candidates lose nothing: with the shingles of all texts in one order, two similar texts share ``k``
+among the first ``n - ceil(THRESHOLD * n) + k`` of each, the lesser ``k`` where theirs differ. The order puts shingles that are frequent in
 a sample last and goes by hash otherwise; any order is right, this one keeps the files short. Sizes
 and places bound the overlap of a pair before it is verified by its whole sets.
 
@@ -24,6 +24,9 @@ from episodica.llm.shared import row_key, row_place, rows_at, with_computed, wor
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 
+#: The share of its shingles that a text must have in common with another among its first ones.
+COMMON = 0.05
+
 #: One text in SAMPLE is looked at for shingles that HOT texts of them share.
 SAMPLE = 16
 HOT = 8
@@ -59,14 +62,18 @@ def similar_pairs(texts: DataFrame) -> DataFrame:
         F.size("shingles").alias("n"),
         F.concat(F.array_sort(F.array_except("shingles", "hot")), F.array_sort(F.array_intersect("shingles", "hot"))).alias("ordered"),
     )
-    prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-6) + 1).cast("int"))
+    common = lambda n: F.ceil(n * COMMON)
+    prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-6) + common(F.col("n"))).cast("int"))
     filed = split.select("key", "n", F.posexplode(prefix).alias("p", "s"))
     a, b = filed.alias("a"), filed.alias("b")
     low, high = F.least("a.p", "b.p"), F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p"))
     need = _least_overlap(F.col("a.n"), F.col("b.n"))
     fits = (F.col("a.key") < F.col("b.key")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * THRESHOLD - 1e-6) & (low + high >= need)
-    found = a.join(b, (F.col("a.s") == F.col("b.s")) & fits).select(F.col("a.key").alias("u"), F.col("b.key").alias("v")).distinct()
-    candidates = written(found, "similar-candidates")
+    matches = a.join(b, (F.col("a.s") == F.col("b.s")) & fits).select(
+        F.col("a.key").alias("u"), F.col("b.key").alias("v"), common(F.least("a.n", "b.n")).alias("least")
+    )
+    found = matches.groupBy("u", "v", "least").agg(F.count("*").alias("k")).where("k >= least")
+    candidates = written(found.select("u", "v"), "similar-candidates")
     either = candidates.select(F.col("u").alias("key")).unionByName(candidates.select(F.col("v").alias("key"))).distinct()
     sets = written(_shingles(texts.join(either, "key", "left_semi"), "key"), "similar-sets")
     pairs = candidates.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("x")), "u").join(
