@@ -5,7 +5,9 @@ A line's text-to-tag ratio is its length over those tags; menus (mostly link tex
 elements count as 0. Ratios are smoothed with a Gaussian, and a threshold at their standard
 deviation clusters lines into content and the rest. Content lines select the regions they lie in,
 an ``article`` or ``main`` element where there is one, else their enclosing block, and every line of
-a selected region that is not boilerplate is kept, however short.
+a selected region that is not boilerplate is kept, however short. Class and id names do not drop an
+article or main element, nor the one container that holds most of the page's text, unless they name
+a block of comments, advertisements or the like.
 
 Null and empty pages give an empty text; repeated rows are extracted each; other columns are left
 alone by ``main_text``; an empty table gives an empty result. Pages are used whole, one at a time.
@@ -48,8 +50,16 @@ BOILERPLATE_WORDS = frozenset(
     " disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
     " promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Of these, words of blocks whose articles are not the page's, and class names that only say what a
+#: container has or lacks.
+FOREIGN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising comment comments commentlist disqus footer nav navbar navigation promo promotion"
+    " related replies respond sidebar sponsor sponsored".split()
+)
+MODIFIER = re.compile(r"(has|no|with|without)[-_].*|.*[-_](open|opened|closed|enabled|disabled)")
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 
+FOREIGN = -1
 SIGMA = 1.0
 LINK_SHARE = 0.6
 
@@ -61,11 +71,25 @@ class Line:
     text: str
     tags: int
     link_chars: int
-    dropped: bool
+    dropped: int
     region: int
     container: int
 
 
+def class_words(value: str) -> set[str]:
+    """Words of class and id names, without names that are modifiers."""
+    return {w for name in value.split() if not MODIFIER.fullmatch(name) for w in re.split(r"[^a-z]+", name)}
+
+
+def is_foreign(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    """Is an element that is boilerplate so with any article in it? Not if only its name or a form says so."""
+    if tag in DROPPED and tag != "form":
+        return True
+    given = {k: (v or "").lower() for k, v in attrs}
+    words = class_words(given.get("class", "")) | class_words(given.get("id", ""))
+    return bool(FOREIGN_WORDS & words) or not (tag == "form" or BOILERPLATE_WORDS & words)  # else by role or hidden
+
+
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_region: bool) -> bool:
     """Does an element hold something else than the article?"""
     if tag in DROPPED or (tag == "header" and not in_region):
@@ -75,7 +99,7 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_region: boo
         return any({"comment", "comments", "ad", "advert", "related"} & set(re.split(r"[^a-z]+", v.lower())) for v in names)
     for name, value in attrs:
         value = (value or "").lower()
-        if name in ("class", "id") and BOILERPLATE_WORDS & set(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and BOILERPLATE_WORDS & class_words(value):
             return True
         if (name == "role" and value in BOILERPLATE_ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -90,12 +114,12 @@ class LineParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped, region, container
+        self.open: list[tuple[str, int, int, int]] = []  # tag, dropped (FOREIGN, or the element that is named so), region, container
         self.pieces: list[str] = []
         self.tags = self.link_chars = self.n_elements = 0
 
-    def _top(self) -> tuple[str, bool, int, int]:
-        return self.open[-1] if self.open else ("", False, 0, 0)
+    def _top(self) -> tuple[str, int, int, int]:
+        return self.open[-1] if self.open else ("", 0, 0, 0)
 
     def flush(self) -> None:
         """End the block of text."""
@@ -122,7 +146,10 @@ class LineParser(HTMLParser):
                 self.open.pop()
         _, dropped, region, container = self._top()
         self.n_elements += 1
-        dropped = dropped or is_boilerplate(tag, attrs, region > 0)
+        if tag in REGIONS and dropped != FOREIGN:  # the page's article, whatever its containers are named
+            dropped = 0
+        if dropped != FOREIGN and is_boilerplate(tag, attrs, region > 0):
+            dropped = FOREIGN if tag in REGIONS or is_foreign(tag, attrs) else dropped or self.n_elements
         self.open.append(
             (tag, dropped, self.n_elements if tag in REGIONS and not region else region, self.n_elements if tag in CONTAINERS else container)
         )
@@ -160,7 +187,11 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 def content_lines(lines: list[Line]) -> list[Line]:
     """The lines of the selected regions."""
-    good = [not x.dropped for x in lines]
+    size = lambda dropped: sum(len(x.text) - x.link_chars for x in lines if x.dropped == dropped)
+    named, region = {x.dropped for x in lines} - {0, FOREIGN}, any(x.region and not x.dropped for x in lines)
+    total = size(0) + sum(map(size, named))
+    most = set() if region else {n for n in named if 2 * size(n) > total}  # its text overrules its name
+    good = [x.dropped in {0} | most for x in lines]
     ratios = np.array([len(x.text) / x.tags if ok and x.link_chars <= LINK_SHARE * len(x.text) else 0.0 for x, ok in zip(lines, good, strict=True)])
     if not any(good):
         return []
