@@ -46,7 +46,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 #: Rows of whole texts that Spark hands to Python at once.
-ARROW_ROWS = 2000
+ARROW_ROWS = 250
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:

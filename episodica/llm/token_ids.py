@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import unicodedata
 from array import array
@@ -43,15 +42,13 @@ READ_IDS = 1 << 19
 END_ID = 2
 
 #: Documents encoded at once; words of a generation of the memo, and the longest that it keeps.
-ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 500, 150_000, 48
+ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 250, 500_000, 48
 
-#: Marks that a word may end in, and letters whose lower case depends on more than themselves.
+#: Marks that a word may end in.
 CLOSING = b".,!?;:%$*#&|"
-SPECIAL_CASING = re.compile("[\u03a3\u0130]")
 
-#: The byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on.
-_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+#: Fixed value: a splitter into letters, digits and other marks that drops white space.
+WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def id_bits(vocabulary: int) -> int:
@@ -89,25 +86,56 @@ def ends_in_letter(text: str) -> bool:
     return unicodedata.normalize("NFC", text[-1])[-1].lower().isalpha()
 
 
-class WordEncoder(dict):
-    """Ids of words, learnt as they are asked for, and of whole texts by their words.
+def parts_at_white_space(spec: dict) -> bool:
+    """Does a tokenizer's file prove that the ids of a text are those of its words in turn?
 
-    For tokenizers that lower-case, drop white space and never join characters across it, the ids of
-    a text are those of its white-space-separated words in turn, in lower case or not. Punctuation
-    behind a letter starts a new piece, so a word and its closing marks are learnt apart. Words of
-    lower-case letters alone reach the model as they are, each byte as its character of the
-    byte-level alphabet. Words asked for again are kept through the next generation of
-    ``MEMO_WORDS`` words, so frequent words stay and memory is bounded.
+    The normaliser may only compose characters, lower-case them (it must) and turn white space into
+    spaces; the splitter must drop white space and split letters from other marks; nothing may be
+    added, cut or padded; added tokens hold no white space and take none beside them.
     """
+    flat = lambda node, key: [x for part in node[key] for x in flat(part, key)] if node and key in node else [node]
+    normal = flat(spec.get("normalizer"), "normalizers")
+    spaces = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split = {"type": "Split", "pattern": {"Regex": WORD_PIECES}, "behavior": "Removed", "invert": True}
+    pre = flat(spec.get("pre_tokenizer"), "pretokenizers")
+    return (
+        all(n in ({"type": "NFC"}, {"type": "Lowercase"}, spaces) for n in normal)
+        and {"type": "Lowercase"} in normal
+        and bool(pre)
+        and pre[0] == split
+        and all(p == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False} for p in pre[1:])
+        and not any(spec.get(k) for k in ("post_processor", "truncation", "padding"))
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in spec.get("added_tokens", ()))
+    )
+
+
+class TextEncoder:
+    """Little-endian ids of whole texts, each with the end id, by the library's ``encode_batch``."""
 
     def __init__(self, path: str, width: int, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
-        self.model = self.tokenizer.model
         self.end = array(self.code, [end_id]).tobytes()
-        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text."""
+        found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() + self.end for e in found]
+
+
+class WordMemo(dict):
+    """Ids of words by the library, learnt as they are asked for.
+
+    Punctuation behind a letter starts a new piece, so a word and its closing marks are learnt
+    apart. Words asked for again are kept through the next generation of ``MEMO_WORDS`` words, so
+    frequent words stay and memory is bounded.
+    """
+
+    def __init__(self, tokenizer, code: str):
+        super().__init__()
+        self.tokenizer, self.code, self.older = tokenizer, code, {}
 
     def __missing__(self, word: bytes) -> bytes:
         if (ids := self.older.get(word)) is None:
@@ -115,43 +143,60 @@ class WordEncoder(dict):
             if core and len(core) < len(word) and (97 <= core[-1] <= 122 or ends_in_letter(core.decode())):
                 ids = self[core] + self[word[len(core) :]]
             else:
-                ids = array(self.code, self.learn(word)).tobytes()
+                ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         if len(word) <= MEMO_BYTES:
             self[word] = ids
         return ids
 
-    def learn(self, word: bytes) -> list[int]:
-        """The ids of a word that was not met before."""
-        text = word.decode()
-        if not text.isascii() and text.isalpha() and not SPECIAL_CASING.search(text):
-            text = text.lower()
-        if text.isalpha() and text.islower() and unicodedata.is_normalized("NFC", text):
-            return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(BYTE_LETTERS))]
-        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+    def turn(self) -> None:
+        """Begin a new generation once this one is full."""
+        if len(self) > MEMO_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
+class WordEncoder(TextEncoder):
+    """The same ids for tokenizers that ``parts_at_white_space``: every word is encoded once and kept.
+
+    White space is the ASCII one. Words are looked up in ASCII lower case, unless the text might hold
+    an added token, which is told apart by case.
+    """
+
+    def __init__(self, path: str, width: int, end_id: int):
+        super().__init__(path, width, end_id)
+        self.memo = WordMemo(self.tokenizer, self.code)
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian ids of texts, each with the end id."""
+        """The ids of every text, word by word."""
         out = []
         for text in texts:
             data = (text or "").encode()
-            words = (data if b"<|" in data else data.lower()).split()  # bytes: ASCII white space and letters only
-            out.append(b"".join(map(self.__getitem__, words)) + self.end)
-            if len(self) > MEMO_WORDS:
-                self.older = dict(self)
-                self.clear()
+            lower = data.lower()  # bytes: ASCII white space and letters only
+            words = (data if any(a in lower for a in self.added) else lower).split()
+            out.append(b"".join(map(self.memo.__getitem__, words)) + self.end)
+            self.memo.turn()
         return out
 
 
+def text_encoder(path: str, width: int, end_id: int) -> TextEncoder:
+    """The encoder for a tokenizer's file: by words where the file proves that they stand for the text."""
+    with open(path, encoding="utf-8") as source:
+        by_words = parts_at_white_space(json.load(source))
+    return (WordEncoder if by_words else TextEncoder)(path, width, end_id)
+
+
 @cache
-def worker_encoder(path: str, width: int, end_id: int) -> WordEncoder:
+def worker_encoder(path: str, width: int, end_id: int) -> TextEncoder:
     """The encoder that all tasks of a Python worker share."""
-    return WordEncoder(path, width, end_id)
+    return text_encoder(path, width, end_id)
 
 
-def in_order(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` in ascending order of id over the partitions; equal ids by a hash of the text."""
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("__tie"))
-    return ordered.repartitionByRange("doc_id", "__tie").sortWithinPartitions("doc_id", "__tie").select("doc_id", "text")
+def in_order(docs: DataFrame, order: str = "doc_id") -> DataFrame:
+    """``doc_id, text`` in ascending order of a column over the partitions; equal ones by id and a hash of the text."""
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.col(f"`{order}`").alias("__order"), F.xxhash64("text").alias("__tie"))
+    by = ["__order", "doc_id", "__tie"]
+    return ordered.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
 
 class ShardWriter:
@@ -254,10 +299,13 @@ def read_shard(store, folder: str, entry: dict) -> Iterator[pa.RecordBatch]:
         first = stop
 
 
-def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
-    """Encode whole texts and write them as shards under ``path`` in ascending order of ``doc_id``."""
+def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, order: str = "doc_id") -> None:
+    """Encode whole texts and write them as shards under ``path`` in ascending order of a column.
+
+    ``order`` may name another column than the id, such as the place of a mix.
+    """
     bits = id_bits(vocabulary_size(tokenizer))
-    written = in_small_batches(in_order(docs)).mapInArrow(
+    written = in_small_batches(in_order(docs, order)).mapInArrow(
         ShardWriter(path, bits, tokenizer, end_id), "partition bigint, name string, n_ids bigint, n_docs bigint"
     )
     entries, before = [], 0

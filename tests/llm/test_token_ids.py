@@ -74,3 +74,32 @@ def test_words_of_all_alphabets():
     encoder = token_ids.WordEncoder(token_ids.default_tokenizer(), 2, token_ids.END_ID)
     want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert encoder.encode(texts) == [np.array([*e.ids, token_ids.END_ID], "<u2").tobytes() for e in want]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_tokenizer_file(name):
+    """Whole texts by the library, whatever the tokenizer: words stand for texts only where its file proves it."""
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = [*(t or "" for t in HARD), "Hello world,  hello\n\nworld."]
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    encoder = token_ids.text_encoder(path, 2, 2)
+    assert isinstance(encoder, token_ids.WordEncoder) == name.startswith("word")
+    assert encoder.encode(texts) == [np.array([*e.ids, 2], "<u2").tobytes() for e in want]
+    with open(path) as source:
+        spec = json.load(source)
+    for change in ({"truncation": {"max_length": 5}}, {"normalizer": None}, {"pre_tokenizer": None}, {"post_processor": {"type": "X"}}):
+        assert not token_ids.parts_at_white_space({**spec, **change})
+
+
+def test_other_orders(spark):
+    from episodica.llm.shared import fresh_path
+
+    docs = spark.createDataFrame([(1, "a", 3), (2, "b", 1), (3, "c", 2)], "doc_id long, text string, place long")
+    path = fresh_path(spark, "ids-order")
+    token_ids.write_token_ids(docs, path, token_ids.default_tokenizer(), order="place")
+    assert [r.doc_id for r in token_ids.read_token_ids(spark, path).orderBy("start").collect()] == [2, 3, 1]
