@@ -1,10 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Documents of a source queue in a seeded hash order. A document's virtual finish time is the running
-total of its source's words, divided by the source's target; serving all queues by finish time gives
-every source words in proportion to its target at any point of the mix. The mix is range-sorted by
-finish time and cut at the budget: where a source reaches its target inside a document, only that
-document's first words are taken. A source whose target exceeds its size is queued twice.
+Documents of a source queue in a seeded hash order; a source whose target exceeds its size queues
+twice. A document's virtual finish time is the running total of its source's words, divided by the
+source's target; serving all queues by finish time gives every source words in proportion to its
+target at any point of the mix. All sources' packets are range-sorted by finish time, running totals
+over that order give each its place, and the mix ends where they reach the total budget. A document
+in which its source reaches its target is two packets, so the cut falls between packets and every
+source gets its target to the word.
 
 Only DataFrame functions are used. Running totals never need a source, or the whole mix, in one
 task: the hash is cut into ``BUCKETS`` ranges, a small table of range totals is summed up, and each
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import SPACE_CLASS, word_count, written
+from episodica.llm.shared import ROW_NAME, SPACE_CLASS, row_key, row_name, word_count, written
 from episodica.sources.tables import table
 
 #: Fixed values of the contract: weights by order of source, share of all words, most epochs.
@@ -108,46 +110,63 @@ def queues(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") ->
     )
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
-    """One row per document and epoch, with its virtual finish time, place and words taken.
+def packets(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """One row per document, epoch and packet with its ``virtual_finish``.
 
-    ``virtual_finish`` is the source's running total divided by its target, ``mix_start`` the words
-    of the mix before this row in order of finish time, and ``words_taken`` what the mix takes of
-    the document, 0 beyond the cut.
+    A document is one packet of its words, but where its source reaches its target inside it, it is
+    two, parted at the target: at any virtual time up to 1 every source has then sent its share.
     """
     served = (
         queues(docs, carry, text)
         .withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(EPOCHS)])))
         .withColumn("start", F.col("epoch") * F.col("source_size") + F.col("words_before"))
-        .withColumn("virtual_finish", F.when(F.col("target") > 0, (F.col("start") + F.col("size")) / F.col("target")))
-        .withColumn(
-            "words_taken",
-            F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("start"))).cast("long"),
-        )
     )
-    # Rows without words share no finish time worth sorting by; their hash deals them out.
-    taken = F.col("words_taken") > 0
-    bucket = F.when(taken, F.floor(F.col("virtual_finish") * BUCKETS)).otherwise(-1 - F.shiftright("u", 48))
-    served = written(served.withColumn("finish_bucket", bucket.cast("long")), "mix-served")
-    totals = served.where(taken).groupBy("finish_bucket").agg(F.sum("words_taken").alias("bucket_words"))
+    parted = F.least(F.col("start") + F.col("size"), F.greatest(F.col("start"), F.floor("target")))
+    cuts = F.when((parted > F.col("start")) & (parted < F.col("start") + F.col("size")), F.array(parted, F.col("start") + F.col("size")))
+    whole = F.array(F.col("start") + F.col("size"))
+    ends = served.select("*", F.posexplode(F.coalesce(cuts, whole)).alias("packet", "end"))
+    begin = F.when(F.col("packet") == 0, F.col("start")).otherwise(parted)
+    return ends.withColumns(
+        {
+            "packet_words": (F.col("end") - begin).cast("long"),
+            "virtual_finish": F.when(F.col("target") > 0, F.col("end") / F.col("target")),
+        }
+    ).drop("start", "end")
+
+
+def mix(docs: DataFrame, carry: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+    """One row per packet in the global order of virtual finish times, with its place and words taken.
+
+    ``mix_start`` is the number of words of the mix before the packet; ``words_taken`` what is left of
+    the total budget, the sum of all targets in whole words, at that place: 0 beyond the cut.
+    """
+    # Packets without words share no finish time worth sorting by; their hash deals them out.
+    counts = F.col("packet_words") > 0
+    bucket = F.when(counts, F.floor(F.coalesce("virtual_finish", F.lit(0.0)) * BUCKETS)).otherwise(-1 - F.shiftright("u", 48))
+    served = written(packets(docs, carry, text).withColumn("finish_bucket", bucket.cast("long")), "mix-served")
+    totals = served.where(counts).groupBy("finish_bucket").agg(F.sum("packet_words").alias("bucket_words"))
     starts = totals.select(
         "finish_bucket",
         F.coalesce(F.sum("bucket_words").over(W.orderBy("finish_bucket").rowsBetween(*_ALL_BEFORE)), F.lit(0)).alias("bucket_start"),
     )
-    inside = W.partitionBy("finish_bucket").orderBy(
-        "virtual_finish", "source_null", "source_key", "epoch", "queue_bucket", "queue_row"
-    )
+    targets = served.groupBy("source_null", "source_key").agg(F.floor(F.max("target")).alias("whole"))
+    budget = targets.agg(F.coalesce(F.sum("whole"), F.lit(0)).alias("budget"))
+    inside = W.partitionBy("finish_bucket").orderBy(*MIX_ORDER)
+    place = F.coalesce("bucket_start", F.lit(0)) + F.coalesce(F.sum("packet_words").over(inside.rowsBetween(*_ALL_BEFORE)), F.lit(0))
+    left = F.greatest(F.lit(0), F.col("budget") - F.col("mix_start"))
     return (
         served.join(starts, "finish_bucket", "left")
-        .withColumn(
-            "mix_start",
-            F.coalesce("bucket_start", F.lit(0))
-            + F.coalesce(F.sum("words_taken").over(inside.rowsBetween(*_ALL_BEFORE)), F.lit(0)),
-        )
-        .drop("bucket_start", "finish_bucket", "start")
+        .withColumn("mix_start", place)
+        .crossJoin(F.broadcast(budget))  # one row
+        .withColumn("words_taken", F.least(F.col("packet_words"), left).cast("long"))
+        .drop("bucket_start", "finish_bucket", "budget")
     )
 
 
+#: The order of packets whose virtual finish times are equal.
+MIX_ORDER = ("virtual_finish", "source_null", "source_key", "epoch", "queue_bucket", "queue_row", "packet")
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its ``n``-th word."""
     pieces = F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ")
@@ -165,42 +184,36 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents of the mix with all their columns: once per epoch that takes words of them.
+    """The documents of the mix with all their columns, in its order: once per epoch that takes words of them.
 
-    A document that the cut divides keeps its first words, and ``n_chars`` follows its text. Rows
-    are matched by their id and a hash of all their columns; equal rows are numbered.
+    Rows come range-sorted by their place, partition after partition. A document that the cut divides
+    keeps its first words, and ``n_chars`` follows its text. Rows are matched by their id and a hash
+    of all their columns; equal rows are stored once and served as often as there are.
     """
     columns = docs.columns
-    numbered = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in columns]))
-    same = W.partitionBy("doc_id", "__row")
-    plan = mix(numbered, ("__row",), text).where("words_taken > 0")
-    per_row = plan.groupBy("doc_id", "__row", "source_null", "source_key", "queue_bucket", "queue_row").agg(
-        F.sort_array(F.collect_list(F.struct("epoch", "words_taken"))).alias("servings")
-    )
-    per_key = per_row.groupBy(F.col("doc_id").alias("__id"), F.col("__row").alias("__key")).agg(
-        F.sort_array(F.collect_list("servings"), asc=False).alias("__copies")
-    )
-    kept = (
-        numbered.withColumn("__copy", F.row_number().over(same.orderBy("doc_id")) - 1)
-        .join(per_key, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")))
-        .withColumn("__serving", F.explode(F.coalesce(F.get("__copies", F.col("__copy")), F.array())))
+    keyed = docs.withColumn("__row", row_key(docs))
+    served = mix(keyed, ("__row",), text).where("words_taken > 0")
+    servings = served.groupBy("doc_id", "__row", "source_null", "source_key", "queue_bucket", "queue_row", "epoch").agg(
+        F.sum("words_taken").alias("__n"), F.min("mix_start").alias("__place")
     )
-    n = F.col("__serving.words_taken")
-    cut = F.when(n < word_count(F.col(text)), first_words(F.col(text), n)).otherwise(F.col(text))
-    out = kept.withColumn(text, cut)
+    named = row_name(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
+    wanted = servings.select(*[c.alias(name) for name, c in named.items()], "__n", "__place")
+    kept = keyed.withColumns(named).dropDuplicates([*ROW_NAME]).join(wanted, [*ROW_NAME])
+    n = F.col("__n")
+    out = kept.withColumn(text, F.when(n < word_count(F.col(text)), first_words(F.col(text), n)).otherwise(F.col(text)))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+    return out.repartitionByRange("__place").sortWithinPartitions("__place").select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, with its source's size and target."""
+    """Words that the mix takes of every document, its source's size and target, and its place in the mix."""
     served = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     row = ["source_null", "source_key", "queue_bucket", "queue_row"]
     return (
         served.groupBy(*row, "doc_id", "size", "source_size", "target")
-        .agg(F.sum("words_taken").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .agg(F.sum("words_taken").alias("taken"), F.min(F.when(F.col("words_taken") > 0, F.col("mix_start"))).alias("mix_start"))
+        .select("doc_id", "size", "source_size", "target", "taken", "mix_start")
     )
 
 
@@ -225,13 +238,25 @@ WITH d AS (
                weight * max(level) OVER ()) AS target
   FROM l
 ), q AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT row_number() OVER () AS rid, doc_id, d.source, u, size, source_size, target,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (
+  SELECT q.*, epoch, before + epoch * source_size AS a, before + epoch * source_size + size AS z, floor(target)::BIGINT AS cut
+  FROM q, (SELECT unnest(range({EPOCHS})) AS epoch)
+), p AS (
+  SELECT *, least(z, cut) - a AS n, least(z, cut) / target AS finish FROM e WHERE a < cut AND size > 0
+  UNION ALL
+  SELECT *, z - greatest(a, cut) AS n, z / target AS finish FROM e WHERE z > cut AND size > 0
+), m AS (
+  SELECT rid, n, coalesce(sum(n) OVER (ORDER BY finish, source NULLS LAST, epoch, u, doc_id, size
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS mix_start
+  FROM p
+), k AS (
+  SELECT rid, mix_start, greatest(0, least(n, (SELECT sum(floor(target)) FROM t)::BIGINT - mix_start)) AS taken FROM m
+), g AS (
+  SELECT rid, sum(taken)::BIGINT AS taken, min(mix_start) FILTER (taken > 0) AS mix_start FROM k GROUP BY rid
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, floor(target)::BIGINT - before))
-        + greatest(0, least(size, floor(target)::BIGINT - before - source_size)))::BIGINT AS taken
-FROM q
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, mix_start FROM q LEFT JOIN g USING (rid)
 """

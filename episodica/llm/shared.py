@@ -86,15 +86,23 @@ def row_place(row: Column) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row.alias("row"))
 
 
+#: Columns that name a row in joins: is its id null, its id as text, and its hash.
+ROW_NAME = ("__no_id", "__id", "__row")
+
+
+def row_name(no_id: Column, doc_id: Column, row: Column) -> dict[str, Column]:
+    """The values of ``ROW_NAME``, none of them null."""
+    return dict(zip(ROW_NAME, (no_id, F.coalesce(doc_id.cast("string"), F.lit("")), row), strict=True))
+
+
 def rows_at(keyed: DataFrame, places: DataFrame) -> DataFrame:
     """One row of ``keyed``, which has a ``__row``, for every ``place`` of ``places``.
 
     The join's columns are those by which repeated rows are dropped, so rows are exchanged once.
     """
-    same = lambda no_id, doc_id, row: {"__no_id": no_id, "__id": F.coalesce(doc_id.cast("string"), F.lit("")), "__row": row}
-    wanted = places.select(*[c.alias(name) for name, c in same(F.col("place.no_id"), F.col("place.id"), F.col("place.row")).items()])
-    named = keyed.withColumns(same(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row")))
-    return named.join(wanted, ["__no_id", "__id", "__row"], "left_semi").dropDuplicates(["__no_id", "__id", "__row"]).select(*keyed.columns)
+    wanted = places.select(*[c.alias(name) for name, c in row_name(F.col("place.no_id"), F.col("place.id"), F.col("place.row")).items()])
+    named = keyed.withColumns(row_name(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row")))
+    return named.join(wanted, [*ROW_NAME], "left_semi").dropDuplicates([*ROW_NAME]).select(*keyed.columns)
 
 
 def word_count(text: Column) -> Column:
