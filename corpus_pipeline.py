@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import decontaminate, mixing, quality, similar, token_ids
-from episodica.llm.shared import written
+from episodica.llm import decontaminate, mixing, near_copies, quality, token_ids
+from episodica.llm.shared import fresh_path, remove, scratch, written
 from episodica.sources.tables import table
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of similar texts, that with the smallest id."""
-    return similar.deduplicated(docs)
+    """One document of every component of near copies, that with the smallest id."""
+    return near_copies.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,15 +46,21 @@ STAGES = [
     ("token ids", token_output),
 ]
 
-#: XXH64, SimHash and the tokenizer are not in SQL; the tests hold run() against brute force.
+#: The tokenizer is not in SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the rows of the last one."""
-    docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = written(docs, f"stage-{n}")
-    return docs
+    """All stages over ``documents``; the rows of the last one.
+
+    A stage's intermediate tables are deleted once its output is written, and its input with them.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        path = fresh_path(spark, f"stage-{n}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"stage-{n}", path)
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

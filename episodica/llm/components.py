@@ -1,7 +1,8 @@
 """Connected components of a graph of edges, by alternating star contractions.
 
-Each round joins every edge with the smallest neighbour of its ends (a map-side aggregated minimum
-and a join whose hot keys Spark can split), and is written to the shared folder, so that lineage
+Each round joins every edge with the smallest neighbour of its ends: a map-side aggregated minimum,
+written as a table of its own, so that in the join Spark can split a node with very many edges. The
+edges of a round are written to the shared folder, those of the round before are deleted; lineage
 stays short and no edge list reaches the driver. Edges shrink to one star per component.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import written
+from episodica.llm.shared import fresh_path, remove, written, written_small
 
 MAX_ROUNDS = 60
 
@@ -23,13 +24,13 @@ def _state(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a node to the node's smallest neighbour, or itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = written_small(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = written_small(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -39,14 +40,16 @@ def component_roots(edges: DataFrame) -> DataFrame:
 
     ``edges`` has the columns ``u`` and ``v``, in any direction and any number of times.
     """
-    edges = written(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    spark, path = edges.sparkSession, fresh_path(edges.sparkSession, "edges")
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", path)
     state = _state(edges)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        edges = written(_small_star(_large_star(edges)), "edges")
+        before, path = path, fresh_path(spark, "edges")
+        large = written(_large_star(edges), "large-star")
+        edges = written(_small_star(large), "edges", path)
+        remove(spark, before)
         previous, state = state, _state(edges)
         if state == previous:
             break

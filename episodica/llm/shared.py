@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,31 +15,58 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_REGEX = rf"[^{SPACE_CLASS}]+"
 
 
+#: Folders of ``scratch`` blocks that are open, the innermost last.
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only a session on one machine (as in tests) may name none, and is given a temporary folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="episodica-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, stem: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    """A path in the shared folder, in the open ``scratch`` block's, that nothing else uses."""
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables of the block are deleted at its end; what is to stay is written to a path from outside."""
+    path = fresh_path(spark, "scratch")
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        remove(spark, path)
 
 
-def written(df: DataFrame, stem: str) -> DataFrame:
+def written(df: DataFrame, stem: str, path: str | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, stem)
+    path = path or fresh_path(spark, stem)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_small(df: DataFrame, stem: str) -> DataFrame:
+    """``written`` for tables of one narrow row per key, in fewer files than there are shuffle partitions.
+
+    A join with the plain table, not with the aggregate itself, lets Spark split its hot keys.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.coalesce(max(1, n // 8)), stem)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system."""
     jvm = spark.sparkContext._jvm

@@ -19,7 +19,7 @@ empty result. Every text is used whole; memory is bounded by one batch and one t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm.components import component_roots
-from episodica.llm.shared import in_small_batches, row_key, row_place, rows_at, written
+from episodica.llm.shared import in_small_batches, row_key, row_place, rows_at, written, written_small
 from episodica.sources.tables import table
 
 #: Fixed values of the contract.
@@ -38,33 +38,46 @@ RADIUS = 3
 BITS = 64
 
 TILE = 1024
+TILE_ROWS = 8192
 SMALL_GROUP = 32
 QUERY_ROWS = 256
 SHINGLE_CHUNK = 1 << 15
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
-    """SimHash of a whole text over its shingles, repeats included."""
+def word_bytes(text: str | None) -> list[bytes]:
+    """Words of a whole text, A-Z in lower case."""
+    return (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
+
+
+def shingle_hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """XXH64 of all shingles in order, ``SHINGLE_CHUNK`` at a time; fewer words are one shingle."""
     import xxhash
 
-    words = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
-    if not words:
-        return 0
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) < width:
-        return digest(joined, SEED)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    counts, n = np.zeros(BITS, np.int64), len(words) - width + 1
-    for at in range(0, n, SHINGLE_CHUNK):
-        stop = min(at + SHINGLE_CHUNK, n)
-        spans = zip(starts[at:stop], ends[at + width - 1 : stop + width - 1], strict=True)
-        hashes = np.array([digest(joined[a : b - 1], SEED) for a, b in spans], "<u8")
+    if 0 < len(words) < width:
+        yield np.array([digest(joined, SEED)], "<u8")
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    for at in range(0, len(words) - width + 1, SHINGLE_CHUNK):
+        stop = min(at + SHINGLE_CHUNK, len(words) - width + 1)
+        spans = zip(starts[at:stop], starts[at + width : stop + width], strict=True)
+        yield np.array([digest(joined[a : b - 1], SEED) for a, b in spans], "<u8")
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """64 bits, each set if it is set in over half the hashes."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in chunks:
+        n += len(hashes)
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
+    """SimHash of a whole text over its shingles, repeats included."""
+    return majority(shingle_hashes(word_bytes(text), width))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).astype(np.int64)
@@ -85,10 +98,9 @@ def block_bounds(radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 def block_keys(fp: Column, radius: int = RADIUS) -> Column:
-    """A key for every pair of blocks of a fingerprint."""
+    """A key for every pair of blocks of a fingerprint, a hash of the pair's number and bits."""
     parts = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in block_bounds(radius)]
-    pairs = combinations(parts, 2)
-    return F.array(*[F.shiftleft(F.shiftleft(a, 16).bitwiseOR(b), 6).bitwiseOR(F.lit(k)) for k, (a, b) in enumerate(pairs)])
+    return F.array(*[F.xxhash64(F.lit(k), a, b) for k, (a, b) in enumerate(combinations(parts, 2))])
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -205,8 +217,8 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return items, label[items]
 
 
-def _tile_edges(frame: pa.Table) -> pa.RecordBatch:
-    """Stars of the linked fingerprints of whole tiles, sorted by tile."""
+def _tile_edges(frame: pa.Table, radius: int) -> pa.RecordBatch:
+    """Stars of the linked nodes of whole tiles, sorted by tile."""
     key, a, b, chunk, signed = (frame.column(c).to_numpy() for c in ("key", "a", "b", "chunk", "fp"))
     values = signed.view(np.uint64)
     new = np.append(True, (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
@@ -215,70 +227,94 @@ def _tile_edges(frame: pa.Table) -> pa.RecordBatch:
     links = []
     where = np.flatnonzero(np.repeat(sizes <= SMALL_GROUP, sizes))
     if len(where):
-        i, j = close_in_small_groups(values[where], tile[where])
+        i, j = close_in_small_groups(values[where], tile[where], radius)
         links.append((where[i], where[j]))
     for start, size in zip(first[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP], strict=True):
         part, side = values[start : start + size], chunk[start : start + size]
         left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-        i, j = close_in_block(part[left], part[right])
+        i, j = close_in_block(part[left], part[right], radius)
         links.append((start + left[i], start + right[j]))
     items, roots = stars(len(values), *(np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*links, strict=True)))
-    return pa.RecordBatch.from_arrays([pa.array(signed[items]), pa.array(signed[roots])], names=["u", "v"])
+    node = frame.column("node").combine_chunks()
+    return pa.RecordBatch.from_arrays([node.take(pa.array(items)), node.take(pa.array(roots))], names=["u", "v"])
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rest = None
-    for batch in batches:
-        if not len(batch):
-            continue
-        frame = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        last = [frame.column(c).to_numpy() for c in ("key", "a", "b")]
-        whole = np.flatnonzero((last[0] != last[0][-1]) | (last[1] != last[1][-1]) | (last[2] != last[2][-1]))
-        cut = int(whole[-1]) + 1 if len(whole) else 0  # the last tile may go on
-        if cut:
-            yield _tile_edges(frame.slice(0, cut))
-        rest = frame.slice(cut)
-    if rest is not None:
-        yield _tile_edges(rest)
+def _tiles(radius: int):
+    """Edges of tiles, which come sorted, at least ``TILE_ROWS`` rows at a time."""
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) < TILE_ROWS:
+                continue
+            frame = pa.Table.from_batches(held).combine_chunks()
+            last = [frame.column(c).to_numpy() for c in ("key", "a", "b")]
+            whole = np.flatnonzero((last[0] != last[0][-1]) | (last[1] != last[1][-1]) | (last[2] != last[2][-1]))
+            cut = int(whole[-1]) + 1 if len(whole) else 0  # the last tile may go on
+            if cut:
+                yield _tile_edges(frame.slice(0, cut), radius)
+            held = frame.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield _tile_edges(pa.Table.from_batches(held).combine_chunks(), radius)
+
+    return compared
 
-def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``u, v``: edges that connect all fingerprints within the radius of each other.
 
-    ``prints`` has distinct fingerprints ``fp``. The edges of a tile are stars, fewer than its rows.
+def in_tiles(filed: DataFrame, group: list[str], sizes: DataFrame) -> DataFrame:
+    """Rows of ``filed`` dealt out, and sorted, by tile: all pairs of ``chunks`` of every group meet in one.
+
+    ``sizes`` is a plain table of the groups and their number of ``chunks``; groups without are
+    dropped. Tiles are named by the group and the columns ``a`` and ``b``; ``chunk`` is a row's own.
     """
-    keyed = prints.select("fp", F.explode(block_keys(F.col("fp"), radius)).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / TILE).cast("int")
+    chunks, others = F.col("chunks"), [c for c in filed.columns if c not in group]
     tiles = (
-        keyed.join(sizes, "key")
-        .withColumn("chunk", F.pmod(F.xxhash64("fp"), chunks).cast("int"))
+        filed.join(sizes, group)
+        .withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        .select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "fp")
+        .select(*group, F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", *others)
     )
-    dealt = tiles.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "chunk")
-    return dealt.mapInArrow(_tiles, "u bigint, v bigint")
+    return tiles.repartition(*group, "a", "b").sortWithinPartitions(*group, "a", "b", "chunk")
+
+
+def links(filed: DataFrame, radius: int) -> DataFrame:
+    """``u, v``: edges that connect all nodes of a file whose fingerprints are within the radius.
+
+    ``filed`` has ``key, fp, node``. The edges of a tile are stars, fewer than its rows.
+    """
+    sizes = filed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    chunks = written_small(sizes.select("key", F.ceil(F.col("n") / TILE).cast("int").alias("chunks")), "file-sizes")
+    kind = filed.schema["node"].dataType.simpleString()
+    return in_tiles(filed, ["key"], chunks).mapInArrow(_tiles(radius), f"u {kind}, v {kind}")
+
+
+def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``u, v``: edges that connect all fingerprints within the radius of each other.
+
+    ``prints`` has distinct fingerprints ``fp``, each filed under all pairs of ``radius + 2`` blocks.
+    """
+    return links(prints.select(F.explode(block_keys(F.col("fp"), radius)).alias("key"), "fp", F.col("fp").alias("node")), radius)
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``."""
     by_doc = written(fingerprints(docs, text), "fingerprints")
-    distinct = by_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    distinct = written(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = component_roots(fingerprint_links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, F.col("fp") == F.col("u"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = written_small(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "components")
     components = rooted.join(least, "root").select("fp", "component_id")
     return by_doc.join(components, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for every component, that with the smallest document id; all columns.
 
     Ids need not be unique: rows are told apart by all their values, and rows without an id come
     after those with one.
     """
     keyed = docs.withColumn("__row", row_key(docs))
-    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), F.col(f"`{text}`").alias("text")), radius=radius)
     of_row = found.select(F.col("doc_id").alias("__of"), "component_id").distinct()
     rows = keyed.select("doc_id", "__row").join(of_row, F.col("__row") == F.col("__of"))
     places = rows.groupBy("component_id").agg(F.min(row_place(F.col("__row"))).alias("place"))

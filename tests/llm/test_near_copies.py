@@ -66,3 +66,45 @@ def test_documents_match_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect()]
     got = sorted(r.doc_id for r in stage(spark, table(spark, sf, "documents")).collect())
     assert got == slow_kept(rows)
+
+
+def test_large_components_in_tiles(spark, monkeypatch):
+    """Hundreds of near copies of one text, in tiles of a few texts, leave one; a text at 0.7 stays."""
+    from episodica.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "TILE", 16)
+    monkeypatch.setattr(simhash, "TILE", 16)
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(150):
+        copy = list(words)
+        copy[k] = f"x{k}"
+        rows.append((k, " ".join(copy)))
+    apart = list(words)
+    for k in range(10, 200, 30):
+        apart[k] = f"y{k}"
+    rows.append((1000, " ".join(apart)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in stage(spark, docs).collect()) == slow_kept(rows) == [0, 1000]
+
+
+def test_connected_pairs_match_all_pairs():
+    """Left-out comparisons change no component."""
+    import numpy as np
+
+    from episodica.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(100) < 0.06, rng.integers(1000, 9000, 100), base).astype(np.uint64)) for _ in range(60)]
+    every = [(i, j) for i in range(60) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9]
+    found = near_copies.connected([*range(60)], [*range(60)], sets, np.ones((60, 60), bool))
+
+    def labels(pairs):
+        label = list(range(60))
+        for i, j in pairs:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+        return label
+
+    assert labels(found) == labels(every) and len(found) < len(every) and {*map(frozenset, found)} <= {*map(frozenset, every)}

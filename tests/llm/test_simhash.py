@@ -75,6 +75,23 @@ def test_links_over_large_files(spark, monkeypatch):
     assert [roots.get(v, v) for v in values] == [values[k] for k in label]
 
 
+@pytest.mark.parametrize("radius", [1, 6, 9])
+def test_other_radii(spark, radius):
+    """Fingerprints at the radius are linked, those one bit beyond it are not."""
+    rng = np.random.default_rng(radius)
+    values = []
+    for _ in range(40):
+        base = int(rng.integers(0, 2**63))
+        bits = rng.permutation(63)
+        near = base ^ sum(1 << int(b) for b in bits[:radius])
+        far = near ^ sum(1 << int(b) for b in bits[radius : 2 * radius + 1])
+        values += [base, near, far]
+    prints = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = {r.u: r.root for r in simhash.component_roots(simhash.fingerprint_links(prints, radius)).collect()}
+    root = [roots.get(v, v) for v in values]
+    assert all(root[k] == root[k + 1] != root[k + 2] for k in range(0, len(root), 3))
+
+
 def test_edge_cases(spark):
     rows = [(1, None, 1), (2, "", 2), (3, "one", 3), (4, "ONE", 4), (4, "ONE", 4), (None, "x y", 5), (9, "a b c " * 9000, 6), (8, "a b c " * 9000, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
