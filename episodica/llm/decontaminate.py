@@ -1,20 +1,24 @@
 """Benchmark decontamination: item-sized windows, SimHash blocks, exact weighted similarity.
 
-A window of a document is as long as a benchmark item. It is looked at where a shingle of
-``SHINGLE_WORDS`` words that it shares with the item would put the item's start; a window that is
-similar at all shares one. Its SimHash is then held against the item's: fingerprints are cut into
-``RADIUS + 1`` blocks, and fingerprints within the radius agree in one at least, so an equi-join on
-blocks finds them all. What is within the radius is verified by the exact similarity of shingle
-counts, shared over all, which alone decides.
-
-At a similarity of 0.8, 64-bit fingerprints of some 40 shingles differ in 10 bits, give or take 3.
-The radius is set beyond that spread, at which blocks of 2 or 3 bits select little; the shared
-shingle is what keeps windows few, and the blocks are joined within its item.
-
-Only DataFrame functions are used. The benchmark is broadcast in blocks of at most
-``BROADCAST_SHINGLES`` shingles, each against all documents. Items of fewer words than a shingle are
-one shingle of their own length. Null and empty texts and items match nothing; repeated rows of a
-document or item give one result; a document shorter than an item is compared whole.
+A window of a document is as long as a benchmark item; a document shorter than the item is one. All
+windows are in question, at every start. Their similarity to the item, of the counts of shingles of
+``SHINGLE_WORDS`` words, is exact and alone decides; what comes before it leaves out no window that
+could reach the threshold:
+
+* a window that is similar enough shares so many shingles with its item that at least ``need`` of
+  its places hold one, so only starts with so many hits in reach are looked at;
+* fingerprints are cut into ``RADIUS + 1`` blocks; those within the radius agree in one at least, so
+  a window whose fingerprint agrees in no block, or is beyond the radius, is left out. At a similarity
+  of 0.8, 64-bit fingerprints of some 40 shingles differ in 10 bits, give or take 3; the radius is
+  set 4 deviations beyond.
+
+Only DataFrame functions are used. The benchmark's shingles are broadcast while there are at most
+``BROADCAST_SHINGLES`` of them and joined by hash otherwise, in one pass over the documents either
+way; so are the documents' candidate starts.
+
+Items of fewer words than a shingle are one shingle of their own length. Null and empty texts and
+items match nothing; rows that repeat a document or item give one result; results are by id, so rows
+of one id, or without one, are one document there, while ``decontaminated`` tells rows apart.
 """
 
 from __future__ import annotations
@@ -24,14 +28,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import with_computed, words
+from episodica.llm.shared import with_computed, words, written
 from episodica.sources.tables import table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BITS = 64
 RADIUS = 23
+
+#: Most shingles of a benchmark, and most candidate starts, that are broadcast.
 BROADCAST_SHINGLES = 200_000
+BROADCAST_STARTS = 200_000
 
 
 def shingle_hashes(tokens: Column, width: int) -> Column:
@@ -67,68 +74,100 @@ def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
     )
 
 
-def shared_count(a: Column, b: Column) -> Column:
-    """How many shingles two texts share, each as often as in the text that has it less often."""
-    count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+def ranked(hashes: Column) -> Column:
+    """A multiset as a set: every hash, sorted, with how often it came before."""
+    return F.transform(hashes, lambda x, i: F.xxhash64(x, i - F.array_position(hashes, x)))
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``item_id, n_item, width, item_hashes, item_print`` of every item with a word."""
+    """``item, item_id, n_item, width, item_hashes, item_ranked, item_print`` of every item with a word.
+
+    ``item`` tells items of one id and different texts apart.
+    """
     tokens = with_computed(benchmark.select("item_id", "text"), "tokens", words(F.lower("text")))
     tokens = tokens.select("item_id", "tokens").where(F.size("tokens") > 0).distinct()
     n = F.size("tokens")
     by_width = F.coalesce(
         *[F.when(n == w, shingle_hashes(F.col("tokens"), w)) for w in range(1, SHINGLE_WORDS)], shingle_hashes(F.col("tokens"), SHINGLE_WORDS)
     )
-    hashed = with_computed(tokens.select("item_id", "tokens", n.alias("n_item"), F.least(n, F.lit(SHINGLE_WORDS)).alias("width")), "item_hashes", by_width)
-    return with_computed(hashed.drop("tokens"), "item_print", simhash(F.col("item_hashes")))
+    hashed = with_computed(tokens.select("item_id", n.alias("n_item"), F.least(n, F.lit(SHINGLE_WORDS)).alias("width"), "tokens"), "item_hashes", by_width)
+    order = with_computed(hashed.drop("tokens"), "__sorted", F.array_sort("item_hashes"))
+    made = order.withColumns({"item": F.xxhash64("item_id", "item_hashes"), "item_ranked": ranked(F.col("__sorted"))}).drop("__sorted")
+    return with_computed(made, "item_print", simhash(F.col("item_hashes")))
+
 
+def text_hashes(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with ``n_words`` and the ``hashes`` of its text's shingles instead of its text."""
+    tokens = with_computed(docs, "tokens", words(F.lower("text"))).drop("text").withColumn("n_words", F.size("tokens"))
+    return with_computed(tokens, "hashes", shingle_hashes(F.col("tokens"), width)).drop("tokens")
 
-def candidate_windows(docs: DataFrame, items: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """``doc_id, item_id, start, window``: windows that share a shingle with an item, by alignment."""
-    seeds = items.select("item_id", "n_item", F.posexplode("item_hashes").alias("q", "hash"))
-    tokens = with_computed(docs.select("doc_id", F.col(text).alias("text")), "tokens", words(F.lower("text")))
-    tokens = tokens.select("doc_id", "tokens", F.size("tokens").alias("n_words"))
-    hashed = with_computed(tokens, "hashes", shingle_hashes(F.col("tokens"), width))
-    hits = hashed.select("doc_id", "n_words", "hashes", F.posexplode("hashes").alias("p", "hash")).join(F.broadcast(seeds), "hash")
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n_words") - F.col("n_item")))
-    window = F.slice("hashes", F.col("start") + 1, F.col("n_item") - width + 1)
-    return hits.withColumn("start", start).select("doc_id", "item_id", "start", window.alias("window")).distinct()
+
+def window_size(width: int) -> Column:
+    """Shingles of a window: the item's, or the document's where it is shorter."""
+    return F.least("n_words", "n_item") - width + 1
+
+
+def candidate_starts(docs: DataFrame, items: DataFrame, width: int, threshold: float, small: bool) -> DataFrame:
+    """``doc_id, digest, item, starts``: where windows hold enough shingles of the item to be similar.
+
+    ``docs`` has ``doc_id, digest, text``. Of ``need`` hits in a row, the first and last must lie in
+    the window, which bounds its start.
+    """
+    seeds = items.select("item", "n_item", F.explode(F.array_distinct("item_hashes")).alias("hash"))
+    hits = text_hashes(docs, width).select("doc_id", "digest", "n_words", F.posexplode("hashes").alias("p", "hash"))
+    met = hits.join(F.broadcast(seeds) if small else seeds, "hash")
+    by_item = met.groupBy("doc_id", "digest", "n_words", "item", "n_item").agg(F.collect_list("p").alias("ps"))
+    ordered = with_computed(by_item, "at", F.array_sort("ps")).drop("ps")
+    size = window_size(width)
+    need = F.ceil((size + F.col("n_item") - width + 1) * F.lit(threshold / (1 + threshold)) - 1e-6).cast("int")
+    measured = ordered.withColumns({"size": size, "need": need}).where(F.size("at") >= F.col("need"))
+    last = F.greatest(F.lit(0), F.col("n_words") - F.col("n_item"))
+
+    def reach(k: Column) -> Column:
+        low = F.greatest(F.lit(0), F.get("at", k + F.col("need") - 1) - F.col("size") + 1)
+        high = F.least(F.get("at", k), last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), reach)))
+    return measured.select("doc_id", "digest", "item", starts.alias("starts")).where(F.size("starts") > 0)
+
+
+def similar_windows(docs: DataFrame, candidates: DataFrame, items: DataFrame, width: int, threshold: float, small: bool) -> DataFrame:
+    """``doc_id, item_id, similarity, start`` of all windows that reach the threshold."""
+    few = candidates.agg(F.coalesce(F.sum(F.size("starts") + 1), F.lit(0)).alias("n")).first().n <= BROADCAST_STARTS
+    wanted = candidates.withColumnsRenamed({"doc_id": "__of", "digest": "__digest"})
+    same = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("digest") == F.col("__digest"))
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, same).select("doc_id", "text", "item", "starts")
+    about = items.select("item", "item_id", "n_item", "item_ranked", "item_print")
+    paired = text_hashes(chosen, width).join(F.broadcast(about) if small else about, "item")
+    window = F.slice("hashes", F.col("start") + 1, window_size(width))
+    cut = paired.withColumn("start", F.explode("starts")).withColumn("window", window).drop("hashes", "starts")
+    printed = with_computed(cut, "window_print", simhash(F.col("window")))
+    near = printed.where(F.arrays_overlap(blocks(F.col("window_print")), blocks(F.col("item_print")))).where(
+        F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))) <= RADIUS
+    )
+    shared = F.size(F.array_intersect(ranked(F.col("__sorted")), F.col("item_ranked")))
+    counted = with_computed(with_computed(near, "__sorted", F.array_sort("window")), "shared", shared)
+    similarity = F.col("shared") / (F.size("window") + F.size("item_ranked") - F.col("shared"))
+    return counted.select("doc_id", "item_id", similarity.alias("similarity"), "start").where(F.col("similarity") >= threshold)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, similarity, start``: the best window of every document for every item it holds."""
-    items = benchmark_items(benchmark)
+    named = docs.select("doc_id", F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
+    items = written(benchmark_items(benchmark), "items")
     sizes = items.groupBy("width").agg(F.sum(F.size("item_hashes")).alias("n")).collect()  # at most SHINGLE_WORDS rows
     parts = []
     for width, n in sizes:
-        of_width, n_blocks = items.where(F.col("width") == width), -(-n // BROADCAST_SHINGLES)
-        for k in range(n_blocks):
-            block = of_width.where(F.pmod(F.xxhash64("item_id", "item_hashes"), F.lit(n_blocks)) == k)
-            parts.append(_verified(candidate_windows(docs, block, width, text), block, threshold))
+        of_width, small = items.where(F.col("width") == width), n <= BROADCAST_SHINGLES
+        candidates = written(candidate_starts(named, of_width, width, threshold, small), "window-starts")
+        parts.append(similar_windows(named, candidates, of_width, width, threshold, small))
     if not parts:
         return docs.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("start"))
     best = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", "best.similarity", (-F.col("best.back")).cast("long").alias("start"))
 
 
-def _verified(windows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    printed = with_computed(windows, "window_print", simhash(F.col("window")))
-    by_block = printed.withColumn("b", F.explode(blocks(F.col("window_print"))))
-    item_blocks = items.select(F.col("item_id").alias("of_item"), "item_hashes", "item_print", F.explode(blocks(F.col("item_print"))).alias("ib"))
-    agree = F.col("item_id").eqNullSafe(F.col("of_item")) & (F.col("b.block") == F.col("ib.block")) & (F.col("b.bits") == F.col("ib.bits"))
-    pairs = (
-        by_block.join(F.broadcast(item_blocks), agree)
-        .where(F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        .select("doc_id", "item_id", "start", "window", "item_hashes")
-        .distinct()
-    )
-    shared = with_computed(pairs, "shared", shared_count(F.col("window"), F.col("item_hashes")))
-    similarity = F.col("shared") / (F.size("window") + F.size("item_hashes") - F.col("shared"))
-    return shared.select("doc_id", "item_id", "start", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
-
-
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
@@ -150,22 +189,26 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), b AS (
-  SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark
+  SELECT row_number() OVER () AS bid, item_id, ws FROM (
+    SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark)
 ), bs AS (
-  SELECT item_id, len(ws) AS n, q, ws[q+1:q+5] AS sh FROM (SELECT item_id, ws, unnest(range(len(ws) - 4)) AS q FROM b WHERE len(ws) >= 5)
+  SELECT bid, item_id, len(ws) AS n, ws[q+1:q+5] AS sh FROM (SELECT bid, item_id, ws, unnest(range(len(ws) - 4)) AS q FROM b WHERE len(ws) >= 5)
 ), ds AS (
   SELECT rid, doc_id, len(ws) AS m, p, ws[p+1:p+5] AS sh FROM (SELECT rid, doc_id, ws, unnest(range(len(ws) - 4)) AS p FROM d WHERE len(ws) >= 5)
+), i AS (
+  SELECT bid, item_id, n, sh, count(*) AS k FROM bs GROUP BY ALL
+), h AS (
+  SELECT rid, doc_id, m, p, bid, item_id, n, sh, k FROM ds JOIN i USING (sh)
 ), c AS (
-  SELECT DISTINCT rid, doc_id, item_id, n, m, greatest(0, least(p - q, m - n)) AS start FROM ds JOIN bs USING (sh)
+  SELECT DISTINCT rid, doc_id, bid, item_id, m, n FROM h
+), t AS (
+  SELECT rid, doc_id, bid, item_id, m, n, unnest(range(greatest(0, m - n) + 1)) AS start FROM c
 ), w AS (
-  SELECT rid, item_id, start, sh, count(*) AS k FROM c JOIN ds USING (rid, doc_id, m) WHERE p >= start AND p <= start + n - 5 GROUP BY ALL
-), i AS (
-  SELECT item_id, sh, count(*) AS k FROM bs GROUP BY ALL
-), s AS (
-  SELECT rid, item_id, start, sum(least(w.k, i.k)) AS shared FROM w JOIN i USING (item_id, sh) GROUP BY ALL
+  SELECT t.doc_id, t.rid, t.bid, t.item_id, t.m, t.n, t.start, sh, least(count(*), any_value(k)) AS k
+  FROM t JOIN h ON t.rid = h.rid AND t.bid = h.bid AND p >= start AND p <= start + t.n - 5 GROUP BY ALL
 ), v AS (
-  SELECT c.doc_id, c.item_id, c.start, s.shared / (least(c.m, c.n) - 4 + c.n - 4 - s.shared)::DOUBLE AS similarity
-  FROM c JOIN s USING (rid, item_id, start)
+  SELECT doc_id, item_id, start, sum(k) / (least(m, n) - 4 + n - 4 - sum(k))::DOUBLE AS similarity
+  FROM w GROUP BY rid, bid, doc_id, item_id, m, n, start
 )
 SELECT doc_id, item_id, max(similarity) AS similarity, arg_min(start, [-similarity, start])::BIGINT AS start
 FROM v WHERE similarity >= 0.8 GROUP BY doc_id, item_id

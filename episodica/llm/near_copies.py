@@ -38,7 +38,7 @@ THRESHOLD = 0.8
 RADIUS = 20
 BANDS, ROWS = 8, 3
 
-TILE, TILE_SHINGLES = 1024, 1 << 20
+TILE, TILE_SHINGLES = 512, 1 << 20
 SLICE = 1 << 12
 
 #: Permutations of 64-bit numbers: added, then multiplied by an odd number, of a fixed generator.

@@ -195,3 +195,58 @@ def test_benchmark_in_blocks(spark, sf, monkeypatch):
     whole = rows()
     monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 300)
     assert rows() == whole
+    monkeypatch.setattr(decontaminate, "BROADCAST_STARTS", 1)
+    assert rows() == whole
+
+
+def slow_windows(docs, items):
+    """The best of all windows, at every start, by brute force."""
+    from collections import Counter
+
+    found = {}
+    for doc_id, text in docs:
+        words = (text or "").lower().split()
+        for item_id, item in items:
+            goal = item.lower().split()
+            width, size = min(5, len(goal)), min(len(words), len(goal))
+            count = lambda w: Counter(zip(*(w[k:] for k in range(width)), strict=False))  # noqa: B023, E731
+            want, best = count(goal), None
+            for start in range(len(words) - size + 1):
+                got = count(words[start : start + size])
+                value = (got & want).total() / max(1, (got | want).total())
+                if value >= 0.8 and (best is None or value > best[0]):
+                    best = (value, start)
+            if best:
+                found[doc_id, item_id] = best
+    return found
+
+
+def test_decontamination_of_all_windows(spark):
+    """Items with halves swapped, words put in, taken out or changed, and repetitive ones, at any place."""
+    import random
+
+    rng = random.Random(11)
+    items, docs = [], []
+    for k in range(30):
+        n = rng.choice([3, 6, 20, 40, 100])
+        items.append((k, " ".join(rng.choice(["ab", f"w{rng.randrange(9 if k % 3 == 0 else 900)}"]) for _ in range(n))))
+    for d in range(160):
+        words = rng.choice(items)[1].split()
+        kind, at = d % 5, rng.randrange(len(words))
+        if kind == 0:
+            words = words[at:] + words[:at]
+        elif kind == 1:
+            words.insert(at, "put")
+        elif kind == 2:
+            del words[at]
+        elif kind == 3:
+            words[at] = "other"
+        around = [[f"r{rng.randrange(50)}" for _ in range(rng.randrange(30))] for _ in (0, 1)]
+        docs.append((d, " ".join([*around[0], *words, *around[1]])))
+    docs += [(900, "ab " * 700), (901, "w1 ab " * 300), (902, None), (903, "")]
+    items += [(40, "ab " * 60), (41, "ab w1 " * 25)]
+    want = slow_windows(docs, items)
+    made = [spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.contaminated(*made).collect()}
+    assert {*got} == {*want} and len(want) > 60
+    assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
