@@ -4,10 +4,14 @@ A page becomes a list of lines, one per block of text, each with the number of t
 A line's text-to-tag ratio is its length over those tags; menus (mostly link text) and boilerplate
 elements count as 0. Ratios are smoothed with a Gaussian, and a threshold at their standard
 deviation clusters lines into content and the rest. Content lines select the regions they lie in,
-an ``article`` or ``main`` element where there is one, else their enclosing block, and every line of
-a selected region that is not boilerplate is kept, however short. Class and id names do not drop an
-article or main element, nor the one container that holds most of the page's text, unless they name
-a block of comments, advertisements or the like.
+an ``article`` or ``main`` element where there is one, else their enclosing block and what lies
+between the first and the last of them, and every line of a selected region that is not boilerplate
+is kept, however short; a paragraph may be one link. A class or id name counts as boilerplate only if
+all its words are words of boilerplate or of layout. Such names do not drop an article or main
+element, nor the one container that holds most of the page's text, unless they name a block of
+comments, advertisements or the like.
+
+Every event costs the same, however many elements are open.
 
 Null and empty pages give an empty text; repeated rows are extracted each; other columns are left
 alone by ``main_text``; an empty table gives an empty result. Pages are used whole, one at a time.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -37,11 +42,13 @@ BREAKING = frozenset(
     " th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form button select textarea input iframe object svg canvas math audio video"
+    "script style noscript template head title nav footer aside form button select textarea input iframe object svg canvas audio video"
     " dialog menu search map datalist".split()
 )
 REGIONS = frozenset(("article", "main"))
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
+BARRIERS = frozenset(("article", "main", "table"))
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption caption".split())
 CLOSED_BY = {"p": BREAKING, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 #: Words of class and id names, and roles, that mark what is not the article.
@@ -50,7 +57,14 @@ BOILERPLATE_WORDS = frozenset(
     " disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
     " promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: Of these, words of blocks whose articles are not the page's, and class names that only say what a
+#: Words that only say where in a layout something is, or of what kind its box is.
+LAYOUT_WORDS = frozenset(
+    "a an and area article bar big block body bottom box btn button buttons card col column container content dark desktop end fixed form"
+    " global group head header holder icon icons inline inner item items large left light link links list lg main md mid middle mobile nofollow"
+    " on outer page panel position post posts primary right row secondary section side site slot sm small sticky strip tags the title"
+    " tools top unit wide wrap wrapper xl xs".split()
+)
+#: Of the words of boilerplate, those of blocks whose articles are not the page's, and class names that only say what a
 #: container has or lacks.
 FOREIGN_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising comment comments commentlist disqus footer nav navbar navigation promo promotion"
@@ -74,11 +88,17 @@ class Line:
     dropped: int
     region: int
     container: int
+    paragraph: bool
 
 
 def class_words(value: str) -> set[str]:
-    """Words of class and id names, without names that are modifiers."""
-    return {w for name in value.split() if not MODIFIER.fullmatch(name) for w in re.split(r"[^a-z]+", name)}
+    """Words of boilerplate in class and id names; modifiers and names that have words of their own give none."""
+    found: set[str] = set()
+    for name in value.split():
+        words = {w for w in re.split(r"[^a-z]+", name) if len(w) > 1}
+        if not MODIFIER.fullmatch(name) and words <= BOILERPLATE_WORDS | LAYOUT_WORDS:
+            found |= words & BOILERPLATE_WORDS
+    return found
 
 
 def is_foreign(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -115,18 +135,36 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple[str, int, int, int]] = []  # tag, dropped (FOREIGN, or the element that is named so), region, container
+        self.scopes: list[Counter] = [Counter()]  # open tags by name, since each barrier
+        self.all_open: Counter = Counter()
+        self.block = ""
         self.pieces: list[str] = []
         self.tags = self.link_chars = self.n_elements = 0
 
     def _top(self) -> tuple[str, int, int, int]:
         return self.open[-1] if self.open else ("", 0, 0, 0)
 
+    def _push(self, entry: tuple[str, int, int, int]) -> None:
+        if entry[0] in BARRIERS:
+            self.scopes.append(Counter())
+        self.scopes[-1][entry[0]] += 1
+        self.all_open[entry[0]] += 1
+        self.open.append(entry)
+
+    def _pop(self) -> str:
+        tag = self.open.pop()[0]
+        self.scopes[-1][tag] -= 1
+        self.all_open[tag] -= 1
+        if tag in BARRIERS:
+            self.scopes.pop()
+        return tag
+
     def flush(self) -> None:
         """End the block of text."""
         text = " ".join("".join(self.pieces).split())
         if text:
             _, dropped, region, container = self._top()
-            self.lines.append(Line(text, max(1, self.tags), self.link_chars, dropped, region, container))
+            self.lines.append(Line(text, max(1, self.tags), self.link_chars, dropped, region, container, self.block in PARAGRAPHS))
             self.tags = 0
         self.pieces, self.link_chars = [], 0
 
@@ -135,22 +173,24 @@ class LineParser(HTMLParser):
         if breaks or tag in DROPPED:
             self.flush()
         self.tags += 1
+        if breaks:
+            self.block = tag
         if tag in VOID:
             if tag in ("br", "wbr", "hr"):
                 self.pieces.append("" if tag == "wbr" else " ")
             return
         while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
-            self.open.pop()
+            self._pop()
         if tag in REGIONS:  # an article ends what was left open around a menu
             while self.open and self.open[-1][1] and self.open[-1][0] in ("a", "li", "ul", "ol", "nav", "header"):
-                self.open.pop()
+                self._pop()
         _, dropped, region, container = self._top()
         self.n_elements += 1
         if tag in REGIONS and dropped != FOREIGN:  # the page's article, whatever its containers are named
             dropped = 0
         if dropped != FOREIGN and is_boilerplate(tag, attrs, region > 0):
             dropped = FOREIGN if tag in REGIONS or is_foreign(tag, attrs) else dropped or self.n_elements
-        self.open.append(
+        self._push(
             (tag, dropped, self.n_elements if tag in REGIONS and not region else region, self.n_elements if tag in CONTAINERS else container)
         )
 
@@ -158,12 +198,12 @@ class LineParser(HTMLParser):
         if tag in BREAKING or tag in DROPPED:
             self.flush()
         self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                del self.open[at:]
-                break
-            if self.open[at][0] in ("article", "main", "table") and tag not in ("body", "html"):
-                break
+        if tag in BREAKING:
+            self.block = ""
+        # An end tag closes up to its element, but none beyond a barrier; the page's own ends may.
+        if self.scopes[-1][tag] or (tag in ("body", "html") and self.all_open[tag]):
+            while self._pop() != tag:
+                pass
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -192,7 +232,7 @@ def content_lines(lines: list[Line]) -> list[Line]:
     total = size(0) + sum(map(size, named))
     most = set() if region else {n for n in named if 2 * size(n) > total}  # its text overrules its name
     good = [x.dropped in {0} | most for x in lines]
-    ratios = np.array([len(x.text) / x.tags if ok and x.link_chars <= LINK_SHARE * len(x.text) else 0.0 for x, ok in zip(lines, good, strict=True)])
+    ratios = np.array([len(x.text) / x.tags if ok and (x.paragraph or x.link_chars <= LINK_SHARE * len(x.text)) else 0.0 for x, ok in zip(lines, good, strict=True)])
     if not any(good):
         return []
     smooth = smoothed(ratios)
@@ -204,8 +244,10 @@ def content_lines(lines: list[Line]) -> list[Line]:
             chosen = {max(regions, key=lambda n: sum(len(x.text) for x, ok in zip(lines, good, strict=True) if ok and x.region == n))}
         return [x for x, ok in zip(lines, good, strict=True) if ok and x.region in chosen]
     chosen = {x.container for x, hit in zip(lines, content, strict=True) if hit}
-    menu = [x.link_chars > LINK_SHARE * len(x.text) for x in lines]
-    return [x for x, ok, link in zip(lines, good, menu, strict=True) if ok and not link and x.container in chosen]
+    hits = [n for n, hit in enumerate(content) if hit]
+    menu = [x.link_chars > LINK_SHARE * len(x.text) and not x.paragraph for x in lines]
+    inside = lambda n, x: x.container in chosen or (bool(hits) and hits[0] < n < hits[-1])
+    return [x for n, (x, ok, link) in enumerate(zip(lines, good, menu, strict=True)) if ok and not link and inside(n, x)]
 
 
 def extract(html: str | None) -> str:
