@@ -1,25 +1,22 @@
-"""Removal of byte strings that repeat, by suffixes sorted through a sampled cover.
+"""Removal of byte strings that repeat, by a sample of positions that equal strings share.
 
-Every byte that is covered by a ``LENGTH``-byte string which also starts earlier is removed. Suffixes
-need to be told apart by their first ``LENGTH`` bytes only, so the steps of the difference-cover
-construction are taken to that depth:
+Every byte that is covered by a ``LENGTH``-byte string which also starts earlier is removed. Only the
+first ``LENGTH`` bytes of a suffix count, and equal strings only have to meet, so this is no suffix
+array: a difference cover by residues would sort two positions in three of the corpus, and again at
+every level of names, which is many times the input (see the README). Instead:
 
 * Sample. Three words of 8 bytes are a triple, and a mixed number its name. A string's sample is the
-  position in it whose triple has the least name. A cover by residues, such as two positions in
-  three, samples far more positions and has equal strings sampled at unequal offsets; a sample
-  chosen by content covers every string as well and equal strings agree in its offset.
-* Sort sampled triples. Samples are shuffled by name; a name that occurs once has no repeat, and its
-  strings, most of the corpus, are left behind here.
-* Recurse on names. The name of 72 bytes comes from three names of triples, that of a string from
-  the 72-byte name, the next triple's and its last word.
-* Merge the remaining suffixes. Strings that share a sample are brought together with the bytes
-  around it, and each is placed by its full name.
-* Compare adjacent prefixes. Equal names sort together; each string is compared byte by byte with
-  the first of its neighbours, and all but the first are marked.
+  position in it whose triple has the least name: one position in 39, at the same offset in equal
+  strings. A name that occurs once has no repeat, and its strings, most of the corpus, are left out.
+* Names. The name of 72 bytes is mixed from three names of triples, that of a string from the 72-byte
+  name, the next triple's and its last word.
+* Meet. Strings that share a sample are brought together with the bytes around it and ordered by
+  their names; each is compared byte by byte with the first of its name, and all but the first of
+  equal bytes are marked. Names only bring strings together; bytes alone decide.
 
 Texts that an earlier document has whole are settled by a hash and take no further part. A name with
 more than ``HOT`` samples is dealt out by a salt; strings that are first within their
-salt meet again by full name. So no task holds a hot group, and nothing is collected.
+salt meet again with their bytes. So no task holds a hot group, and nothing is collected.
 
 Null texts are empty. Rows that repeat a document id and its text are one document; rows that
 repeat an id with other texts are documents ordered by a hash of the text; null ids come first; an
@@ -47,6 +44,8 @@ HOT = 4_000
 PIECE = 1 << 16
 MERGE_BYTES = 2 << 20
 LOW = np.uint64((1 << 18) - 1)
+#: Names of samples have 48 bits: of the 3e12 samples of 100 TB, one in a hundred meets its name by chance.
+NAME_SHIFT = np.uint64(16)
 NO_ID = -(1 << 63)
 OUT_ROWS = 100_000
 
@@ -104,7 +103,7 @@ def samples(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.
     """Runs of strings with the same sample in a buffer of pieces.
 
     ``first`` and ``count`` give each piece's first string and number of strings. Returns per run
-    its piece, its first string, its length, the sample's offset and the sample's 32-bit name.
+    its piece, its first string, its length, the sample's offset and the sample's 48-bit name.
     """
     _, name = triple_names(data)
     order = (name & ~LOW) | np.arange(len(name), dtype=np.uint64)
@@ -119,7 +118,7 @@ def samples(data: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.
     piece = np.searchsorted(first, start, "right") - 1
     stop = np.minimum(np.append(start[1:], len(at)), (first + count)[piece])
     sample = at[start]
-    return piece, start, stop - start, sample - start, ((name[sample] * MIX[5]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return piece, start, stop - start, sample - start, ((name[sample] * MIX[5]) >> NAME_SHIFT).view(np.int64)
 
 
 def _text_bytes(value: pa.Scalar) -> memoryview:
@@ -209,9 +208,16 @@ def mark_repeats(data: np.ndarray, offsets: np.ndarray, group: np.ndarray) -> tu
     first_of[order] = np.repeat(first, np.diff(np.append(begin, len(order))))
     marked = np.flatnonzero(repeats)
     word = np.ndarray((len(data) - WORD + 1,), "<u8", data, strides=(1,))
+    differ = np.zeros(len(marked), bool)
     for k in [*range(0, LENGTH - WORD, WORD), LENGTH - WORD]:
-        if (word[at[marked] + k] != word[at[first_of[marked]] + k]).any():
-            raise RuntimeError("two strings of one name differ")
+        differ |= word[at[marked] + k] != word[at[first_of[marked]] + k]
+    if differ.any():  # two strings of one name: those of such names are told apart by their bytes
+        some = np.flatnonzero(np.isin(placed, np.unique(placed[marked[differ]])))
+        strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at[some]]
+        owner = np.unique(group[context[some]], return_inverse=True)[1].astype("<i8")
+        whole = np.ascontiguousarray(np.hstack([strings, owner[:, None].view(np.uint8)])).view(f"V{LENGTH + 8}").ravel()
+        _, first_at, same = np.unique(whole, return_index=True, return_inverse=True)
+        repeats[some] = first_at[same] != np.arange(len(some))
     return context, at, name, repeats
 
 
@@ -234,9 +240,13 @@ def _merge(table_: pa.Table, keys: list[str]) -> pa.RecordBatch:
     string = np.concatenate([begin, open_])
     start = columns["start"][row] + at[string] - offsets[:-1][row]
     stop = np.concatenate([start[: len(begin)] + at[end] - at[begin], start[len(begin) :]]) + LENGTH
-    open_name = pa.array(name[string].view(np.int64), mask=np.arange(len(string)) < len(begin))
+    spans = np.arange(len(string)) < len(begin)
+    open_name = pa.array(name[string].view(np.int64), mask=spans)
+    flat = np.ascontiguousarray(data)
+    open_bytes = pa.array([None] * len(begin) + [flat[k : k + LENGTH].tobytes() for k in at[open_].tolist()], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [*[pa.array(columns[k][row]) for k in keys], pa.array(start), pa.array(stop), open_name], names=[*keys, "start", "stop", "open_name"]
+        [*[pa.array(columns[k][row]) for k in keys], pa.array(start), pa.array(stop), open_name, open_bytes],
+        names=[*keys, "start", "stop", "open_name", "open_bytes"],
     )
 
 
@@ -265,19 +275,17 @@ def _merge_batches(keys: list[str]):
 
 
 def _settle_batches(keys: list[str]):
-    """Spans pass; of open strings, sorted by name and order, those after the first of their name do."""
+    """Spans pass; of open strings, sorted by name, bytes and order, those after the first of equal bytes do."""
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            name = batch.column("open_name")
-            known = np.asarray(name.is_valid())
-            value = np.asarray(name.fill_null(0))
-            after = np.append(bool(len(value)) and last == value[0], value[1:] == value[:-1]) if len(value) else known
-            before = np.append(last is not None, known[:-1]) if len(value) else known
-            if len(value):
-                last = value[-1] if known[-1] else None
-            yield batch.filter(pa.array(~known | (after & before))).select([*keys, "start", "stop"])
+            strings = batch.column("open_bytes")
+            after = []
+            for value in strings.to_pylist() if strings.null_count < len(batch) else [None] * len(batch):
+                after.append(value is None or value == last)
+                last = value
+            yield batch.filter(pa.array(after, pa.bool_())).select([*keys, "start", "stop"])
 
     return settled
 
@@ -289,7 +297,7 @@ def repeated_spans(docs: DataFrame, keys: list[str], settled: DataFrame) -> Data
     ``text``. Documents whose keys are in ``settled`` are left out.
     """
     key_schema = ", ".join(f"{k} bigint" for k in keys)
-    sampled = docs.join(settled, keys, "left_anti").select(*keys, "text").mapInArrow(_sample_batches, f"name int, place bigint, {key_schema}")
+    sampled = docs.join(settled, keys, "left_anti").select(*keys, "text").mapInArrow(_sample_batches, f"name bigint, place bigint, {key_schema}")
     # Written, so that the join reads a plain table and Spark can split its hot names.
     often = written(sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "names")
     salts = F.ceil(F.col("n") / HOT).cast("int")
@@ -307,9 +315,9 @@ def repeated_spans(docs: DataFrame, keys: list[str], settled: DataFrame) -> Data
     salt = F.pmod(F.xxhash64(*keys, "start"), F.col("salts"))
     grouped = contexts.select(*keys, "start", "salts", "context", F.xxhash64(triple, salt).alias("group"))
     marked = (
-        grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_merge_batches(keys), f"{key_schema}, start bigint, stop bigint, open_name bigint")
+        grouped.repartition("group").sortWithinPartitions("group").mapInArrow(_merge_batches(keys), f"{key_schema}, start bigint, stop bigint, open_name bigint, open_bytes binary")
     )
-    met = marked.repartition(F.coalesce("open_name", F.xxhash64(*keys, "start"))).sortWithinPartitions("open_name", *keys, "start")
+    met = marked.repartition(F.coalesce("open_name", F.xxhash64(*keys, "start"))).sortWithinPartitions("open_name", "open_bytes", *keys, "start")
     return met.mapInArrow(_settle_batches(keys), f"{key_schema}, start bigint, stop bigint")
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -86,3 +87,21 @@ def test_repeated_ids_nulls_and_empty_table(spark):
     assert suffix_dedup.removal_digests(wide).count() == 4
     assert suffix_dedup.with_spans(wide).columns == ["doc_id", "text", "runs", "spans"]
     assert suffix_dedup.with_spans(wide).count() == 4
+
+
+def test_names_that_clash(monkeypatch):
+    """Strings of one name and different bytes are told apart."""
+    real = suffix_dedup.string_names
+    monkeypatch.setattr(suffix_dedup, "string_names", lambda data, at: real(data, at) & np.uint64(7))
+    rng = np.random.default_rng(3)
+    parts = [rng.integers(97, 123, 150, dtype=np.uint8).tobytes().decode() for _ in range(6)]
+    texts = ["".join(parts[k] for k in rng.integers(0, 6, rng.integers(1, 5))) for _ in range(40)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    _, at, _, repeats = suffix_dedup.mark_repeats(data, offsets, np.zeros(len(texts), np.uint64))
+    seen, want = set(), []
+    for k in at.tolist():
+        string = data[k : k + 100].tobytes()
+        want.append(string in seen)
+        seen.add(string)
+    assert repeats.tolist() == want
