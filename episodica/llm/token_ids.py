@@ -23,8 +23,10 @@ import os
 import struct
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ BLOCK_IDS = 8192
 READ_IDS = 1 << 19
 END_ID = 2
 
-#: Documents encoded at once; words of a generation of the memo, and the longest that it keeps.
-ENCODE_DOCS, MEMO_WORDS, MEMO_BYTES = 250, 500_000, 48
+#: Documents encoded at once; words learnt at once, of a generation of the memo, and the longest that it keeps.
+ENCODE_DOCS, LEARN_WORDS, MEMO_WORDS, MEMO_BYTES = 250, 256, 500_000, 48
 
 #: Marks that a word may end in.
 CLOSING = b".,!?;:%$*#&|"
@@ -125,57 +127,71 @@ class TextEncoder:
         return [array(self.code, e.ids).tobytes() + self.end for e in found]
 
 
-class WordMemo(dict):
-    """Ids of words by the library, learnt as they are asked for.
-
-    Punctuation behind a letter starts a new piece, so a word and its closing marks are learnt
-    apart. Words asked for again are kept through the next generation of ``MEMO_WORDS`` words, so
-    frequent words stay and memory is bounded.
-    """
-
-    def __init__(self, tokenizer, code: str):
-        super().__init__()
-        self.tokenizer, self.code, self.older = tokenizer, code, {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        if (ids := self.older.get(word)) is None:
-            core = word.rstrip(CLOSING)
-            if core and len(core) < len(word) and (97 <= core[-1] <= 122 or ends_in_letter(core.decode())):
-                ids = self[core] + self[word[len(core) :]]
-            else:
-                ids = array(self.code, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
-        if len(word) <= MEMO_BYTES:
-            self[word] = ids
-        return ids
-
-    def turn(self) -> None:
-        """Begin a new generation once this one is full."""
-        if len(self) > MEMO_WORDS:
-            self.older = dict(self)
-            self.clear()
-
-
 class WordEncoder(TextEncoder):
     """The same ids for tokenizers that ``parts_at_white_space``: every word is encoded once and kept.
 
     White space is the ASCII one. Words are looked up in ASCII lower case, unless the text might hold
-    an added token, which is told apart by case.
+    an added token, which is told apart by case. Words that are new to a batch of texts are encoded
+    together, as one text. Punctuation behind a letter starts a new piece, so a word and its closing
+    marks are learnt apart. Words asked for again are kept through the next generation of
+    ``MEMO_WORDS`` words, so frequent words stay and memory is bounded.
     """
 
     def __init__(self, path: str, width: int, end_id: int):
         super().__init__(path, width, end_id)
-        self.memo = WordMemo(self.tokenizer, self.code)
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def words(self, text: str | None) -> list[bytes]:
+        """Words of a text as they are looked up."""
+        data = (text or "").encode()
+        lower = data.lower()  # bytes: ASCII letters only
+        return (data if any(a in lower for a in self.added) else lower).split()
+
+    def encode_apart(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of every word, of ``LEARN_WORDS`` at a time as one text."""
+        for at in range(0, len(words), LEARN_WORDS):
+            part = [w.decode() for w in words[at : at + LEARN_WORDS]]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, begins = array(self.code, found.ids), [o[0] for o in found.offsets]
+            cuts = [bisect_left(begins, start) for start in accumulate((len(w) + 1 for w in part), initial=0)]
+            yield from (ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not in the memo."""
+        known, whole, split = {}, set(), []
+        for word in words:
+            if (ids := self.older.get(word)) is not None:
+                known[word] = ids
+                continue
+            core = word.rstrip(CLOSING)
+            if core and len(core) < len(word) and (97 <= core[-1] <= 122 or ends_in_letter(core.decode())):
+                split.append((word, core, word[len(core) :]))
+                whole.update(split[-1][1:])
+            else:
+                whole.add(word)
+        fresh = []
+        for word in whole:
+            ids = self.memo.get(word) or self.older.get(word)
+            if ids is None:
+                fresh.append(word)
+            else:
+                known[word] = ids
+        known.update(zip(fresh, self.encode_apart(fresh), strict=True))
+        known.update((word, known[core] + known[marks]) for word, core, marks in split)
+        return known
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text, word by word."""
-        out = []
-        for text in texts:
-            data = (text or "").encode()
-            lower = data.lower()  # bytes: ASCII white space and letters only
-            words = (data if any(a in lower for a in self.added) else lower).split()
-            out.append(b"".join(map(self.memo.__getitem__, words)) + self.end)
-            self.memo.turn()
+        memo, split = self.memo, [self.words(t) for t in texts]
+        new = {w for words in split for w in words if w not in memo}
+        memo.update(self.learn(new))
+        out = [b"".join(map(memo.__getitem__, words)) + self.end for words in split]
+        for word in [w for w in new if len(w) > MEMO_BYTES]:
+            del memo[word]
+        if len(memo) > MEMO_WORDS:
+            self.memo, self.older = {}, memo
         return out
 
 
