@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, replace
+from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from episodica.functions.tensors import channels_first
 from episodica.operators import schema
-from episodica.operators.episodes import explode_episodes, to_transitions, with_flat_index
-from episodica.operators.sampling import draw_anchors, draw_episode
-from episodica.operators.selection import filter_tasks, select_episodes
+from episodica.operators.episodes import episode_index, explode_episodes, flat_index_of, to_transitions
+from episodica.operators.sampling import draw_from, pick_episode
+from episodica.operators.selection import filter_tasks, kept_episode_map, select_episodes
 from episodica.operators.tubelets import TubeletGrid, tubelets
 from episodica.operators.windows import TemporalWindow, batch_windows, default_window
+from episodica.sources.store import EpisodeStore
 from episodica.sources.tabular import tabular_steps
 from episodica.sources.tasks import DEFAULT_FPS
 from episodica.sources.video import video_steps
@@ -27,6 +30,11 @@ def cache_root(override: str | None = None) -> str:
     return override or os.environ.get(CACHE_VARIABLE) or os.path.expanduser("~/.cache/episodica")
 
 
+def store_path(name: str, version: str, root: str | None = None) -> str:
+    """Where the store of a dataset's version is kept."""
+    return "/".join(p for p in (cache_root(root).rstrip("/"), name.strip("/"), version.strip("/")) if p)
+
+
 @dataclass(frozen=True)
 class TrajectoryDataset:
     """Steps of episodes with a sampler; immutable, every change gives a new handle."""
@@ -34,7 +42,7 @@ class TrajectoryDataset:
     steps: DataFrame
     control_frequency: float = 10.0
     sampler: TemporalWindow | TubeletGrid | None = None
-    info: dict = field(default_factory=dict)
+    given_index: DataFrame | None = None
 
     @classmethod
     def from_nested(cls, episodes: DataFrame, observation: list[str], keep_text: bool = True, **options) -> TrajectoryDataset:
@@ -48,10 +56,26 @@ class TrajectoryDataset:
         return made if episodes is None else made.select(episodes)
 
     @classmethod
-    def from_video(cls, tasks: DataFrame, cameras: dict[str, DataFrame], chosen: list[int] | None = None, **options) -> TrajectoryDataset:
-        """From tasks ``(task_id, episode_id, task_name)`` and frames by camera; of the chosen tasks."""
+    def from_video(
+        cls, tasks: DataFrame, cameras: dict[str, DataFrame], chosen: list[int] | None = None, map_path: str | None = None, **options
+    ) -> TrajectoryDataset:
+        """From tasks ``(task_id, episode_id, task_name)`` and frames by camera; of the chosen tasks.
+
+        With ``map_path``, global ids are those of the map kept there, to which new tasks are added.
+        """
         wanted = tasks if chosen is None else tasks.where(F.col("task_id").isin(chosen))
-        return cls(to_transitions(video_steps(wanted, cameras), list(cameras)), **{"control_frequency": DEFAULT_FPS} | options)
+        known = None if map_path is None else kept_episode_map(wanted, map_path)
+        return cls(to_transitions(video_steps(wanted, cameras, known), list(cameras)), **{"control_frequency": DEFAULT_FPS} | options)
+
+    @classmethod
+    def from_store(cls, store: EpisodeStore, episodes: DataFrame | None = None, **options) -> TrajectoryDataset:
+        """From a store, whose manifest is the episode index."""
+        return cls(store.read(episodes).drop("flat_index"), given_index=store.index(episodes), **options)
+
+    @cached_property
+    def index(self) -> DataFrame:
+        """``episode_id, ep_start, ep_len``, made once and kept for all samples of this handle."""
+        return (episode_index(self.steps) if self.given_index is None else self.given_index).persist()
 
     def select(self, episodes: list[int]) -> TrajectoryDataset:
         """The given episodes; a ``ValueError`` names those that there are not."""
@@ -60,19 +84,39 @@ class TrajectoryDataset:
         lost = wanted.join(self.steps.select("episode_id").distinct(), "episode_id", "left_anti").limit(20).collect()
         if lost or not episodes:
             raise ValueError(f"no such episodes: {sorted(r.episode_id for r in lost)}")
-        return replace(self, steps=select_episodes(self.steps, wanted))
+        return replace(self, steps=select_episodes(self.steps, wanted), given_index=None)
+
+    @cached_property
+    def _sizes(self) -> tuple[int, int]:
+        found = self.index.agg(F.count("*").alias("n"), F.coalesce(F.sum("ep_len"), F.lit(0)).alias("total")).first()
+        return found.n, found.total
 
     def num_episodes(self) -> int:
         """Number of episodes."""
-        return self.steps.agg(F.count_distinct("episode_id")).first()[0]
+        return self._sizes[0]
 
     def num_steps(self) -> int:
         """Number of steps."""
-        return self.steps.count()
+        return self._sizes[1]
+
+    def info(self) -> dict:
+        """Episodes, steps, frequency, and kind, type and shape of every leaf."""
+        leaves = {m.path: {"kind": m.kind, "dtype": m.dtype, "shape": list(m.shape)} for m in self.get_modalities()}
+        return {"episodes": self.num_episodes(), "steps": self.num_steps(), "control_frequency": self.control_frequency, "leaves": leaves}
+
+    def splits(self, shares: dict[str, float], seed: int | str = 0) -> dict[str, TrajectoryDataset]:
+        """Datasets of disjoint episodes, each episode dealt to a split by a hash of its id."""
+        at = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("episode_id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+        out, low = {}, 0.0
+        for name, share in shares.items():
+            out[name] = replace(self, steps=self.steps.where((at >= low) & (at < low + share)), given_index=None)
+            low += share
+        return out
 
     def row(self, flat_index: int) -> DataFrame:
-        """One step by its flat index."""
-        return with_flat_index(self.steps).where(F.col("flat_index") == flat_index)
+        """One step by its flat index: its episode is found in the index."""
+        inside = (F.col("ep_start") <= flat_index) & (F.col("ep_start") + F.col("ep_len") > flat_index)
+        return flat_index_of(self.steps, self.index.where(inside)).where(F.col("flat_index") == flat_index)
 
     def get_modalities(self) -> list[schema.ModalitySpec]:
         """Specs of all leaves."""
@@ -96,14 +140,30 @@ class TrajectoryDataset:
 
     def preprocess(self, transform: Callable[[DataFrame], DataFrame]) -> TrajectoryDataset:
         """The steps under a transform of DataFrames."""
-        return replace(self, steps=self.steps.transform(transform))
+        return replace(self, steps=self.steps.transform(transform), given_index=None)
+
+    def config(self) -> dict:
+        """What ``with_config`` needs to sample alike in another session."""
+        sampler = None if self.sampler is None else {"kind": type(self.sampler).__name__, **asdict(self.sampler)}
+        return {"control_frequency": self.control_frequency, "sampler": sampler}
+
+    def with_config(self, config: dict) -> TrajectoryDataset:
+        """The same steps under a sampler and frequency that ``config`` gave."""
+        given = dict(config["sampler"] or {})
+        kinds = {k.__name__: k for k in (TemporalWindow, TubeletGrid)}
+        sampler = kinds[given.pop("kind")](**given) if given else None
+        return replace(self, control_frequency=config["control_frequency"], sampler=sampler)
+
+    def image_shapes(self) -> dict[str, tuple[int, ...]]:
+        """Paths of image leaves whose fields name a height, width and number of channels."""
+        return {m.path: m.shape for m in self.get_modalities() if m.kind == "image" and len(m.shape) == 3}
 
     def sample(self, batch_size: int = 32, seed: int | str = 0) -> DataFrame:
-        """A batch of windows around drawn anchors, or the tubelets of a drawn episode."""
-        if self.steps.isEmpty():
+        """A batch of windows around drawn anchors, or the tubelets of a drawn episode; images channels first."""
+        if not self.num_steps():
             raise ValueError("the dataset has no steps")
         if isinstance(self.sampler, TubeletGrid):
-            return tubelets(self.steps, draw_episode(self.steps, seed), self.sampler)
+            return self._tubelets(pick_episode(self.index, seed))
         window = self.sampler or default_window(schema.window_leaves(self.steps), {}, self.control_frequency)
         own = ("episode_id", "step", "ep_len")
         leaves = [p for p, _ in schema.leaf_fields(self.steps.schema) if p not in own]
@@ -113,15 +173,31 @@ class TrajectoryDataset:
         renamed = {p: p.replace("/", "__") for p in leaves}
         plain = flat.withColumnsRenamed(renamed)
         inner = TemporalWindow({renamed[k]: v for k, v in window.delta_timestamps.items()}, window.control_frequency)
-        batch = batch_windows(plain, draw_anchors(self.steps, batch_size, seed), inner, batch_size)
+        batch = batch_windows(plain, draw_from(self.index, batch_size, seed), inner, batch_size)
         back = {v: k for k, v in renamed.items()} | {f"next/{v}": f"next/{k}" for k, v in renamed.items() if k in window.delta_timestamps}
         windowed = [f"next/{renamed[k]}" for k in window.delta_timestamps]
         clash = {f"next/{k}" for k in window.delta_timestamps}  # a mirrored window replaces the stored leaf
         keep = [c for c in batch.columns if c in windowed or back.get(c, c) not in clash]
-        return batch.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in keep])
+        shapes = self.image_shapes()
+
+        def value(column: str) -> Column:
+            name = back.get(column, column)
+            leaf = name.removeprefix("next/") if column in windowed else name
+            found, in_window = F.col(f"`{column}`"), leaf in window.delta_timestamps and (column in windowed or name == leaf)
+            return (channels_first(found, shapes[leaf], int(in_window)) if leaf in shapes else found).alias(name)
+
+        return batch.select(*[value(c) for c in keep])
+
+    def _tubelets(self, episode: DataFrame) -> DataFrame:
+        clips = tubelets(self.steps, episode, self.sampler)
+        for path, shape in self.image_shapes().items():
+            root, _, rest = path.partition("/")
+            made = channels_first(schema.leaf_column(path), shape)
+            clips = clips.withColumn(root, F.col(root).withField(rest.replace("/", "."), made) if rest else made)
+        return clips
 
     def batches(self, batch_size: int = 32, seed: int = 0) -> Iterator[DataFrame]:
-        """Batches without end, each of its own seed."""
+        """Batches without end, each of its own seed; beginning at a later seed goes on from there."""
         while True:
             yield self.sample(batch_size, seed)
             seed += 1

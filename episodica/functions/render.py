@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterable
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.functions.tensors import PAD, mosaic_size, to_uint8
+from episodica.functions.tensors import PAD, chw_to_hwc, gray_to_rgb, layout_of, mosaic_size, to_uint8
 from episodica.operators.episodes import episode_ordinals
 
 
@@ -37,45 +38,58 @@ def nth_episode(steps: DataFrame, ordinal: int) -> DataFrame:
     return steps.join(F.broadcast(places.where(F.col("ordinal") == ordinal % count)), "episode_id", "left_semi")
 
 
-def gray_frames(clips: DataFrame, key: str, height: int, width: int, channels: int) -> DataFrame:
-    """``clip, t, gray``: frames of flat HWC tensors, each channel's range stretched, averaged to gray."""
-    long = clips.select("clip", "t", F.posexplode(key).alias("k", "value")).withColumn("channel", F.col("k") % channels)
-    codes = normalised(long).withColumn("pixel", F.floor(F.col("k") / channels))
-    pixels = codes.groupBy("clip", "t", "pixel").agg(F.floor(F.avg("code")).cast("int").alias("gray"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pixel", "gray"))), lambda p: p["gray"])
-    return pixels.groupBy("clip", "t").agg(ordered.alias("gray")).where(F.size("gray") == height * width)
+def colour_frames(clips: DataFrame, key: str, shape: tuple[int, int, int]) -> DataFrame:
+    """``clip, t, rgb``: frames of flat tensors, each channel's robust range stretched, red, green and blue by pixel.
 
-
-def _images(clips: DataFrame, key: str, height: int, width: int, channels: int) -> dict[int, dict[int, np.ndarray]]:
+    The layout follows from the shape: channels last or first, one of them (gray) or three. Ranges
+    are a row per channel; frames stay whole rows.
+    """
+    layout = layout_of(shape)
+    if layout is None:
+        raise ValueError(f"no axis of {shape} has 1 or 3 channels")
+    height, width, channels = shape if layout == "HWC" else (*shape[1:], shape[0])
+    flat = F.col(key) if layout == "HWC" else chw_to_hwc(F.col(key), channels, height, width)
+    frames = clips.select("clip", "t", flat.alias("v")).where(F.size("v") == height * width * channels)
+    long = frames.select(F.posexplode("v").alias("k", "value")).select((F.col("k") % channels).alias("channel"), "value")
+    found = {r.channel: (r.lo, r.hi) for r in channel_ranges(long).collect()}  # at most three rows
+    low, high = (F.array(*[F.lit(float(found.get(c, (0, 1))[n])) for c in range(channels)]) for n in (0, 1))
+    at = lambda bounds, k: F.get(bounds, (k % channels).cast("int"))
+    codes = F.transform("v", lambda x, k: to_uint8(x.cast("double"), at(low, k), at(high, k)))
+    return frames.select("clip", "t", (gray_to_rgb(codes) if channels == 1 else codes).alias("rgb"))
+
+
+def _images(clips: DataFrame, key: str, shape: tuple[int, int, int]) -> dict[int, dict[int, np.ndarray]]:
+    height, width = shape[:2] if layout_of(shape) == "HWC" else shape[1:]
     found: dict[int, dict[int, np.ndarray]] = {}
-    for row in gray_frames(clips, key, height, width, channels).orderBy("clip", "t").toLocalIterator():
-        found.setdefault(row.clip, {})[row.t] = np.array(row.gray, np.uint8).reshape(height, width)
+    for row in colour_frames(clips, key, shape).orderBy("clip", "t").toLocalIterator():
+        found.setdefault(row.clip, {})[row.t] = np.array(row.rgb, np.uint8).reshape(height, width, 3)
     if not found:
-        raise ValueError(f"no frames of {height} x {width} x {channels} in {key}")
+        raise ValueError(f"no frames of shape {shape} in {key}")
     return found
 
 
-def batch_gif(clips: DataFrame, key: str, height: int, width: int, channels: int = 3, fps: float = 4.0) -> bytes:
+def batch_gif(clips: DataFrame, key: str, shape: tuple[int, int, int], fps: float = 4.0) -> bytes:
     """All clips of a batch ``(clip, t, key)`` side by side in a nearly square mosaic."""
-    images = list(_images(clips, key, height, width, channels).values())
+    images = list(_images(clips, key, shape).values())
+    height, width = next(iter(images[0].values())).shape[:2]
     full_height, full_width = mosaic_size(len(images), height, width)
     columns = (full_width + PAD) // (width + PAD)
     frames = []
     for t in sorted(images[0]):
-        canvas = np.zeros((full_height, full_width), np.uint8)
+        canvas = np.zeros((full_height, full_width, 3), np.uint8)
         for n, clip in enumerate(images):
             y, x = n // columns * (height + PAD), n % columns * (width + PAD)
             canvas[y : y + height, x : x + width] = clip.get(t, 0)
-        frames.append(canvas.tobytes())
-    return gif(frames, full_width, full_height, fps)
+        frames.append(canvas)
+    return gif(frames, fps)
 
 
-def item_gif(clips: DataFrame, clip: int, key: str, height: int, width: int, channels: int = 3, fps: float = 4.0) -> bytes:
+def item_gif(clips: DataFrame, clip: int, key: str, shape: tuple[int, int, int], fps: float = 4.0) -> bytes:
     """One clip of a batch; an ``IndexError`` where there is none of that number."""
     own = clips.where(F.col("clip") == clip)
     if own.isEmpty():
         raise IndexError(f"no clip {clip}")
-    return batch_gif(own, key, height, width, channels, fps)
+    return batch_gif(own, key, shape, fps)
 
 
 def episode_gif(steps: DataFrame, keys: dict[str, tuple[int, int, int]], ordinal: int = 0, fps: float = 4.0) -> bytes:
@@ -83,24 +97,38 @@ def episode_gif(steps: DataFrame, keys: dict[str, tuple[int, int, int]], ordinal
     if not keys:
         raise ValueError("no image leaves are given")
     own = nth_episode(steps, ordinal).withColumn("clip", F.lit(0)).withColumnRenamed("step", "t")
-    strips = [(shape, _images(own, key, *shape)[0]) for key, shape in keys.items()]
-    top, full_width = max(s[0] for s, _ in strips), sum(s[1] for s, _ in strips)
+    strips = [_images(own, key, shape)[0] for key, shape in keys.items()]
+    sizes = [next(iter(s.values())).shape[:2] for s in strips]
+    top, full_width = max(h for h, _ in sizes), sum(w for _, w in sizes)
     frames = []
-    for t in sorted(strips[0][1]):
-        canvas, x = np.zeros((top, full_width), np.uint8), 0
-        for (height, width, _), images in strips:
+    for t in sorted(strips[0]):
+        canvas, x = np.zeros((top, full_width, 3), np.uint8), 0
+        for (height, width), images in zip(sizes, strips, strict=True):
             canvas[:height, x : x + width] = images.get(t, 0)
             x += width
-        frames.append(canvas.tobytes())
-    return gif(frames, full_width, top, fps)
+        frames.append(canvas)
+    return gif(frames, fps)
+
+
+#: Levels of red, green and blue in the palette of GIFs.
+LEVELS = (6, 7, 6)
+
+
+def palette_codes(image: np.ndarray) -> np.ndarray:
+    """The nearest level of every channel, as a number of the palette."""
+    red, green, blue = ((image[..., c].astype(int) * (n - 1) + 127) // 255 for c, n in enumerate(LEVELS))
+    return ((red * LEVELS[1] + green) * LEVELS[2] + blue).astype(np.uint8)
 
 
-def gif(frames: Iterable[bytes], width: int, height: int, fps: float = 4.0) -> bytes:
-    """Gray frames, one byte a pixel, as an animated GIF without compression of its own."""
-    palette = b"".join(bytes((g, g, g)) for g in range(256))
+def gif(images: Iterable[np.ndarray], fps: float = 4.0) -> bytes:
+    """Colour frames of one size as an animated GIF without compression of its own."""
+    images = list(images)
+    height, width = images[0].shape[:2]
+    colours = [[k * 255 // (n - 1) for k in range(n)] for n in LEVELS]
+    palette = b"".join(bytes(c) for c in product(*colours)).ljust(768, b"\0")
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
     delay = max(1, round(100 / fps))
-    for frame in frames:
+    for frame in (palette_codes(image).tobytes() for image in images):
         out.append(b"\x21\xf9\x04\x04" + struct.pack("<H", delay) + b"\x00\x00\x2c" + struct.pack("<HHHHB", 0, 0, width, height, 0) + b"\x08")
         bits = count = 0
         data = bytearray()

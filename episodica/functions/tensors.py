@@ -17,6 +17,11 @@ def hwc_to_chw(flat: Column, height: int, width: int, channels: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(plane * channels - 1)), lambda k: F.get(flat, source(k)))
 
 
+def channels_first(value: Column, shape: tuple[int, ...], depth: int = 0) -> Column:
+    """Flat HWC tensors of a shape in CHW order, inside ``depth`` levels of arrays."""
+    return hwc_to_chw(value, *shape) if depth == 0 else F.transform(value, lambda x: channels_first(x, shape, depth - 1))
+
+
 def to_uint8(value: Column, low: Column, high: Column) -> Column:
     """``(value - low) / (high - low)`` held between 0 and 1, times 255, cut to an integer."""
     scaled = (value - low) / F.greatest(high - low, F.lit(1e-6))
@@ -35,6 +40,18 @@ def layout_4d(shape: Column) -> Column:
     return F.when(is_channel(3), "THWC").when(is_channel(1), "TCHW")
 
 
+def layout_of(shape: tuple[int, ...]) -> str | None:
+    """Layout of one frame by the place of the channel axis, last before first; None where there is none."""
+    return "HWC" if shape[-1] in (1, 3) else "CHW" if shape[0] in (1, 3) else None
+
+
+def chw_to_hwc(flat: Column, channels: int, height: int, width: int) -> Column:
+    """A flat CHW tensor in HWC order."""
+    plane = height * width
+    source = lambda k: ((k % channels) * plane + F.floor(k / channels)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(plane * channels - 1)), lambda k: F.get(flat, source(k)))
+
+
 def gray_to_rgb(flat: Column) -> Column:
     """Every value three times."""
     return F.flatten(F.transform(flat, lambda x: F.array(x, x, x)))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Episodes per range of ids when lengths are summed up.
-ID_RANGE = 4096
+#: Ranges of ids in which lengths are summed up, and positions per range of stored rows.
+ID_RANGES = 4096
+POSITIONS = 4096
 _BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -38,23 +39,40 @@ def number_steps(rows: DataFrame, episode: str, order: list[str], stretch: Colum
     )
 
 
-def episode_index(steps: DataFrame) -> DataFrame:
+def with_range(ids: DataFrame) -> DataFrame:
+    """``ids`` with ``__range``: one of ``ID_RANGES`` equal parts of the span of ``episode_id``, dense or sparse."""
+    span = ids.agg(F.min("episode_id").cast("double").alias("__low"), F.max("episode_id").cast("double").alias("__high"))
+    share = (F.col("episode_id").cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1)
+    return ids.crossJoin(F.broadcast(span)).withColumn("__range", F.floor(share * ID_RANGES)).drop("__low", "__high")  # one row
+
+
+def index_of(lengths: DataFrame) -> DataFrame:
     """``episode_id, ep_start, ep_len`` with episodes laid end to end in order of their ids.
 
-    Lengths are summed by ranges of ids first, then inside each range.
+    ``lengths`` has ``episode_id, ep_len``. They are summed by ranges of ids, then inside each range.
     """
-    lengths = steps.groupBy("episode_id").agg(F.count("*").alias("ep_len")).withColumn("__range", F.floor(F.col("episode_id") / ID_RANGE))
-    ranges = lengths.groupBy("__range").agg(F.sum("ep_len").alias("n"))
+    cut = with_range(lengths)
+    ranges = cut.groupBy("__range").agg(F.sum("ep_len").alias("n"))
     before = ranges.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(*_BEFORE)), F.lit(0)).alias("__before"))
     inside = W.partitionBy("__range").orderBy("episode_id").rowsBetween(*_BEFORE)
     start = F.col("__before") + F.coalesce(F.sum("ep_len").over(inside), F.lit(0))
-    return lengths.join(before, "__range").select("episode_id", start.alias("ep_start"), "ep_len")
+    return cut.join(before, "__range").select("episode_id", start.alias("ep_start"), "ep_len")
+
+
+def episode_index(steps: DataFrame) -> DataFrame:
+    """``episode_id, ep_start, ep_len`` of the episodes of ``steps``."""
+    return index_of(steps.groupBy("episode_id").agg(F.count("*").alias("ep_len")))
+
+
+def flat_index_of(steps: DataFrame, index: DataFrame) -> DataFrame:
+    """``steps`` with ``flat_index`` by an episode index."""
+    starts = index.select("episode_id", "ep_start")
+    return steps.join(starts, "episode_id").withColumn("flat_index", F.col("ep_start") + F.col("step")).drop("ep_start")
 
 
 def with_flat_index(steps: DataFrame) -> DataFrame:
     """``steps`` with ``flat_index``, the place of a step in all episodes laid end to end."""
-    starts = episode_index(steps).select("episode_id", "ep_start")
-    return steps.join(starts, "episode_id").withColumn("flat_index", F.col("ep_start") + F.col("step")).drop("ep_start")
+    return flat_index_of(steps, episode_index(steps))
 
 
 def runs(steps: DataFrame, value: str) -> DataFrame:
@@ -71,7 +89,7 @@ def last_run_index(rows: DataFrame, episode: str, position: str) -> DataFrame:
     A row begins a run if the row before it has another id; rows are compared within ranges of
     positions, and the first of a range with the last of the range before.
     """
-    cut = rows.select(F.col(episode).alias("episode_id"), F.col(position).alias("__at"), F.floor(F.col(position) / ID_RANGE).alias("__range"))
+    cut = rows.select(F.col(episode).alias("episode_id"), F.col(position).alias("__at"), F.floor(F.col(position) / POSITIONS).alias("__range"))
     ends = cut.groupBy("__range").agg(F.max_by(F.struct("episode_id"), "__at").alias("end"))
     ends = ends.select("__range", F.lag("end").over(W.orderBy("__range")).alias("__end"))
     inside = W.partitionBy("__range").orderBy("__at")
@@ -83,7 +101,7 @@ def last_run_index(rows: DataFrame, episode: str, position: str) -> DataFrame:
 
 def episode_ordinals(steps: DataFrame) -> DataFrame:
     """``episode_id, ordinal``: the place of every episode in order of ids, counted by ranges of ids."""
-    ids = steps.select("episode_id").distinct().withColumn("__range", F.floor(F.col("episode_id") / ID_RANGE))
+    ids = with_range(steps.select("episode_id").distinct())
     ranges = ids.groupBy("__range").agg(F.count("*").alias("n"))
     before = ranges.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(*_BEFORE)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(W.partitionBy("__range").orderBy("episode_id")) - 1

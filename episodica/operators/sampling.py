@@ -9,21 +9,33 @@ from episodica.functions.names import seeded_draw
 from episodica.operators.episodes import episode_index
 
 
-def draw_anchors(steps: DataFrame, batch_size: int, seed: int | str) -> DataFrame:
-    """``b, episode_id, anchor_step, ep_len``: steps drawn uniformly with replacement.
+def draw_from(index: DataFrame, batch_size: int, seed: int | str) -> DataFrame:
+    """``b, episode_id, anchor_step, ep_len``: steps drawn uniformly with replacement from an episode index.
 
-    A draw is a flat index by hash of seed and number; the range join finds its episode.
+    A draw is a flat index by hash of seed and number. Flat indices are cut into buckets of the mean
+    episode's length; a draw meets the few episodes that reach into its bucket in an equi-join.
     """
-    index = episode_index(steps)
-    total = index.agg(F.sum("ep_len").alias("total"))
-    draws = steps.sparkSession.range(batch_size).withColumnRenamed("id", "b").crossJoin(F.broadcast(total))
-    flat = draws.select("b", seeded_draw(seed, F.col("b"), F.col("total")).alias("flat"))
+    size = index.agg(F.sum("ep_len").cast("bigint").alias("total"), F.ceil(F.avg("ep_len")).alias("__width"))  # one row
+    draws = index.sparkSession.range(batch_size).withColumnRenamed("id", "b").crossJoin(F.broadcast(size))
+    flat = draws.withColumn("flat", seeded_draw(seed, F.col("b"), F.col("total"))).select("b", "flat", F.floor(F.col("flat") / F.col("__width")).alias("__bucket"))
+    first, last = (F.floor(x / F.col("__width")) for x in (F.col("ep_start"), F.col("ep_start") + F.col("ep_len") - 1))
+    reach = index.crossJoin(F.broadcast(size)).withColumn("__bucket", F.explode(F.sequence(first, last)))
     inside = (F.col("flat") >= F.col("ep_start")) & (F.col("flat") < F.col("ep_start") + F.col("ep_len"))
-    return index.join(F.broadcast(flat), inside).select("b", "episode_id", (F.col("flat") - F.col("ep_start")).cast("int").alias("anchor_step"), "ep_len")
+    found = reach.join(flat, "__bucket").where(inside)
+    return found.select("b", "episode_id", (F.col("flat") - F.col("ep_start")).cast("int").alias("anchor_step"), "ep_len")
+
+
+def draw_anchors(steps: DataFrame, batch_size: int, seed: int | str) -> DataFrame:
+    """The same from steps, whose episodes are indexed first."""
+    return draw_from(episode_index(steps), batch_size, seed)
 
 
 def draw_episode(steps: DataFrame, seed: int | str) -> DataFrame:
     """``episode_id, ep_len`` of one episode drawn uniformly over episodes: the least of their hashes."""
-    lengths = steps.groupBy("episode_id").agg(F.count("*").cast("int").alias("ep_len"))
+    return pick_episode(steps.groupBy("episode_id").agg(F.count("*").alias("ep_len")), seed)
+
+
+def pick_episode(lengths: DataFrame, seed: int | str) -> DataFrame:
+    """The same from the episodes' lengths, such as an episode index."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("episode_id").cast("string")))
-    return lengths.orderBy(digest, "episode_id").limit(1)
+    return lengths.select("episode_id", F.col("ep_len").cast("int").alias("ep_len")).orderBy(digest, "episode_id").limit(1)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 #: Columns that may hold the episode and the task, in order of preference.
 EPISODE_COLUMNS = ("episode_index", "episode_id", "traj_id", "trajectory_id")
@@ -83,6 +84,24 @@ def load_episode_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("global_id bigint, task_id bigint, episode_id bigint").parquet(path)
 
 
+def kept_episode_map(episodes: DataFrame, path: str) -> DataFrame:
+    """The map kept at ``path``, with episodes of tasks that it lacks added to it, there as well.
+
+    Every change is a version of its own, ``v=0`` first, so a map that is being read is never written.
+    """
+    spark = episodes.sparkSession
+    try:
+        versions = spark.read.schema("global_id bigint, task_id bigint, episode_id bigint, v int").parquet(path)
+        last = versions.agg(F.max("v")).first()[0]
+        known = versions.where(F.col("v") == last).drop("v")
+    except AnalysisException:
+        last, known = -1, spark.createDataFrame([], "global_id bigint, task_id bigint, episode_id bigint")
+    if episodes.select("task_id").distinct().join(known, "task_id", "left_anti").isEmpty():
+        return known
+    save_episode_map(extend_episode_map(known, episodes), f"{path}/v={last + 1}")
+    return load_episode_map(spark, f"{path}/v={last + 1}")
+
+
 def archives_of(paths: DataFrame) -> DataFrame:
     """``task_id, first, last, position, path`` of archives named ``.../{task}/{first}-{last}.tar``."""
     part = lambda k: F.regexp_extract("path", r"(?:^|/)(\d+)/(\d+)-(\d+)\.tar$", k)

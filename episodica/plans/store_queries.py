@@ -18,16 +18,20 @@ from episodica.sources.video import video_steps
 from episodica.streaming.ingest import ingest
 
 
-def _fresh(spark: SparkSession, stem: str) -> str:
-    """A path in the folder that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="episodica-")
+def fresh(spark: SparkSession, stem: str) -> str:
+    """A path in the folder that driver and executors share; a local one only for a session on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="episodica-")
     return f"{root.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
 def store_incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with a conversation are stored first, then all: the second build adds the missing ones only."""
     steps = event_steps(spark, sf_dir).select("episode_id", "step", "ep_len", "event_id", "value")
-    store = EpisodeStore(spark, _fresh(spark, "store"))
+    store = EpisodeStore(spark, fresh(spark, "store"))
     everyone = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id"))
     talking = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("episode_id"))
     store.build(steps, talking, "talking")
@@ -39,9 +43,9 @@ def store_incremental_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations arrive as a stream of files and are stored whole."""
     steps = turn_steps(spark, sf_dir).select("episode_id", "step", "ep_len", "role", "text")
-    source, state = _fresh(spark, "stream-in"), _fresh(spark, "stream-state")
+    source, state = fresh(spark, "stream-in"), fresh(spark, "stream-state")
     steps.repartition(4, "episode_id").write.parquet(source)
-    store = EpisodeStore(spark, _fresh(spark, "stream-store"))
+    store = EpisodeStore(spark, fresh(spark, "stream-store"))
     ingest(spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 2).parquet(source), store, state).awaitTermination()
     return store.read().select("episode_id", "step", "role", "flat_index")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from episodica.functions.names import strip_slashes, version_key
 
@@ -39,10 +40,33 @@ def latest(entries: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """A catalog that is read once and again on ``refresh``."""
+    """A catalog that is read once and again on ``refresh``.
 
-    def __init__(self, read):
-        self._read, self._entries = read, None
+    ``read`` gives all paths; ``read_one``, if given, those of one dataset, so that it is found
+    without the whole listing.
+    """
+
+    def __init__(self, read, read_one=None):
+        self._read, self._read_one, self._entries = read, read_one, None
+
+    @classmethod
+    def of_root(cls, spark: SparkSession, root: str) -> Catalog:
+        """The datasets under a root; one is looked up in its own folder."""
+
+        def one(name: str) -> DataFrame:
+            try:
+                found = listing(spark, f"{root.rstrip('/')}/{name}")
+            except AnalysisException:  # no such folder
+                return spark.createDataFrame([], "path string")
+            return found.select(F.concat(F.lit(f"{name}/"), "path").alias("path"))
+
+        return cls(lambda: listing(spark, root), one)
+
+    def _of(self, name: str) -> DataFrame:
+        """Entries of a name: looked up directly unless the whole catalog is at hand."""
+        if self._entries is None and self._read_one is not None:
+            return catalog(self._read_one(name)).where(F.col("name") == name)
+        return self.entries().where(F.col("name") == name)
 
     def entries(self, refresh: bool = False) -> DataFrame:
         """All entries, cached."""
@@ -54,12 +78,12 @@ class Catalog:
 
     def validate(self, name: str, version: str | None = None) -> bool:
         """Is there such a dataset, or such a version of it?"""
-        found = self.entries().where(F.col("name") == name.strip("/"))
+        found = self._of(name.strip("/"))
         return not (found if version is None else found.where(F.col("version") == version)).isEmpty()
 
     def path(self, name: str, version: str | None = None) -> str:
         """Path of a version, the newest by default; a ``ValueError`` names what there is."""
-        found = self.entries().where(F.col("name") == name.strip("/"))
+        found = self._of(name.strip("/"))
         row = (latest(found) if version is None else found.where(F.col("version") == version)).first()
         if row is None:
             near = [r.version if version else r.name for r in (found if version else self.entries()).limit(20).collect()]

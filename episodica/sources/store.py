@@ -1,37 +1,48 @@
-"""Episodes materialised as Parquet, partitioned by ranges of ids, with a manifest of what is there."""
+"""Episodes materialised as Parquet, dealt out by a hash of their ids, with a manifest of what is there."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from episodica.operators.episodes import with_flat_index
+from episodica.operators.episodes import flat_index_of, index_of
 from episodica.operators.selection import missing_episodes, select_episodes
 
-EPISODES_PER_PARTITION = 1024
+MANIFEST = "episode_id bigint, n_steps bigint, batch string, part string"
 
 
 class EpisodeStore:
-    """Steps under ``{root}/steps`` and one row per stored episode under ``{root}/manifest``.
+    """Steps under ``{root}/steps`` and what is stored of each episode under ``{root}/manifest``.
 
-    An episode counts as stored once the manifest, which is written last, names it, so an
-    interrupted build is repeated and never half seen.
+    Every attempt to write has a folder of its own, and its steps count once the manifest, which is
+    written last, names that folder. So an interrupted write leaves files that nobody reads, and
+    repeating it adds each step once. Writes to a store follow one another.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.steps_path, self.manifest_path = spark, f"{root}/steps", f"{root}/manifest"
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root, buckets
+        self.steps_path, self.manifest_path = f"{root}/steps", f"{root}/manifest"
 
-    def manifest(self) -> DataFrame:
-        """``episode_id, n_steps, batch`` of stored episodes."""
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("episode_id"), F.lit(self.buckets)).cast("int")
+
+    def fragments(self) -> DataFrame:
+        """``episode_id, n_steps, batch, part``: what each write has stored of each episode."""
         try:
-            return self.spark.read.schema("episode_id bigint, n_steps bigint, batch string").parquet(self.manifest_path)
+            return self.spark.read.schema(MANIFEST).parquet(self.manifest_path)
         except AnalysisException:
-            return self.spark.createDataFrame([], "episode_id bigint, n_steps bigint, batch string")
+            return self.spark.createDataFrame([], MANIFEST)
+
+    def manifest(self) -> DataFrame:
+        """``episode_id, n_steps, batch`` of stored episodes, with the batch that began them."""
+        return self.fragments().groupBy("episode_id").agg(F.sum("n_steps").alias("n_steps"), F.min("batch").alias("batch"))
 
     def missing(self, wanted: DataFrame) -> DataFrame:
         """Wanted episodes that are not stored."""
-        return missing_episodes(wanted, self.manifest().select("episode_id"))
+        return missing_episodes(wanted, self.fragments().select("episode_id").distinct())
 
     def is_stored(self, wanted: DataFrame) -> bool:
         """Are all wanted episodes stored?"""
@@ -39,22 +50,58 @@ class EpisodeStore:
 
     def build(self, steps: DataFrame, wanted: DataFrame, batch: str) -> None:
         """Store the wanted episodes that are missing; ``batch`` names this write."""
-        fresh = select_episodes(steps, self.missing(wanted)).withColumns(
-            {"batch": F.lit(batch), "id_range": F.floor(F.col("episode_id") / EPISODES_PER_PARTITION)}
-        )
-        fresh.write.partitionBy("batch", "id_range").mode("append").parquet(self.steps_path)
-        stored = self.spark.read.parquet(self.steps_path).where(F.col("batch") == batch)
-        counts = stored.groupBy("episode_id").agg(F.count("*").alias("n_steps")).withColumn("batch", F.lit(batch))
-        counts.write.mode("append").parquet(self.manifest_path)
+        self._write(select_episodes(steps, self.missing(wanted)), batch)
+
+    def append(self, steps: DataFrame, batch: str) -> None:
+        """Store the steps that are missing, also of episodes that are stored in part.
+
+        A batch whose name the manifest has is stored and adds nothing.
+        """
+        if not self.fragments().where(F.col("batch") == batch).isEmpty():
+            return
+        try:
+            known = self._stored(steps.select("episode_id").distinct()).select("episode_id", "step").distinct()
+        except AnalysisException:  # nothing is stored yet
+            return self._write(steps.dropDuplicates(["episode_id", "step"]), batch)
+        self._write(steps.dropDuplicates(["episode_id", "step"]).join(known, ["episode_id", "step"], "left_anti"), batch)
+
+    def _write(self, fresh: DataFrame, batch: str) -> None:
+        part = f"{batch}-{uuid.uuid4().hex}"
+        dealt = fresh.withColumns({"part": F.lit(part), "bucket": self._bucket()})
+        dealt.repartitionByRange("bucket", "episode_id").write.partitionBy("part", "bucket").mode("append").parquet(self.steps_path)
+        self._name(part, batch, fresh)
+
+    def _name(self, part: str, batch: str, fresh: DataFrame) -> None:
+        try:
+            stored = self.spark.read.schema(fresh.schema).parquet(f"{self.steps_path}/part={part}")
+        except AnalysisException:  # there was nothing to store
+            return
+        counts = stored.groupBy("episode_id").agg(F.count("*").alias("n_steps"))
+        counts.withColumns({"batch": F.lit(batch), "part": F.lit(part)}).write.mode("append").parquet(self.manifest_path)
+
+    def _stored(self, wanted: DataFrame | None) -> DataFrame:
+        """Stored steps of the wanted episodes or all; only their folders are read."""
+        named = self.fragments().select("episode_id", "part").distinct()
+        if wanted is not None:
+            named = select_episodes(named, wanted)
+        named = named.withColumn("bucket", self._bucket())
+        return self.spark.read.parquet(self.steps_path).join(named, ["part", "bucket", "episode_id"], "left_semi").drop("part", "bucket")
+
+    def index(self, wanted: DataFrame | None = None) -> DataFrame:
+        """``episode_id, ep_start, ep_len`` from the manifest alone."""
+        known = self.manifest().select("episode_id", F.col("n_steps").alias("ep_len"))
+        return index_of(known if wanted is None else select_episodes(known, wanted))
 
     def read(self, wanted: DataFrame | None = None) -> DataFrame:
         """Stored steps, of the wanted episodes or all, with their flat index."""
-        known = self.manifest()
-        if known.isEmpty() or (wanted is not None and wanted.isEmpty()):
+        if self.fragments().isEmpty() or (wanted is not None and wanted.isEmpty()):
             raise ValueError("no episodes are selected or stored")
-        lost = None if wanted is None else missing_episodes(wanted, known.select("episode_id"))
+        lost = None if wanted is None else self.missing(wanted)
         if lost is not None and not lost.isEmpty():
             raise ValueError(f"{lost.count()} of the episodes are not stored")
-        steps = self.spark.read.parquet(self.steps_path).join(known.select("episode_id", "batch"), ["episode_id", "batch"], "left_semi")
-        chosen = steps if wanted is None else select_episodes(steps, wanted)
-        return with_flat_index(chosen.drop("batch", "id_range"))
+        return flat_index_of(self._stored(wanted), self.index(wanted))
+
+    def delete(self) -> None:
+        """Remove the store with all it holds."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,8 +15,7 @@ TASK_SCHEMA = (
     " label_info struct<action_config: array<struct<start_frame: bigint, end_frame: bigint, action_text: string, skill: string>>>"
 )
 
-#: Cameras of the video source, and those read by default.
-CAMERAS = ("head_color", "hand_left_color", "hand_right_color", "head_center_fisheye_color", "head_left_fisheye_color", "head_right_fisheye_color", "back_left_fisheye_color", "back_right_fisheye_color")
+#: Cameras that are read by default.
 DEFAULT_CAMERAS = ("head_color", "hand_left_color", "hand_right_color")
 DEFAULT_FPS = 30.0
 
@@ -34,11 +33,11 @@ def read_tasks(spark: SparkSession, paths: list[str]) -> DataFrame:
     return rows.select(task.alias("task_id"), "episode_id", "task_name", F.col("label_info.action_config").alias("action_config"))
 
 
-def decode_frames(archives: DataFrame, decode: Callable[[bytes], list[bytes]], cameras: tuple[str, ...] = DEFAULT_CAMERAS) -> DataFrame:
+def decode_frames(archives: DataFrame, decode: Callable[[bytes], list[bytes]], cameras: tuple[str, ...] = DEFAULT_CAMERAS, strict: bool = False) -> DataFrame:
     """``episode_id, camera, step, value``: frames of the cameras' videos in archives ``(path, content)``.
 
     Members are named ``{episode}/videos/{camera}.mp4``. ``decode`` turns a video into raw frames; a
-    video that it fails on has no frames, as one that is not there.
+    video that it fails on or that has none is an error if ``strict``, else it has no rows.
     """
 
     def frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,8 +51,12 @@ def decode_frames(archives: DataFrame, decode: Callable[[bytes], list[bytes]], c
                             continue
                         try:
                             found = decode(archive.extractfile(member).read())
-                        except (ValueError, OSError, EOFError):
+                        except (ValueError, OSError, EOFError) as error:
+                            if strict:
+                                raise ValueError(f"{member.name} can't be decoded") from error
                             continue
+                        if strict and not len(found):
+                            raise ValueError(f"{member.name} has no frames")
                         yield pd.DataFrame({"episode_id": int(parts[0]), "camera": camera, "step": range(len(found)), "value": found})
 
     return archives.mapInPandas(frames, "episode_id bigint, camera string, step int, value binary")

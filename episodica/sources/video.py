@@ -40,9 +40,8 @@ def video_steps(tasks: DataFrame, cameras: dict[str, DataFrame], known: DataFram
 
 
 def read_videos(tasks: DataFrame, listing: DataFrame, root: str, decode: Callable[[bytes], list[bytes]], cameras: tuple[str, ...] = DEFAULT_CAMERAS) -> DataFrame:
-    """Steps of the tasks' episodes from archives under ``root``; archives are read where they lie."""
-    paths = needed_archives(tasks, listing)
-    archives = tasks.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tar").load(root)
-    wanted = archives.join(paths.withColumnRenamed("path", "__wanted"), F.expr("endswith(path, __wanted)"), "left_semi")
-    frames = decode_frames(wanted.select("path", "content"), decode, cameras)
+    """Steps of the tasks' episodes from archives under ``root``; only their archives are read."""
+    paths = [f"{root.rstrip('/')}/{r.path}" for r in needed_archives(tasks, listing).toLocalIterator()]  # file names, as in any listing
+    archives = tasks.sparkSession.read.format("binaryFile").load(paths)
+    frames = decode_frames(archives.select("path", "content"), decode, cameras, strict=True)
     return video_steps(tasks, {c: frames.where(F.col("camera") == c) for c in cameras})

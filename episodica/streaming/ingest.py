@@ -9,12 +9,17 @@ from episodica.sources.store import EpisodeStore
 
 
 def ingest(stream: DataFrame, store: EpisodeStore, checkpoint: str) -> StreamingQuery:
-    """Store the whole episodes that each micro-batch brings; a batch that is repeated adds nothing.
+    """Store the numbered steps that each micro-batch brings, each step once.
 
-    The stream's rows are numbered steps, and a file holds its episodes whole.
+    An episode may come in several micro-batches, and steps may come again: what is stored is not
+    stored twice. A micro-batch that is repeated after a failure adds nothing.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        store.build(batch, batch.select("episode_id").distinct(), f"stream-{number}")
+        batch.persist()
+        try:
+            store.append(batch, f"stream-{number}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,17 +193,33 @@ def test_rendering(spark):
     clips = spark.range(3).select(F.col("id").alias("clip"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("t")).withColumn(
         "image", F.transform(F.sequence(F.lit(0), F.lit(59)), lambda k: (k * 3 + F.col("clip") * 50 + F.col("t") * 7).cast("double"))
     )
-    made = render.batch_gif(clips, "image", 4, 5, 3)
+    made = render.batch_gif(clips, "image", (4, 5, 3))
     assert made[6:10] == bytes([14, 0, 12, 0]) and made.count(b"\x21\xf9\x04") == 2
-    assert render.item_gif(clips, 1, "image", 4, 5, 3)[6:10] == bytes([5, 0, 4, 0])
+    assert render.item_gif(clips, 1, "image", (4, 5, 3))[6:10] == bytes([5, 0, 4, 0])
     with pytest.raises(IndexError):
-        render.item_gif(clips, 9, "image", 4, 5, 3)
+        render.item_gif(clips, 9, "image", (4, 5, 3))
     steps = clips.select(F.col("clip").alias("episode_id"), F.col("t").alias("step"), "image")
     assert render.episode_gif(steps, {"image": (4, 5, 3)}, -1)[6:10] == bytes([5, 0, 4, 0])
     with pytest.raises(IndexError):
         render.episode_gif(steps, {"image": (4, 5, 3)}, 3)
     with pytest.raises(ValueError, match="no frames"):
-        render.batch_gif(clips, "image", 9, 9, 3)
+        render.batch_gif(clips, "image", (9, 9, 3))
+    with pytest.raises(ValueError, match="channels"):
+        render.batch_gif(clips, "image", (4, 5, 2))
+
+
+def test_colours_of_both_layouts(spark):
+    """Red, green and blue keep their places; one channel gives gray."""
+    pixels = np.zeros((2, 2, 3))
+    pixels[0, 0], pixels[0, 1], pixels[1, 0] = (1, 0, 0), (0, 1, 0), (0, 0, 1)
+    want = [255 if v else 0 for v in pixels.ravel()]
+    for flat, shape in ((pixels, (2, 2, 3)), (pixels.transpose(2, 0, 1), (3, 2, 2))):
+        clips = spark.createDataFrame([(0, 0, flat.ravel().tolist())], "clip int, t int, image array<double>")
+        assert render.colour_frames(clips, "image", shape).first().rgb == want
+    gray = spark.createDataFrame([(0, 0, [0.0, 1.0, 1.0, 0.0])], "clip int, t int, image array<double>")
+    rgb = render.colour_frames(gray, "image", (2, 2, 1)).first().rgb
+    assert rgb[:3] == [0, 0, 0] and rgb[3] == rgb[4] == rgb[5] > 200
+    assert render.palette_codes(np.array([[[0, 0, 0], [255, 255, 255]]])).tolist() == [[0, 251]]
 
 
 def test_skills(spark):
@@ -270,14 +287,98 @@ def test_gif_frames():
     image = pytest.importorskip("PIL.Image")
     import io
 
-    frames = [bytes((x * 7 + k) % 256 for x in range(20 * 15)) for k in range(3)]
-    opened = image.open(io.BytesIO(render.gif(frames, 20, 15)))
+    levels = [[k * 255 // (n - 1) for k in range(n)] for n in render.LEVELS]
+    rng = np.random.default_rng(2)
+    frames = [np.stack([rng.choice(x, (15, 20)) for x in levels], -1).astype(np.uint8) for _ in range(3)]
+    opened = image.open(io.BytesIO(render.gif(frames)))
     assert opened.n_frames == 3
     for k, frame in enumerate(frames):
         opened.seek(k)
-        assert opened.convert("L").tobytes() == frame
+        assert (np.array(opened.convert("RGB")) == frame).all()
 
 
 def test_gif_shape():
-    made = render.gif([bytes(range(256)) * 4], 32, 32)
-    assert made.startswith(b"GIF89a") and made.endswith(b"\x3b")
+    made = render.gif([np.zeros((32, 16, 3), np.uint8)] * 4)
+    assert made.startswith(b"GIF89a") and made.endswith(b"\x3b") and made[6:10] == bytes([16, 0, 32, 0])
+
+
+def test_builds_and_streams_that_stop_and_repeat(spark, tmp_path):
+    """A write that ends before the manifest is not seen; repeated ones and split episodes give each step once."""
+    steps = made_steps(spark, [3, 2, 4])
+    everyone = steps.select("episode_id").distinct()
+
+    class Stopped(EpisodeStore):
+        def _name(self, part, batch, fresh):
+            raise RuntimeError("stopped")
+
+    root = str(tmp_path / "store")
+    with pytest.raises(RuntimeError):
+        Stopped(spark, root).build(steps, everyone, "b")
+    store = EpisodeStore(spark, root)
+    assert store.manifest().count() == 0
+    for _ in range(2):
+        store.build(steps, everyone, "b")
+    assert store.read().count() == 9 and {r.n_steps for r in store.manifest().collect()} == {2, 3, 4}
+    other = EpisodeStore(spark, str(tmp_path / "parts"))
+    with pytest.raises(RuntimeError):
+        Stopped(spark, other.root).append(steps.where("step < 2"), "0")
+    other.append(steps.where("step < 2"), "0")
+    other.append(steps.where("step < 2"), "0")
+    other.append(steps.where("step >= 1"), "1")
+    assert sorted((r.episode_id, r.step) for r in other.read().collect()) == sorted((r.episode_id, r.step) for r in steps.collect())
+    assert sorted(r.flat_index for r in other.read().collect()) == [*range(9)]
+    assert other.read(everyone.where("episode_id = 1")).count() == 2
+    other.delete()
+    assert other.manifest().count() == 0
+
+
+def test_sparse_ids(spark):
+    """Ids far apart are indexed in order in a bounded number of ranges."""
+    ids = [-(2**62), -5, 0, 7, 2**40, 2**62, 2**62 + 1]
+    steps = spark.createDataFrame([(e, s, 2) for e in ids for s in (0, 1)], "episode_id long, step int, ep_len int")
+    got = {r.episode_id: r.ep_start for r in episodes.episode_index(steps).collect()}
+    assert got == {e: 2 * k for k, e in enumerate(ids)}
+    assert {r.episode_id: r.ordinal for r in episodes.episode_ordinals(steps).collect()} == {e: k for k, e in enumerate(ids)}
+
+
+def test_handles(spark, tmp_path):
+    """Stores behind a handle, kept maps, config and splits."""
+    steps = made_steps(spark, [3, 2, 4])
+    store = EpisodeStore(spark, str(tmp_path / "store"))
+    store.build(steps, steps.select("episode_id").distinct(), "b")
+    plain, stored = TrajectoryDataset(steps), TrajectoryDataset.from_store(store)
+    assert stored.num_episodes() == 3 and stored.num_steps() == 9 and stored.info()["steps"] == 9
+    rows = lambda d: sorted((r.b, r.episode_id, r.anchor_step) for r in d.sample(16, 5).collect())
+    assert rows(plain) == rows(stored) and len(rows(plain)) == 16
+    grid = plain.with_config({"control_frequency": 5.0, "sampler": {"kind": "TubeletGrid", "clips": 2, "frames": 2, "spacing": 0.1, "control_frequency": 10.0}})
+    assert grid.with_config(grid.config()).config() == grid.config() and grid.sample(seed=3).count() == 4
+    parts = plain.splits({"a": 0.5, "b": 0.5})
+    assert sum(p.num_steps() for p in parts.values()) == 9
+    tasks = spark.createDataFrame([(2, 20, "x"), (5, 50, "y")], "task_id long, episode_id long, task_name string")
+    frames = spark.createDataFrame([(20, 0, 1.0), (50, 0, 2.0)], "episode_id long, step int, value double")
+    ids = lambda chosen: [r.episode_id for r in TrajectoryDataset.from_video(tasks, {"head": frames}, chosen, str(tmp_path / "map")).steps.collect()]
+    assert ids([5]) == [0] and ids([2]) == [1] and ids([5]) == [0] and sorted(ids(None)) == [0, 1]
+
+
+def test_images_come_channels_first(spark):
+    """Flat 8 x 8 x 3 images of windows, of anchors and of tubelets in CHW order."""
+    flat = [float(k) for k in range(192)]
+    want = np.array(flat).reshape(8, 8, 3).transpose(2, 0, 1).ravel().tolist()
+    rows = spark.createDataFrame([(e, s, 3, flat) for e in (0, 1) for s in range(3)], "episode_id long, step int, ep_len int, image array<double>")
+    image = F.col("image").alias("image", metadata={"shape": [8, 8, 3]})
+    steps = rows.select("episode_id", "step", "ep_len", F.struct(image).alias("observation"))
+    data = TrajectoryDataset(steps).with_windows({"observation/image": [-0.1, 0.0, 0.1]})
+    for row in data.sample(5, 1).collect():
+        assert row["observation/image"] == [want] * 3 == row["next/observation/image"]
+    clips = data.with_config({"control_frequency": 10.0, "sampler": {"kind": "TubeletGrid", "clips": 1, "frames": 2, "spacing": 0.1, "control_frequency": 10.0}})
+    assert [r.observation.image for r in clips.sample(seed=2).collect()] == [want] * 2
+
+
+def test_direct_lookup(spark, tmp_path):
+    """One dataset is found in its own folder without the listing of all."""
+    for name in ("a/1.2/x.bin", "a/1.10/x.bin", "b/2/y.bin"):
+        (tmp_path / name).parent.mkdir(parents=True)
+        (tmp_path / name).write_bytes(b"1")
+    known = catalog.Catalog.of_root(spark, str(tmp_path))
+    known._read = None
+    assert known.path("a") == "a/1.10" and known.validate("b", "2") and not known.validate("none")
