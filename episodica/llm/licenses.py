@@ -8,7 +8,7 @@ once and not again by its parts.
 
 Only DataFrame functions are used, all within a row: nothing is shuffled. Null and empty texts have
 no licences, repeated rows are scanned each, an empty table gives an empty result, and other columns
-are not needed.
+but those of the scan's own names pass through.
 """
 
 from __future__ import annotations

@@ -62,6 +62,7 @@ class Policy:
 POLICIES = {
     "base": Policy("base", ("few_words", "repeated_windows")),
     "v1": Policy("v1", ("few_words", "repeated_windows", "many_symbols")),
+    "v2": Policy("v2", tuple(r.name for r in RULES)),
 }
 BASE, DEFAULT = POLICIES["base"], POLICIES["v1"]
 
@@ -174,6 +175,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that fail every rule, and those that it alone rejects, under the policy of all rules."""
+    return ablation(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), POLICIES["v2"])
+
+
 OP7_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -206,3 +212,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, (failed_bits & 7) = 0 AS kept, failed_bits
 FROM f
 """
+
+ABLATION_SQL = f"""
+WITH q AS ({OP7_SQL}), r AS (SELECT * FROM (VALUES {", ".join(f"('{r.name}', {1 << r.bit})" for r in RULES)}) v(rule, bit))
+SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_failed_alone
+FROM q, r GROUP BY rule
+"""

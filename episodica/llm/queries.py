@@ -15,6 +15,8 @@ QUERIES = {
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_token_ids": token_ids.op10_token_ids,
+    "quality_ablation": quality.quality_ablation,
+    "warc_read_by_predicate": warc.warc_read_by_predicate,
 }
 ORACLE_SQL = {
     "op3_chat_format": chat.OP3_SQL,
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op7_quality_rules": quality.OP7_SQL,
     "op8_warc_round_trip": warc.OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,
+    "quality_ablation": quality.ABLATION_SQL,
+    "warc_read_by_predicate": warc.PREDICATE_SQL,
 }

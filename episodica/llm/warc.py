@@ -365,6 +365,13 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def warc_read_by_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses of secure addresses, read from the archives by predicates on headers, without payloads."""
+    path = fresh_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return read_warc(spark, path, ["response"], "https://", payloads=False).select("page_id", "payload_bytes", "record_type")
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages
@@ -380,3 +387,7 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
 FROM d
 """
+
+PREDICATE_SQL = f"""
+SELECT page_id, payload_bytes, record_type FROM ({OP8_SQL}) JOIN pages USING (page_id) WHERE record_type = 'response' AND url LIKE 'https://%'
+"""
