@@ -14,7 +14,7 @@ could reach the threshold:
 
 Only DataFrame functions are used. The benchmark's shingles are broadcast while there are at most
 ``BROADCAST_SHINGLES`` of them and joined by hash otherwise, in one pass over the documents either
-way; so are the documents' candidate starts.
+way; candidate starts and the digests of hit texts are broadcast up to ``BROADCAST_STARTS``.
 
 Items of fewer words than a shingle are one shingle of their own length. Null and empty texts and
 items match nothing; rows that repeat a document or item give one result; results are by id, so rows
@@ -36,7 +36,7 @@ THRESHOLD = 0.8
 BITS = 64
 RADIUS = 23
 
-#: Most shingles of a benchmark, and most candidate starts, that are broadcast.
+#: Most shingles of a benchmark, and most candidate starts or hit texts, that are broadcast.
 BROADCAST_SHINGLES = 200_000
 BROADCAST_STARTS = 200_000
 
@@ -175,8 +175,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     """
     digest = F.unhex(F.sha2(F.col(f"`{text}`"), 256))
     found = contaminated(docs.select(digest.alias("doc_id"), F.col(f"`{text}`").alias("text")), benchmark)
-    hit = found.select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, digest == F.col("__hit"), "left_anti")
+    hit = written(found.select(F.col("doc_id").alias("__hit")).distinct(), "hits")
+    return docs.join(F.broadcast(hit) if hit.count() <= BROADCAST_STARTS else hit, digest == F.col("__hit"), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
