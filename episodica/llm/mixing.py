@@ -207,12 +207,12 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that the mix takes of every document, its source's size and target, and its place in the mix."""
+    """Words that the mix takes of every document, its source's size and target, and its place in the mix, -1 if none."""
     served = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     row = ["source_null", "source_key", "queue_bucket", "queue_row"]
     return (
         served.groupBy(*row, "doc_id", "size", "source_size", "target")
-        .agg(F.sum("words_taken").alias("taken"), F.min(F.when(F.col("words_taken") > 0, F.col("mix_start"))).alias("mix_start"))
+        .agg(F.sum("words_taken").alias("taken"), F.coalesce(F.min(F.when(F.col("words_taken") > 0, F.col("mix_start"))), F.lit(-1)).alias("mix_start"))
         .select("doc_id", "size", "source_size", "target", "taken", "mix_start")
     )
 
@@ -258,5 +258,5 @@ WITH d AS (
 ), g AS (
   SELECT rid, sum(taken)::BIGINT AS taken, min(mix_start) FILTER (taken > 0) AS mix_start FROM k GROUP BY rid
 )
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, mix_start FROM q LEFT JOIN g USING (rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(mix_start, -1)::BIGINT AS mix_start FROM q LEFT JOIN g USING (rid)
 """
