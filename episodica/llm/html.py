@@ -53,16 +53,16 @@ CLOSED_BY = {"p": BREAKING, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 
 #: Words of class and id names, and roles, that mark what is not the article.
 BOILERPLATE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
+    "ad ads adv advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
     " disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
     " promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 #: Words that only say where in a layout something is, or of what kind its box is.
 LAYOUT_WORDS = frozenset(
     "a an and area article bar big block body bottom box btn button buttons card col column container content dark desktop end fixed form"
-    " global group head header holder icon icons inline inner item items large left light link links list lg main md mid middle mobile nofollow"
-    " on outer page panel position post posts primary right row secondary section side site slot sm small sticky strip tags the title"
-    " tools top unit wide wrap wrapper xl xs".split()
+    " global google group head header holder icon icons info inline inner item items large left light link links list lg main md mid middle mobile"
+    " nofollow on outer page panel position post posts primary reader readers right row secondary section side site slot sm small sticky strip"
+    " success tags the thread title tools top unit user users visitor visitors warning wide wrap wrapper xl xs".split()
 )
 #: Of the words of boilerplate, those of blocks whose articles are not the page's, and class names that only say what a
 #: container has or lacks.

@@ -21,7 +21,7 @@ def test_foreign_articles_stay_out(around):
     assert html.extract(page) == TEXT
 
 
-NAMES = ["social-issues", "widget-text", "comment-on-the-budget", "no-share", "adverbs", "notice-of-intent", "cookies-recipe"]
+NAMES = ["social-issues", "widget-text", "comment-on-the-budget", "no-share", "adverbs", "notice-of-intent", "cookies-recipe", "user-info", "readers"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -31,7 +31,7 @@ def test_names_with_words_of_their_own_stay(name):
     assert html.extract(page) == f"{TEXT}\n\nShort one.\n\nAnother."
 
 
-@pytest.mark.parametrize("name", ["share-buttons", "related-posts", "newsletter_signup", "ad-slot-3", "cookie-consent", "site-footer", "comments-area"])
+@pytest.mark.parametrize("name", ["share-buttons", "related-posts", "newsletter_signup", "ad-slot-3", "cookie-consent", "site-footer", "comments-area", "user-comments", "google-ads", "disqus_thread", "alert alert-info"])
 def test_names_of_boilerplate_alone_go(name):
     assert html.extract(f"<article><p>{TEXT}</p><div class='x {name}'>Not of the article at all, but long enough to be taken for it.</div></article>") == TEXT
 
