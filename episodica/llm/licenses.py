@@ -4,7 +4,7 @@ A text is cut into sentences; a sentence that runs over lines is also tried line
 is normalised (lower case, everything but letters and digits to one space) and looked up in a fixed
 table of licence sentences; what is found, in order, is the document's identifier sequence. Ordered
 rules, the longest first, then claim runs of identifiers, so that a full licence header is reported
-once and not again by its parts.
+once and not again by its parts. An SPDX expression gives the licences of all its operands.
 
 Only DataFrame functions are used, all within a row: nothing is shuffled. Null and empty texts have
 no licences, repeated rows are scanned each, an empty table gives an empty result, and other columns
@@ -145,10 +145,15 @@ def _names() -> dict[str, str]:
 #: What may come before the name in a notice; ``NOTICE`` stands for it and is in no normalised text.
 NOTICE_START = (
     "^(?:(?:this|the) (?:work|project|software|program|file|code|source code|library|package|document|text|module) is |it is )?"
-    "(?:licensed|released|distributed|published|provided|made available|available) under (?:the )?(?:terms of (?:the )?)?"
+    "(?:licensed|released|distributed|published|provided|made available|available) under (?:an? |the )?(?:terms of (?:an? |the )?)?"
 )
 NOTICE = "> "
 
+#: The operators of an SPDX expression, and what an exception adds to a licence.
+SPDX_TAG = "SPDX-License-Identifier:"
+SPDX_OPERATOR = rf"[\x20\t]+(?:AND|OR)(?<={SPDX_TAG}[^\n]{{1,400}})[\x20\t]+"
+SPDX_EXCEPTION = rf"[\x20\t]+WITH(?<={SPDX_TAG}[^\n]{{1,400}})[\x20\t]+[A-Za-z0-9.-]+"
+
 _FSF = "you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation either version {} of the license or at your option any later version"
 _BODIES = {
     "mit-liability": "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
@@ -206,16 +211,22 @@ def normalised(piece: Column) -> Column:
 
 def looked_up(piece: Column) -> Column:
     """A piece as the table has it: normalised, the start of a notice as ``NOTICE``."""
-    plain = normalised(F.regexp_replace(piece, r"(?i)(spdx-license-identifier\s*:\s*[a-z]+-[0-9.]+)\+", "$1-or-later"))
+    plain = normalised(F.regexp_replace(piece, r"(?i)(spdx-license-identifier\s*:[\s(]*[a-z]+-[0-9.]+)\+", "$1-or-later"))
     own = plain.isin([*SENTENCES.values()])
     return F.when(own | ~F.contains(plain, F.lit(" under ")), plain).otherwise(F.regexp_replace(plain, NOTICE_START, NOTICE))
 
 
+def tags_apart(text: Column) -> Column:
+    """``text`` with every operand of an SPDX expression under a tag of its own, without exceptions."""
+    plain = F.regexp_replace(text, SPDX_EXCEPTION, "")
+    return F.when(F.contains(text, F.lit(SPDX_TAG)), F.regexp_replace(plain, SPDX_OPERATOR, f"\n{SPDX_TAG} ")).otherwise(text)
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     known = list(SCAN_SENTENCES)
     by_sentence = F.create_map(*[F.lit(x) for pair in SCAN_SENTENCES.items() for x in pair])
-    whole = F.transform(F.split(F.coalesce(text, F.lit("")), SCAN_END), lambda s: F.struct(looked_up(s).alias("n"), s.alias("raw")))
+    whole = F.transform(F.split(tags_apart(F.coalesce(text, F.lit(""))), SCAN_END), lambda s: F.struct(looked_up(s).alias("n"), s.alias("raw")))
     pieces = F.transform(
         whole,
         lambda s: F.when(s["n"].isin(known), F.array(s["n"]))

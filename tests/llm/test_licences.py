@@ -73,6 +73,10 @@ def test_notices_of_other_licences(spark):
         ("Licensed under the ISC license.", "ISC"),
         ("Released under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
         *((f"// SPDX-License-Identifier: {tag}\n", want) for tag, want in (("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0+", "GPL-2.0-or-later"), ("LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("MPL-2.0", "MPL-2.0"), ("BSD-2-Clause", "BSD-2-Clause"))),
+        ("/* SPDX-License-Identifier: Apache-2.0 OR MIT */\nint x;", "Apache-2.0,MIT"),
+        ("# SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note) AND (MIT OR ISC)\n", "GPL-2.0-or-later,ISC,MIT"),
+        ("SPDX-License-Identifier: MIT\nOne WITH two OR Apache-2.0 AND ISC", "MIT"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
         (MIT.split("\n\n")[2], "MIT"),
         (BSD.split("\n\n")[2], "BSD"),
         ("We released this under the sun. MIT License. > mit license. notice mit", ""),
