@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,13 +48,27 @@ def missing_episodes(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.select("episode_id").distinct().join(present, "episode_id", "left_anti")
 
 
+def _key_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the digest of all ids, comma-joined in the order in which they come."""
+    digest, n = hashlib.md5(), 0
+    for batch in batches:
+        ids = batch.column(0).cast(pa.string()).to_pylist()
+        if ids:
+            digest.update((("," if n else "") + ",".join(ids)).encode())
+            n += len(ids)
+    yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()[:16]]), pa.array([n])], names=["selection_key", "n_episodes"])
+
+
 def selection_key(selected: DataFrame) -> DataFrame:
-    """``selection_key, n_episodes``: 16 hex digits that name a set of episodes, whatever its order."""
-    ids = F.sort_array(F.collect_set(F.col("episode_id").cast("bigint")))
-    return selected.agg(ids.alias("ids")).select(
-        F.substring(F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")), 1, 16).alias("selection_key"),
-        F.size("ids").cast("bigint").alias("n_episodes"),
-    )
+    """``selection_key, n_episodes``: 16 hex digits that name a set of episodes, whatever its order.
+
+    A digest is made in order, so one task reads the distinct ids; they are streamed to it from a
+    sort that spills, a batch at a time, and no list of them is ever built.
+    """
+    ids = selected.select(F.col("episode_id").cast("bigint").alias("episode_id")).where("episode_id is not null").distinct()
+    made = ids.repartition(1).sortWithinPartitions("episode_id").mapInArrow(_key_of_sorted, "selection_key string, n_episodes bigint")
+    empty = F.substring(F.md5(F.lit("")), 1, 16)
+    return made.agg(F.coalesce(F.max_by("selection_key", "n_episodes"), empty).alias("selection_key"), F.coalesce(F.max("n_episodes"), F.lit(0)).alias("n_episodes"))
 
 
 def global_episode_map(episodes: DataFrame) -> DataFrame:

@@ -55,10 +55,9 @@ class EpisodeStore:
     def append(self, steps: DataFrame, batch: str) -> None:
         """Store the steps that are missing, also of episodes that are stored in part.
 
-        A batch whose name the manifest has is stored and adds nothing.
+        Only steps decide what is missing, not the batch's name: another stream, or one that begins
+        anew, may use a name again.
         """
-        if not self.fragments().where(F.col("batch") == batch).isEmpty():
-            return
         try:
             known = self._stored(steps.select("episode_id").distinct()).select("episode_id", "step").distinct()
         except AnalysisException:  # nothing is stored yet

@@ -1,5 +1,6 @@
 """Operators against fixed values and brute-force models."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -283,6 +284,26 @@ def test_stream_into_the_store(spark, tmp_path):
     assert store.read().count() == 5
 
 
+def test_a_second_stream_into_the_same_store(spark, tmp_path):
+    """Its batches have the first one's numbers, but steps of their own."""
+    steps = made_steps(spark, [3, 2, 4])
+    store = EpisodeStore(spark, str(tmp_path / "store"))
+    for n, chosen in enumerate(("episode_id < 2", "episode_id > 0", "episode_id > 0")):
+        steps.where(chosen).write.parquet(str(tmp_path / f"in-{n}"))
+        stream = spark.readStream.schema(steps.schema).parquet(str(tmp_path / f"in-{n}"))
+        ingest(stream, store, str(tmp_path / f"state-{n}")).awaitTermination()
+    assert sorted(r.flat_index for r in store.read().collect()) == list(range(9))
+
+
+@pytest.mark.parametrize("ids", [[], [7], [3, -2, 3, None, 10**12], list(range(25_000))])
+def test_selection_key(spark, ids):
+    """The digest of the sorted, distinct ids, however many batches they come in."""
+    listed = ",".join(map(str, sorted({i for i in ids if i is not None})))
+    got = selection.selection_key(spark.createDataFrame([(i,) for i in ids], "episode_id long")).first()
+    assert got.selection_key == hashlib.md5(listed.encode()).hexdigest()[:16]
+    assert got.n_episodes == len({*ids} - {None})
+
+
 def test_gif_frames():
     image = pytest.importorskip("PIL.Image")
     import io
