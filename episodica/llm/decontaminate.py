@@ -111,12 +111,13 @@ def candidate_starts(docs: DataFrame, items: DataFrame, width: int, threshold: f
     """``doc_id, digest, item, starts``: where windows hold enough shingles of the item to be similar.
 
     ``docs`` has ``doc_id, digest, text``. Of ``need`` hits in a row, the first and last must lie in
-    the window, which bounds its start.
+    the window, which bounds its start. Rows of one id and text have the same places, each kept once,
+    so a group of copies is no longer than its text.
     """
     seeds = items.select("item", "n_item", F.explode(F.array_distinct("item_hashes")).alias("hash"))
     hits = text_hashes(docs, width).select("doc_id", "digest", "n_words", F.posexplode("hashes").alias("p", "hash"))
     met = hits.join(F.broadcast(seeds) if small else seeds, "hash")
-    by_item = met.groupBy("doc_id", "digest", "n_words", "item", "n_item").agg(F.collect_list("p").alias("ps"))
+    by_item = met.groupBy("doc_id", "digest", "n_words", "item", "n_item").agg(F.collect_set("p").alias("ps"))
     ordered = with_computed(by_item, "at", F.array_sort("ps")).drop("ps")
     size = window_size(width)
     need = F.ceil((size + F.col("n_item") - width + 1) * F.lit(threshold / (1 + threshold)) - 1e-6).cast("int")
