@@ -60,13 +60,17 @@ def turn_tokens(text: Column) -> Column:
     return F.floor((F.length(text) + 3) / 4) + 4
 
 
-def format_windows(conversations: DataFrame, budget: Budget = BUDGET) -> DataFrame:
+def format_windows(conversations: DataFrame, budget: Budget = BUDGET, tokens: str | None = None) -> DataFrame:
     """``conv_id, window, formatted, loss_spans, n_repeated``: one row per window.
 
     ``loss_spans`` are ``(start, length)`` in code points of ``formatted``; the first ``n_repeated``
-    turns of a window are repeated ones.
+    turns of a window are repeated ones. ``tokens`` names a column of the turns' tokens; where it is
+    null, and without it, they are estimated.
     """
+    counted = [] if tokens is None else [F.greatest(F.lit(0), F.col(f"`{tokens}`").cast("long")).alias("given")]
+    count = turn_tokens(F.col("text")) if tokens is None else F.coalesce("given", turn_tokens(F.col("text")))
     turns = conversations.select(
+        *counted,
         "conv_id",
         "turn",
         F.coalesce(F.col("role"), F.lit("")).alias("role"),
@@ -80,8 +84,8 @@ def format_windows(conversations: DataFrame, budget: Budget = BUDGET) -> DataFra
         turns.withColumns({"i": F.row_number().over(order) - 1, "head": head, "body": escape(F.col("text"))})
         .withColumn("is_system", (F.col("i") == 0) & (F.col("role") == SYSTEM_ROLE))
         .withColumn("piece", F.concat("head", "body", F.lit(END)))
-        .withColumn("tokens", F.when(F.col("is_system"), 0).otherwise(turn_tokens(F.col("text"))))
-        .withColumn("system_tokens", F.max(F.when(F.col("is_system"), turn_tokens(F.col("text"))).otherwise(0)).over(conv))
+        .withColumn("tokens", F.when(F.col("is_system"), 0).otherwise(count))
+        .withColumn("system_tokens", F.max(F.when(F.col("is_system"), count).otherwise(0)).over(conv))
         .withColumn("system_piece", F.max(F.when(F.col("is_system"), F.col("piece"))).over(conv))
         .withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
         .withColumn(

@@ -165,6 +165,16 @@ def test_chat_windows(spark):
     assert chat.read_back(chat.format_windows(data.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("given, sizes", [(None, [6]), (1, [6]), (70, [1] * 6), (30, [3, 3]), (-5, [6])])
+def test_chat_windows_by_given_tokens(spark, given, sizes):
+    """Spans are cut by the tokens of a column, and by the estimate where it is null."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k}", given) for k in range(6)]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int")
+    windows = chat.format_windows(data, chat.Budget(120, 30, 0, 16), "n")
+    assert [len(w.turns) for w in chat.parse_windows(windows).orderBy("window").collect()] == sizes
+    assert [tuple(r)[1:5] for r in chat.read_back(windows).collect()] == [slow_chat([r[2:4] for r in rows])]
+
+
 def test_decontamination_edge_cases(spark):
     item = " ".join(f"item{k}" for k in range(30))
     changed = item.replace("item29", "other")
