@@ -104,6 +104,14 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def free_name(columns: list[str], stem: str) -> str:
+    """A name for a working column that is none of ``columns``, whatever their case."""
+    taken, name = {c.lower() for c in columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(docs: DataFrame) -> Column:
     """A hash of a row's values and of which of them are null."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
