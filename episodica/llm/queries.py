@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from episodica.llm import chat, decontaminate, html, licenses, mixing, quality, repair, resampling, simhash, suffix_dedup, token_ids, warc
+from episodica.llm import chat, decontaminate, html, licenses, mixing, pii, quality, repair, resampling, simhash, suffix_dedup, token_ids, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc_round_trip": warc.op8_warc_round_trip,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_token_ids": token_ids.op10_token_ids,
+    "op11_personal_data": pii.op11_personal_data,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_conversation_repair": repair.op13_conversation_repair,
     "quality_ablation": quality.quality_ablation,
@@ -27,6 +28,7 @@ ORACLE_SQL = {
     "op7_quality_rules": quality.OP7_SQL,
     "op8_warc_round_trip": warc.OP8_SQL,
     "op9_license_scan": licenses.OP9_SQL,
+    "op11_personal_data": pii.OP11_SQL,
     "op12_importance_resampling": resampling.OP12_SQL,
     "op13_conversation_repair": repair.OP13_SQL,
     "quality_ablation": quality.ABLATION_SQL,
