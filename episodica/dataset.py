@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from episodica.functions.tensors import channels_first
 from episodica.operators import schema
 from episodica.operators.episodes import episode_index, explode_episodes, flat_index_of, to_transitions
-from episodica.operators.sampling import draw_from, pick_episode
+from episodica.operators.sampling import draw_batches, draw_from, pick_episode
 from episodica.operators.selection import filter_tasks, kept_episode_map, select_episodes
 from episodica.operators.tubelets import TubeletGrid, tubelets
 from episodica.operators.windows import TemporalWindow, batch_windows, default_window
@@ -22,6 +22,8 @@ from episodica.sources.tabular import tabular_steps
 from episodica.sources.tasks import DEFAULT_FPS
 from episodica.sources.video import video_steps
 
+#: Draws of up to so many rows are resolved before a store's files are opened.
+DRAWN_ROWS = 10_000
 CACHE_VARIABLE = "EPISODICA_CACHE"
 
 
@@ -43,6 +45,7 @@ class TrajectoryDataset:
     control_frequency: float = 10.0
     sampler: TemporalWindow | TubeletGrid | None = None
     given_index: DataFrame | None = None
+    store: EpisodeStore | None = None
 
     @classmethod
     def from_nested(cls, episodes: DataFrame, observation: list[str], keep_text: bool = True, **options) -> TrajectoryDataset:
@@ -69,8 +72,9 @@ class TrajectoryDataset:
 
     @classmethod
     def from_store(cls, store: EpisodeStore, episodes: DataFrame | None = None, **options) -> TrajectoryDataset:
-        """From a store, whose manifest is the episode index."""
-        return cls(store.read(episodes).drop("flat_index"), given_index=store.index(episodes), **options)
+        """From a store as it is now, whose manifest is the episode index; samples open only files that hold their draws."""
+        fixed = store.at(store.snapshot().version) if store.version is None and store.versions() else store
+        return cls(fixed.read(episodes).drop("flat_index"), given_index=fixed.index(episodes), store=fixed, **options)
 
     @cached_property
     def index(self) -> DataFrame:
@@ -84,7 +88,7 @@ class TrajectoryDataset:
         lost = wanted.join(self.steps.select("episode_id").distinct(), "episode_id", "left_anti").limit(20).collect()
         if lost or not episodes:
             raise ValueError(f"no such episodes: {sorted(r.episode_id for r in lost)}")
-        return replace(self, steps=select_episodes(self.steps, wanted), given_index=None)
+        return replace(self, steps=select_episodes(self.steps, wanted), given_index=None, store=None)
 
     @cached_property
     def _sizes(self) -> tuple[int, int]:
@@ -109,7 +113,7 @@ class TrajectoryDataset:
         at = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("episode_id").cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
         out, low = {}, 0.0
         for name, share in shares.items():
-            out[name] = replace(self, steps=self.steps.where((at >= low) & (at < low + share)), given_index=None)
+            out[name] = replace(self, steps=self.steps.where((at >= low) & (at < low + share)), given_index=None, store=None)
             low += share
         return out
 
@@ -140,7 +144,7 @@ class TrajectoryDataset:
 
     def preprocess(self, transform: Callable[[DataFrame], DataFrame]) -> TrajectoryDataset:
         """The steps under a transform of DataFrames."""
-        return replace(self, steps=self.steps.transform(transform), given_index=None)
+        return replace(self, steps=self.steps.transform(transform), given_index=None, store=None)
 
     def config(self) -> dict:
         """What ``with_config`` needs to sample alike in another session."""
@@ -164,16 +168,45 @@ class TrajectoryDataset:
             raise ValueError("the dataset has no steps")
         if isinstance(self.sampler, TubeletGrid):
             return self._tubelets(pick_episode(self.index, seed))
+        return self._gathered(draw_from(self.index, batch_size, seed), batch_size)
+
+    def epoch(self, batch_size: int, seeds: range) -> DataFrame:
+        """The batches of consecutive seeds in one plan: one draw, one gather, rows with their ``seed``.
+
+        Each batch equals that of ``sample`` under its seed.
+        """
+        if not self.num_steps():
+            raise ValueError("the dataset has no steps")
+        if isinstance(self.sampler, TubeletGrid):
+            raise ValueError("tubelets come of one episode at a time")
+        drawn = draw_batches(self.index, batch_size, seeds)
+        number = F.col("seed").cast("bigint") * batch_size + F.col("b")
+        batch = self._gathered(drawn.withColumn("b", number).drop("seed"), batch_size * len(seeds))
+        return batch.select(F.floor(F.col("b") / batch_size).alias("seed"), *[(F.pmod("b", F.lit(batch_size)).alias("b") if c == "b" else F.col(f"`{c}`")) for c in batch.columns])
+
+    def _reach(self, draws: DataFrame, window: TemporalWindow, rows: int) -> tuple[DataFrame, DataFrame]:
+        """Steps to gather from, and the draws: of a store, few draws are resolved first and only their files opened."""
+        if self.store is None or rows > DRAWN_ROWS:
+            return self.steps, draws
+        drawn = draws.collect()  # at most DRAWN_ROWS rows
+        offsets = [0, *(k for leaf in window.delta_timestamps for k in (*window.offsets(leaf), *window.next_offsets(leaf)))]
+        inside = lambda r, k: max(0, min(r.ep_len - 1, r.anchor_step + k))
+        places = [(r.episode_id, inside(r, min(offsets)), inside(r, max(offsets))) for r in drawn]
+        known = self.steps.sparkSession.createDataFrame(drawn, draws.schema)
+        return self.store.steps_at(places).select(*[F.col(f"`{c}`") for c in self.steps.columns]), known
+
+    def _gathered(self, draws: DataFrame, rows: int) -> DataFrame:
         window = self.sampler or default_window(schema.window_leaves(self.steps), {}, self.control_frequency)
         own = ("episode_id", "step", "ep_len")
         leaves = [p for p, _ in schema.leaf_fields(self.steps.schema) if p not in own]
         for leaf in window.delta_timestamps:
             schema.require_leaf(self.steps, leaf)
-        flat = self.steps.select(*own, *[schema.leaf_column(p).alias(p) for p in leaves])
+        steps, anchors = self._reach(draws, window, rows)
+        flat = steps.select(*own, *[schema.leaf_column(p).alias(p) for p in leaves])
         renamed = {p: p.replace("/", "__") for p in leaves}
         plain = flat.withColumnsRenamed(renamed)
         inner = TemporalWindow({renamed[k]: v for k, v in window.delta_timestamps.items()}, window.control_frequency)
-        batch = batch_windows(plain, draw_from(self.index, batch_size, seed), inner, batch_size)
+        batch = batch_windows(plain, anchors, inner, rows)
         back = {v: k for k, v in renamed.items()} | {f"next/{v}": f"next/{k}" for k, v in renamed.items() if k in window.delta_timestamps}
         windowed = [f"next/{renamed[k]}" for k in window.delta_timestamps]
         clash = {f"next/{k}" for k in window.delta_timestamps}  # a mirrored window replaces the stored leaf
@@ -196,8 +229,20 @@ class TrajectoryDataset:
             clips = clips.withColumn(root, F.col(root).withField(rest.replace("/", "."), made) if rest else made)
         return clips
 
-    def batches(self, batch_size: int = 32, seed: int = 0) -> Iterator[DataFrame]:
-        """Batches without end, each of its own seed; beginning at a later seed goes on from there."""
+    def batches(self, batch_size: int = 32, seed: int = 0, planned: int = 64) -> Iterator[DataFrame]:
+        """Batches without end, each of its own seed; beginning at a later seed goes on from there.
+
+        ``planned`` batches at a time are drawn and gathered in one plan, and kept until the next ones are.
+        """
+        if isinstance(self.sampler, TubeletGrid):
+            while True:
+                yield self.sample(batch_size, seed)
+                seed += 1
         while True:
-            yield self.sample(batch_size, seed)
-            seed += 1
+            made = self.epoch(batch_size, range(seed, seed + planned)).persist()
+            try:
+                for k in range(seed, seed + planned):
+                    yield made.where(F.col("seed") == k).drop("seed")
+            finally:
+                made.unpersist()
+            seed += planned

@@ -59,7 +59,8 @@ def clamp(value: Column, low: Column, high: Column) -> Column:
     return F.greatest(low, F.least(high, value))
 
 
-def seeded_draw(seed: int | str, draw: Column, total: Column) -> Column:
+def seeded_draw(seed: int | str | Column, draw: Column, total: Column) -> Column:
     """A number below ``total`` that depends on the seed and the draw only."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), draw.cast("string")))
+    named = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    digest = F.md5(F.concat(named, F.lit(":"), draw.cast("string")))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % total
