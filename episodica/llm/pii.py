@@ -43,7 +43,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 LETTERS = r"\p{L}++"
 BROADCAST_TERMS = 200_000
 #: Elements of an array that are summed at once.
-BLOCK = 256
+BLOCK = 32
 
 
 @dataclass(frozen=True)
