@@ -3,14 +3,14 @@
 A window of a document is as long as a benchmark item; a document shorter than the item is one. All
 windows are in question, at every start. Their similarity to the item, of the counts of shingles of
 ``SHINGLE_WORDS`` words, is exact and alone decides; what comes before it leaves out no window that
-could reach the threshold:
+could reach the threshold ``t``:
 
 * a window that is similar enough shares so many shingles with its item that at least ``need`` of
   its places hold one, so only starts with so many hits in reach are looked at;
-* fingerprints are cut into ``RADIUS + 1`` blocks; those within the radius agree in one at least, so
-  a window whose fingerprint agrees in no block, or is beyond the radius, is left out. At a similarity
-  of 0.8, 64-bit fingerprints of some 40 shingles differ in 10 bits, give or take 3; the radius is
-  set 4 deviations beyond.
+* it differs from its item, of ``n`` shingles, in at most ``2 n (1 - t) / (1 + t)`` shingles, lost and
+  put in. A fingerprint's bit whose majority is larger than that is firm: no similar window has it
+  otherwise. An item's firm bits are a block in which a window's fingerprint must agree with its own;
+  the other bits are the radius that this item leaves.
 
 Only DataFrame functions are used. The benchmark's shingles are broadcast while there are at most
 ``BROADCAST_SHINGLES`` of them and joined by hash otherwise, in one pass over the documents either
@@ -28,13 +28,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import with_computed, words, written
+from episodica.llm.shared import free_name, with_computed, words, written
 from episodica.sources.tables import table
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BITS = 64
-RADIUS = 23
+#: Starts of a text that share one slice of its hashes.
+SLICE = 1024
 
 #: Most shingles of a benchmark, and most candidate starts or hit texts, that are broadcast.
 BROADCAST_SHINGLES = 200_000
@@ -63,15 +64,16 @@ def simhash(hashes: Column) -> Column:
     )
 
 
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """The fingerprint's ``radius + 1`` blocks, each with its number."""
-    cuts = [round(k * BITS / (radius + 1)) for k in range(radius + 2)]
-    return F.array(
-        *[
-            F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"))
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))
-        ]
+def firm_bits(hashes: Column, threshold: float) -> Column:
+    """Bits of ``simhash`` that are the same for every window of at least that similarity, and of no more shingles."""
+    n = F.size(hashes)
+    margins = F.transform(
+        F.sequence(F.lit(0), F.lit(BITS - 1)),
+        lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + 2 * F.call_function("getbit", h, b).cast("int") - 1),
     )
+    change = 2 * n * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
+    bits = F.transform(margins, lambda m, b: F.when(F.abs(m) > change, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
 def ranked(hashes: Column) -> Column:
@@ -79,8 +81,8 @@ def ranked(hashes: Column) -> Column:
     return F.transform(hashes, lambda x, i: F.xxhash64(x, i - F.array_position(hashes, x)))
 
 
-def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """``item, item_id, n_item, width, item_hashes, item_ranked, item_print`` of every item with a word.
+def benchmark_items(benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``item, item_id, n_item, width, item_hashes, item_ranked, item_print, item_firm`` of every item with a word.
 
     ``item`` tells items of one id and different texts apart.
     """
@@ -93,7 +95,7 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     hashed = with_computed(tokens.select("item_id", n.alias("n_item"), F.least(n, F.lit(SHINGLE_WORDS)).alias("width"), "tokens"), "item_hashes", by_width)
     order = with_computed(hashed.drop("tokens"), "__sorted", F.array_sort("item_hashes"))
     made = order.withColumns({"item": F.xxhash64("item_id", "item_hashes"), "item_ranked": ranked(F.col("__sorted"))}).drop("__sorted")
-    return with_computed(made, "item_print", simhash(F.col("item_hashes")))
+    return with_computed(with_computed(made, "item_print", simhash(F.col("item_hashes"))), "item_firm", firm_bits(F.col("item_hashes"), threshold))
 
 
 def text_hashes(docs: DataFrame, width: int) -> DataFrame:
@@ -139,14 +141,23 @@ def similar_windows(docs: DataFrame, candidates: DataFrame, items: DataFrame, wi
     wanted = candidates.withColumnsRenamed({"doc_id": "__of", "digest": "__digest"})
     same = F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("digest") == F.col("__digest"))
     chosen = docs.join(F.broadcast(wanted) if few else wanted, same).select("doc_id", "text", "item", "starts")
-    about = items.select("item", "item_id", "n_item", "item_ranked", "item_print")
+    about = items.select("item", "item_id", "n_item", "item_ranked", "item_print", "item_firm")
     paired = text_hashes(chosen, width).join(F.broadcast(about) if small else about, "item")
-    window = F.slice("hashes", F.col("start") + 1, window_size(width))
-    cut = paired.withColumn("start", F.explode("starts")).withColumn("window", window).drop("hashes", "starts")
-    printed = with_computed(cut, "window_print", simhash(F.col("window")))
-    near = printed.where(F.arrays_overlap(blocks(F.col("window_print")), blocks(F.col("item_print")))).where(
-        F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))) <= RADIUS
+    sized = paired.withColumn("size", window_size(width))
+    # Rows that are multiplied carry the hashes of their own starts only.
+    parts = F.transform(
+        F.array_distinct(F.transform("starts", lambda s: F.floor(s / SLICE).cast("int"))),
+        lambda k: F.struct(
+            (k * SLICE).alias("base"),
+            F.filter("starts", lambda s: F.floor(s / SLICE) == k).alias("starts"),
+            F.slice("hashes", k * SLICE + 1, F.col("size") + SLICE - 1).alias("hashes"),
+        ),
     )
+    dealt = sized.withColumn("part", F.explode(parts)).drop("hashes", "starts")
+    started = dealt.select("*", F.explode("part.starts").alias("start"))
+    cut = with_computed(started, "window", F.slice("part.hashes", F.col("start") - F.col("part.base") + 1, F.col("size"))).drop("part", "size")
+    printed = with_computed(cut, "window_print", simhash(F.col("window")))
+    near = printed.where(F.col("window_print").bitwiseXOR(F.col("item_print")).bitwiseAND(F.col("item_firm")) == 0)
     shared = F.size(F.array_intersect(ranked(F.col("__sorted")), F.col("item_ranked")))
     counted = with_computed(with_computed(near, "__sorted", F.array_sort("window")), "shared", shared)
     similarity = F.col("shared") / (F.size("window") + F.size("item_ranked") - F.col("shared"))
@@ -156,7 +167,7 @@ def similar_windows(docs: DataFrame, candidates: DataFrame, items: DataFrame, wi
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, similarity, start``: the best window of every document for every item it holds."""
     named = docs.select("doc_id", F.xxhash64(F.col(f"`{text}`")).alias("digest"), F.col(f"`{text}`").alias("text"))
-    items = written(benchmark_items(benchmark), "items")
+    items = written(benchmark_items(benchmark, threshold), "items")
     sizes = items.groupBy("width").agg(F.sum(F.size("item_hashes")).alias("n")).collect()  # at most SHINGLE_WORDS rows
     parts = []
     for width, n in sizes:
@@ -176,8 +187,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     """
     digest = F.unhex(F.sha2(F.col(f"`{text}`"), 256))
     found = contaminated(docs.select(digest.alias("doc_id"), F.col(f"`{text}`").alias("text")), benchmark)
-    hit = written(found.select(F.col("doc_id").alias("__hit")).distinct(), "hits")
-    return docs.join(F.broadcast(hit) if hit.count() <= BROADCAST_STARTS else hit, digest == F.col("__hit"), "left_anti")
+    name = free_name(docs.columns, "hit")
+    hit = written(found.select(F.col("doc_id").alias(name)).distinct(), "hits")
+    return docs.join(F.broadcast(hit) if hit.count() <= BROADCAST_STARTS else hit, digest == F.col(name), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,3 +260,28 @@ def test_decontamination_of_all_windows(spark):
     got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.contaminated(*made).collect()}
     assert {*got} == {*want} and len(want) > 60
     assert all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+def test_decontamination_of_uneven_counts(spark):
+    """Few different shingles, in other proportions than the item's: their fingerprints differ in many bits."""
+    rng = random.Random(6)
+    some = lambda counts: " ".join(w for w, n in counts for _ in range(n))
+    items, docs = [(0, some([("x", 26), ("y", 22)]))], [(0, some([("x", 22), ("y", 26)]))]
+    for k in range(1, 60):
+        letters = rng.sample("abcdefgh", rng.choice([2, 3]))
+        counts = [(w, rng.randrange(5, 40)) for w in letters]
+        items.append((k, some(counts)))
+        docs.append((k, some([(w, max(1, n + rng.randrange(-6, 7))) for w, n in counts])))
+    data = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"__hit": F.lit(1), "start": F.lit(2), "window": F.lit(3)})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = slow_windows(docs, items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontaminate.contaminated(data, bench).collect()}
+    assert abs(want[0, 0][0] - 40 / 48) < 1e-9 and len(want) > 30
+    assert {*got} == {*want} and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+    kept = decontaminate.decontaminated(data, bench)
+    assert kept.columns == data.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    con = duckdb.connect()
+    for name, rows, columns in (("documents", docs, "doc_id BIGINT"), ("benchmark", items, "item_id BIGINT")):
+        con.execute(f"CREATE TABLE {name} ({columns}, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert {(d, i): (v, s) for d, i, v, s in con.execute(decontaminate.OP5_SQL).fetchall()}.keys() == want.keys()
