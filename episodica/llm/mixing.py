@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from episodica.llm.shared import ROW_NAME, SPACE_CLASS, row_key, row_name, word_count, written
+from episodica.llm.shared import ROW_NAME, SPACE_CLASS, keyed_rows, row_name, word_count, written
 from episodica.sources.tables import table
 
 #: Fixed values of the contract: weights by order of source, share of all words, most epochs.
@@ -190,20 +190,22 @@ def mixed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     keeps its first words, and ``n_chars`` follows its text. Rows are matched by their id and a hash
     of all their columns; equal rows are stored once and served as often as there are.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("__row", row_key(docs))
-    served = mix(keyed, ("__row",), text).where("words_taken > 0")
+    keyed = keyed_rows(docs)
+    narrow = keyed.select("doc_id", "__row", F.col("__kept").getField("source").alias("source"), F.col("__kept").getField(text).alias("text"))
+    served = mix(narrow, ("__row",)).where("words_taken > 0")
     servings = served.groupBy("doc_id", "__row", "source_null", "source_key", "queue_bucket", "queue_row", "epoch").agg(
         F.sum("words_taken").alias("__n"), F.min("mix_start").alias("__place")
     )
     named = row_name(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row"))
     wanted = servings.select(*[c.alias(name) for name, c in named.items()], "__n", "__place")
     kept = keyed.withColumns(named).dropDuplicates([*ROW_NAME]).join(wanted, [*ROW_NAME])
-    n = F.col("__n")
-    out = kept.withColumn(text, F.when(n < word_count(F.col(text)), first_words(F.col(text), n)).otherwise(F.col(text)))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.repartitionByRange("__place").sortWithinPartitions("__place").select(*[F.col(f"`{c}`") for c in columns])
+    n, whole = F.col("__n"), F.col("__kept").getField(text)
+    given = {c: F.col("__kept").getField(c) for c in docs.columns}
+    out = kept.select("__place", "__kept", F.when(n < word_count(whole), first_words(whole, n)).otherwise(whole).alias("__cut"))
+    given[text] = F.col("__cut")
+    if "n_chars" in given:
+        given["n_chars"] = F.length("__cut").cast(docs.schema["n_chars"].dataType)
+    return out.repartitionByRange("__place").sortWithinPartitions("__place").select(*[v.alias(c) for c, v in given.items()])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm.components import component_roots
-from episodica.llm.shared import ROW_NAME, in_small_batches, row_key, row_name, row_place, rows_at, written, written_small
+from episodica.llm.shared import ROW_NAME, in_small_batches, keyed_rows, row_name, row_place, rows_at, written, written_small
 from episodica.llm.simhash import close_in_block, in_tiles, links, majority, shingle_hashes, word_bytes
 
 SHINGLE_WORDS = 5
@@ -133,7 +133,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar_links(keyed: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """``u, v``: edges that connect the names of similar texts.
 
-    ``keyed`` has the rows with their ``__row``; ``texts`` a row per name: ``node, place, fp, n, keys``.
+    ``keyed`` has the rows as ``keyed_rows``; ``texts`` a row per name: ``node, place, fp, n, keys``.
     """
     filed = texts.select("node", "fp", F.explode("keys").alias("key"))
     roots = written(component_roots(links(filed, RADIUS)), "candidates")
@@ -142,7 +142,7 @@ def similar_links(keyed: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("chunks"))
     named = row_name(F.col("place.no_id"), F.col("place.id"), F.col("place.row"))
     wanted = members.withColumns(named).drop("place", "n")
-    rows = keyed.select("doc_id", "__row", F.col(f"`{text}`").alias("text")).withColumns(row_name(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row")))
+    rows = keyed.select("doc_id", "__row", F.col("__kept").getField(text).alias("text")).withColumns(row_name(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__row")))
     texts_of = rows.join(wanted, [*ROW_NAME]).dropDuplicates([*ROW_NAME]).select("root", "node", "fp", "text")
     tiles = in_tiles(texts_of, ["root"], written_small(sizes, "component-sizes"))
     return in_small_batches(tiles).mapInArrow(_verified, "u binary, v binary")
@@ -150,8 +150,8 @@ def similar_links(keyed: DataFrame, texts: DataFrame, text: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row of ``docs`` for every component of near copies, that with the smallest id; all columns."""
-    keyed = docs.withColumn("__row", row_key(docs))
-    narrow = keyed.select("doc_id", "__row", F.col(f"`{text}`").alias("text"))
+    keyed = keyed_rows(docs)
+    narrow = keyed.select("doc_id", "__row", F.col("__kept").getField(text).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed = in_small_batches(narrow).mapInArrow(_signatures, f"doc_id {kind}, __row bigint, node binary, fp bigint, n bigint, keys array<bigint>")
     least = F.min(F.struct(row_place(F.col("__row")).alias("place"), "fp", "n", "keys")).alias("x")
@@ -161,4 +161,4 @@ def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = written(texts.select("node", "place").join(rooted, F.col("node") == F.col("u")).select("node", "place", "root"), "placed")
     best = written_small(placed.groupBy("root").agg(F.min("place").alias("least")), "best")
     lost = placed.join(best, "root").where("place > least").select("node")
-    return rows_at(keyed, texts.join(lost, "node", "left_anti").select("place")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows_at(keyed, texts.join(lost, "node", "left_anti").select("place")).select("__kept.*")

@@ -16,8 +16,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from episodica.llm.shared import in_small_batches
+from episodica.llm.shared import free_name, in_small_batches
 from episodica.sources.tables import table
 
 #: Fixed values of the contract.
@@ -113,11 +114,8 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     own = {*MEASURES, "failed"}
     keep = [c for c in docs.columns if c != text and c not in own]
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name != "__text"]
-        + [f"{m} bigint" for m in MEASURES]
-    )
+    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free_name(keep, "text")))
+    schema = StructType([*narrow.schema[:-1], *[StructField(m, LongType()) for m in MEASURES]])
     measured = in_small_batches(narrow).mapInArrow(_measure_batches, schema)
     return measured.withColumn("failed", failure_bits())
 

@@ -118,6 +118,11 @@ def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(*columns, *[c.isNull() for c in columns])
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, __row, __kept``: a hash of the whole row, and its columns in a struct, where their names clash with none."""
+    return docs.select("doc_id", row_key(docs).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__kept"))
+
+
 def row_place(row: Column) -> Column:
     """The order of rows by document id, nulls last, then by ``row``."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), row.alias("row"))

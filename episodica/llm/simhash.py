@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.llm.components import component_roots
-from episodica.llm.shared import in_small_batches, row_key, row_place, rows_at, written, written_small
+from episodica.llm.shared import in_small_batches, keyed_rows, row_place, rows_at, written, written_small
 from episodica.sources.tables import table
 
 #: Fixed values of the contract.
@@ -313,12 +313,12 @@ def deduplicated(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> D
     Ids need not be unique: rows are told apart by all their values, and rows without an id come
     after those with one.
     """
-    keyed = docs.withColumn("__row", row_key(docs))
-    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), F.col(f"`{text}`").alias("text")), radius=radius)
+    keyed = keyed_rows(docs)
+    found = near_duplicates(keyed.select(F.col("__row").alias("doc_id"), F.col("__kept").getField(text).alias("text")), radius=radius)
     of_row = found.select(F.col("doc_id").alias("__of"), "component_id").distinct()
     rows = keyed.select("doc_id", "__row").join(of_row, F.col("__row") == F.col("__of"))
     places = rows.groupBy("component_id").agg(F.min(row_place(F.col("__row"))).alias("place"))
-    return rows_at(keyed, places).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows_at(keyed, places).select("__kept.*")
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

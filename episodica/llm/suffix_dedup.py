@@ -382,9 +382,13 @@ def _spans_by_key(narrow: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``spans``, an array of ``(start, stop)`` byte spans that repeat earlier text, or null."""
-    keyed, keys = _keyed(docs.drop("spans"), text)
-    return keyed.join(_spans_by_key(keyed.select(*keys, "text"), keys), keys, "left").drop(*keys)
+    """``docs`` with ``spans``, an array of ``(start, stop)`` byte spans that repeat earlier text, or null.
+
+    A column of that name is replaced; all others stay as they are.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "spans"]).alias("__kept")
+    keyed, keys = _keyed(docs.select("doc_id", F.col(f"`{text}`").alias("text"), kept), "text")
+    return keyed.join(_spans_by_key(keyed.select(*keys, "text"), keys), keys, "left").select("__kept.*", "spans")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
