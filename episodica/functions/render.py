@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from episodica.functions.tensors import PAD, chw_to_hwc, gray_to_rgb, layout_of, mosaic_size, to_uint8
 from episodica.operators.episodes import episode_ordinals
+from episodica.operators.quantiles import exact_percentiles
 
 
 def channel_ranges(values: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``channel, lo, hi``: exact percentiles of every channel of ``values`` (``channel, value``)."""
-    value = F.col("value").cast("double")
-    return values.groupBy("channel").agg(F.percentile(value, F.lit(low)).alias("lo"), F.percentile(value, F.lit(high)).alias("hi"))
+    return exact_percentiles(values, ["channel"], F.col("value"), {"lo": low, "hi": high})
 
 
 def normalised(values: DataFrame) -> DataFrame:

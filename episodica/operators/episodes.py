@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Ranges of ids in which lengths are summed up, and positions per range of stored rows.
-ID_RANGES = 4096
+ID_RANGES = 1024
 POSITIONS = 4096
+#: Rank error of the ranges' bounds, as a share of all ids: a fraction of a range.
+ACCURACY = 16 * ID_RANGES
+#: Steps of an episode that one task windows, besides their neighbours'.
+STRETCH = 1 << 18
 _BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -40,10 +46,35 @@ def number_steps(rows: DataFrame, episode: str, order: list[str], stretch: Colum
 
 
 def with_range(ids: DataFrame) -> DataFrame:
-    """``ids`` with ``__range``: one of ``ID_RANGES`` equal parts of the span of ``episode_id``, dense or sparse."""
-    span = ids.agg(F.min("episode_id").cast("double").alias("__low"), F.max("episode_id").cast("double").alias("__high"))
-    share = (F.col("episode_id").cast("double") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1)
-    return ids.crossJoin(F.broadcast(span)).withColumn("__range", F.floor(share * ID_RANGES)).drop("__low", "__high")  # one row
+    """``ids`` with ``__range``: ranges in order of ``episode_id`` of about equally many ids, however they are spread.
+
+    Bounds are quantiles of a sketch that every task adds its ids to; at most ``ID_RANGES`` of them come to the driver,
+    so all that is made from the ranges sees the same ones. They are looked up in two steps.
+    """
+    shares = F.array(*[F.lit(k / ID_RANGES) for k in range(1, ID_RANGES)])
+    found = ids.agg(F.percentile_approx(F.col("episode_id").cast("bigint"), shares, ACCURACY).alias("bounds")).first().bounds
+    bounds = sorted(set(found or []))
+    side = max(1, math.isqrt(len(bounds)))
+    heads = bounds[::side]
+    literal = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs]).cast("array<bigint>")
+    groups = F.array(*[literal(bounds[k : k + side]) for k in range(0, len(bounds), side)]) if bounds else F.array(literal([]))
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("episode_id")))
+    head = F.greatest(F.lit(1), below(literal(heads)))
+    return ids.withColumn("__head", head).withColumn("__range", ((F.col("__head") - 1) * side + below(F.get(groups, F.col("__head") - 1))).cast("bigint")).drop("__head")
+
+
+def with_neighbours(steps: DataFrame, back: int, ahead: int, stretch: int = STRETCH) -> DataFrame:
+    """Rows of ``steps`` by stretches of their episode, and beside them the rows that windows of theirs reach.
+
+    ``__stretch`` names a stretch of ``stretch`` steps and ``__own`` tells its rows from those of its neighbours: the
+    steps from ``back`` before to ``ahead`` behind it. Inside an episode's stretch, rows follow one another without a
+    gap, its first or last row is the episode's where a window reaches beyond it, and no task needs a whole episode.
+    """
+    at = lambda k: F.floor((F.col("step") + k) / stretch)
+    last = F.floor((F.col("ep_len") - 1) / stretch)
+    reached = F.sequence(F.greatest(F.lit(0), at(-max(0, ahead))), F.least(last, at(max(0, back))))
+    dealt = steps.withColumn("__stretch", F.explode(reached))
+    return dealt.withColumn("__own", F.col("__stretch") == at(0))
 
 
 def index_of(lengths: DataFrame) -> DataFrame:
@@ -121,27 +152,29 @@ def flat_episode(rows: DataFrame, episode: str) -> DataFrame:
     return rows.withColumns({"episode_id": F.col(episode), "step": F.lit(0), "ep_len": F.lit(1)})
 
 
-def to_transitions(steps: DataFrame, observation: list[str], keep_text: bool = True, extras: list[str] | None = None) -> DataFrame:
+def to_transitions(
+    steps: DataFrame, observation: list[str], keep_text: bool = True, extras: list[str] | None = None, stretch: int = STRETCH
+) -> DataFrame:
     """Steps in the transition layout, with the next step's observation beside the own.
 
     The last step by position keeps its own observation as the next one, also where the next one
     would be null. ``is_last`` and ``is_terminal`` override the flags by position; reward is 0 and
     action ``[0]`` where a source has none. Of other columns only text is carried, and none of it
-    without ``keep_text``.
+    without ``keep_text``. Long episodes are windowed by stretches.
     """
     columns = set(steps.columns)
-    order = W.partitionBy("episode_id").orderBy("step")
+    order = W.partitionBy("episode_id", "__stretch").orderBy("step")
     at_end = F.col("step") == F.col("ep_len") - 1
     kept = [c for c in observation if keep_text or dict(steps.dtypes)[c] not in ("string", "array<string>")]
     done = F.coalesce("is_last", at_end) if "is_last" in columns else at_end
-    flags = steps.withColumns({"__obs": F.struct(*kept), "__done": done})
+    flags = with_neighbours(steps, 0, 1, stretch).withColumns({"__obs": F.struct(*kept), "__done": done})
     flags = flags.withColumn("__term", F.coalesce("is_terminal", "__done") if "is_terminal" in columns else F.col("__done"))
     reward = F.coalesce(F.col("reward").cast("float"), F.lit(0.0).cast("float")) if "reward" in columns else F.lit(0.0).cast("float")
     action = F.col("action") if "action" in columns else F.array(F.lit(0.0).cast("float"))
     after = F.when(at_end, F.col("__obs")).otherwise(F.lead("__obs").over(order))
     text = [f.name for f in steps.schema if f.dataType.simpleString() == "string"] if extras is None else extras
     own = {*observation, "episode_id", "step", "ep_len", "is_last", "is_terminal", "reward", "action"}
-    return flags.select(
+    return flags.withColumn("__after", after).where("__own").select(
         "episode_id",
         "step",
         "ep_len",
@@ -149,6 +182,6 @@ def to_transitions(steps: DataFrame, observation: list[str], keep_text: bool = T
         action.alias("action"),
         F.col("__done").alias("done"),
         F.col("__term").alias("terminated"),
-        F.struct(after.alias("observation"), reward.alias("reward"), F.col("__done").alias("done"), F.col("__term").alias("terminated")).alias("next"),
+        F.struct(F.col("__after").alias("observation"), reward.alias("reward"), F.col("__done").alias("done"), F.col("__term").alias("terminated")).alias("next"),
         *[F.col(c) for c in text if keep_text and c not in own],
     )

@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from episodica.operators.ranges import first_in_range
+
 #: Columns that may hold the episode and the task, in order of preference.
 EPISODE_COLUMNS = ("episode_index", "episode_id", "traj_id", "trajectory_id")
 TASK_COLUMNS = ("task_index", "task_id", "task")
@@ -129,9 +131,9 @@ def archives_of(paths: DataFrame) -> DataFrame:
 
 def find_archives(episodes: DataFrame, archives: DataFrame) -> DataFrame:
     """The first listed archive of the task whose range, ends included, holds the episode; null if none."""
-    inside = (F.col("e.task_id") == F.col("a.task_id")) & F.col("e.episode_id").between(F.col("a.first"), F.col("a.last"))
-    found = episodes.alias("e").join(archives.alias("a"), inside, "left")
-    return found.groupBy("e.task_id", "e.episode_id").agg(F.min_by("a.path", "a.position").alias("path"))
+    ranges = archives.select("task_id", F.col("first").alias("low"), (F.col("last") + 1).alias("high"), "position", F.col("path").alias("value"))
+    found = first_in_range(episodes.select("task_id", "episode_id").distinct(), ranges, ["task_id"], "episode_id")
+    return found.withColumnRenamed("found", "path")
 
 
 def require_archives(found: DataFrame) -> DataFrame:
@@ -144,13 +146,10 @@ def require_archives(found: DataFrame) -> DataFrame:
 
 def skill_at(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """``frames`` with the text of the first segment that holds them, its end excluded; '' if none."""
-    inside = (
-        (F.col("f.episode_id") == F.col("s.episode_id"))
-        & (F.col("f.step") >= F.coalesce("s.start_frame", F.lit(0)))
-        & (F.col("f.step") < F.coalesce("s.end_frame", F.lit(0)))
-    )
-    joined = frames.alias("f").join(segments.alias("s"), inside, "left")
-    return joined.groupBy("f.episode_id", "f.step").agg(F.coalesce(F.min_by("s.action_text", "s.position"), F.lit("")).alias("skill"))
+    start, end = (F.coalesce(c, F.lit(0)) for c in ("start_frame", "end_frame"))
+    ranges = segments.select("episode_id", start.alias("low"), end.alias("high"), "position", F.col("action_text").alias("value"))
+    found = first_in_range(frames.select("episode_id", "step").distinct(), ranges, ["episode_id"], "step")
+    return found.select("episode_id", "step", F.coalesce("found", F.lit("")).alias("skill"))
 
 
 def skill_in(step: Column, segments: Column) -> Column:

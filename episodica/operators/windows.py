@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from episodica.operators.episodes import STRETCH, with_neighbours
+
 #: A batch of at most so many gathered steps is broadcast to the steps; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
 
@@ -32,8 +34,8 @@ class TemporalWindow:
 
 
 def at_offset(value: Column, k: int) -> Column:
-    """The value ``k`` steps on, held at the ends of the episode; nulls are values like others."""
-    order = W.partitionBy("episode_id").orderBy("step")
+    """The value ``k`` steps on in rows of ``with_neighbours``, held at the ends of the episode; nulls are values like others."""
+    order = W.partitionBy("episode_id", "__stretch").orderBy("step")
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     if k == 0:
         return value
@@ -42,21 +44,31 @@ def at_offset(value: Column, k: int) -> Column:
     return F.when(F.col("step") + k >= F.col("ep_len"), F.last(value).over(whole)).otherwise(F.lead(value, k).over(order))
 
 
-def dense_windows(steps: DataFrame, leaves: dict[str, list[int]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """A window of every leaf around every step, as arrays: one exchange and one sort for all."""
-    arrays = {name: F.array(*[at_offset(F.col(name), k) for k in offsets]) for name, offsets in leaves.items()}
-    return steps.select("episode_id", "step", *keep, *[a.alias(name) for name, a in arrays.items()])
+def _arrays(steps: DataFrame, arrays: dict[str, tuple[str, list[int]]], stretch: int) -> DataFrame:
+    """Own rows with ``__window``, a struct of the arrays ``name: (leaf, offsets)``."""
+    reach = [k for _, offsets in arrays.values() for k in offsets] or [0]
+    dealt = with_neighbours(steps, max(0, -min(reach)), max(0, max(reach)), stretch)
+    made = [F.array(*[at_offset(F.col(leaf), k) for k in offsets]).alias(name) for name, (leaf, offsets) in arrays.items()]
+    return dealt.withColumn("__window", F.struct(*made)).where("__own")
+
+
+def dense_windows(steps: DataFrame, leaves: dict[str, list[int]], keep: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
+    """A window of every leaf around every step, as arrays: one exchange and one sort for all, long episodes by stretches."""
+    made = _arrays(steps, {name: (name, offsets) for name, offsets in leaves.items()}, stretch)
+    return made.select("episode_id", "step", *keep, *[F.col("__window").getField(name).alias(name) for name in leaves])
 
 
-def long_windows(steps: DataFrame, outputs: dict[str, tuple[str, list[int]]], keep: tuple[str, ...] = ()) -> DataFrame:
+def long_windows(
+    steps: DataFrame, outputs: dict[str, tuple[str, list[int]]], keep: tuple[str, ...] = (), stretch: int = STRETCH
+) -> DataFrame:
     """Windows of equal length in long form: ``episode_id, step, t`` and a column per output.
 
     ``outputs`` maps an output column to its leaf and offsets.
     """
-    shifted = {name: F.array(*[at_offset(F.col(leaf), k) for k in offsets]) for name, (leaf, offsets) in outputs.items()}
-    zipped = steps.select("episode_id", "step", *keep, F.arrays_zip(*[a.alias(n) for n, a in shifted.items()]).alias("z"))
+    made = _arrays(steps, outputs, stretch)
+    zipped = made.select("episode_id", "step", *keep, F.arrays_zip(*[F.col("__window").getField(n).alias(n) for n in outputs]).alias("z"))
     return zipped.select("episode_id", "step", *keep, F.posexplode("z").alias("t", "w")).select(
-        "episode_id", "step", *keep, "t", *[F.col(f"w.{k}").alias(n) for k, n in zip(_zip_names(zipped), shifted, strict=True)]
+        "episode_id", "step", *keep, "t", *[F.col(f"w.{k}").alias(n) for k, n in zip(_zip_names(zipped), outputs, strict=True)]
     )
 
 
