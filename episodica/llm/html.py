@@ -4,12 +4,15 @@ A page becomes a list of lines, one per block of text, each with the number of t
 A line's text-to-tag ratio is its length over those tags; menus (mostly link text) and boilerplate
 elements count as 0. Ratios are smoothed with a Gaussian, and a threshold at their standard
 deviation clusters lines into content and the rest. Content lines select the regions they lie in,
-an ``article`` or ``main`` element where there is one, else their enclosing block and what lies
-between the first and the last of them, and every line of a selected region that is not boilerplate
-is kept, however short; a paragraph may be one link. A class or id name counts as boilerplate only if
-all its words are words of boilerplate or of layout. Such names do not drop an article or main
-element, nor the one container that holds most of the page's text, unless they name a block of
-comments, advertisements or the like.
+an ``article`` or ``main`` element or a box named as an article where these hold the page's text, else
+their enclosing block and what lies between the first and the last of them, and every line of a
+selected region that is not boilerplate is kept, however short; a paragraph may be one link, and so
+may a list's item among prose. Regions with less than a third of the text outside of them are teasers
+and select nothing. A class or id name counts as boilerplate only if all its words are words of
+boilerplate or of layout. Such names do not drop an article or main element, nor the one container
+that holds most of the page's text, unless they name a block of comments, advertisements or the like,
+or, for the container, a notice. A menu, sidebar or footer that is never closed drops its links only,
+not the prose behind them.
 
 Every event costs the same, however many elements are open.
 
@@ -46,6 +49,7 @@ DROPPED = frozenset(
     " dialog menu search map datalist".split()
 )
 REGIONS = frozenset(("article", "main"))
+LEFT_OPEN = frozenset(("nav", "aside", "footer", "header", "menu", "form", "div", "section", "ul"))
 CONTAINERS = frozenset("article main section div td body html blockquote".split())
 BARRIERS = frozenset(("article", "main", "table"))
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd figcaption caption".split())
@@ -54,7 +58,7 @@ CLOSED_BY = {"p": BREAKING, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}
 #: Words of class and id names, and roles, that mark what is not the article.
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
-    " disclaimer disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
+    " disclaimer discussion discussions disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo"
     " promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 #: Words that only say where in a layout something is, or of what kind its box is.
@@ -67,13 +71,20 @@ LAYOUT_WORDS = frozenset(
 #: Of the words of boilerplate, those of blocks whose articles are not the page's, and class names that only say what a
 #: container has or lacks.
 FOREIGN_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising comment comments commentlist disqus footer nav navbar navigation promo promotion"
+    "ad ads adv advert adverts advertisement advertising comment comments commentlist discussion discussions disqus footer nav navbar navigation promo promotion"
     " related replies respond sidebar sponsor sponsored".split()
 )
+#: Of the words of boilerplate, those of notices, whose boxes stay out however much text they hold.
+NOTICE_WORDS = frozenset("alert alerts consent cookie cookies disclaimer gdpr login modal newsletter notice notices popup signup subscribe subscription".split())
+#: Words by which a box is an article; with a word of layout beside it or alone.
+ARTICLE_WORDS = frozenset("article entry post story".split())
 MODIFIER = re.compile(r"(has|no|with|without)[-_].*|.*[-_](open|opened|closed|enabled|disabled)")
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 
-FOREIGN = -1
+#: Regions with less than such a share of the text outside of them are not the article.
+TEASER = 1 / 3
+#: Characters from which a line of an unclosed menu is prose though it is no paragraph.
+PROSE = 80
 SIGMA = 1.0
 LINK_SHARE = 0.6
 
@@ -90,6 +101,11 @@ class Line:
     container: int
     paragraph: bool
 
+    @property
+    def linked(self) -> bool:
+        """Is most of it links?"""
+        return self.link_chars > LINK_SHARE * len(self.text)
+
 
 def class_words(value: str) -> set[str]:
     """Words of boilerplate in class and id names; modifiers and names that have words of their own give none."""
@@ -101,6 +117,18 @@ def class_words(value: str) -> set[str]:
     return found
 
 
+def names_article(attrs: list[tuple[str, str | None]]) -> bool:
+    """Is a box named as an article, such as ``post`` or ``article-body``?"""
+    names = [n for k, v in attrs if k in ("class", "id") for n in (v or "").lower().split()]
+    parts = [{w for w in re.split(r"[^a-z]+", n) if w} for n in names]
+    return any(ARTICLE_WORDS & words and words <= ARTICLE_WORDS | {"body", "content", "text", "main"} for words in parts)
+
+
+def names_notice(attrs: list[tuple[str, str | None]]) -> bool:
+    """Do its names say that a box is a notice?"""
+    return any(NOTICE_WORDS & class_words((v or "").lower()) for k, v in attrs if k in ("class", "id"))
+
+
 def is_foreign(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     """Is an element that is boilerplate so with any article in it? Not if only its name or a form says so."""
     if tag in DROPPED and tag != "form":
@@ -134,7 +162,10 @@ class LineParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, int, int]] = []  # tag, dropped (FOREIGN, or the element that is named so), region, container
+        #: Tag, number of the element that drops its text (negative if with any article in it), region, container.
+        self.open: list[tuple[str, int, int, int]] = []
+        self.notices: set[int] = set()
+        self.unclosed: set[int] = set()
         self.scopes: list[Counter] = [Counter()]  # open tags by name, since each barrier
         self.all_open: Counter = Counter()
         self.block = ""
@@ -186,13 +217,17 @@ class LineParser(HTMLParser):
                 self._pop()
         _, dropped, region, container = self._top()
         self.n_elements += 1
-        if tag in REGIONS and dropped != FOREIGN:  # the page's article, whatever its containers are named
+        if tag in REGIONS and dropped > 0:  # the page's article, whatever its containers are named
             dropped = 0
-        if dropped != FOREIGN and is_boilerplate(tag, attrs, region > 0):
-            dropped = FOREIGN if tag in REGIONS or is_foreign(tag, attrs) else dropped or self.n_elements
-        self._push(
-            (tag, dropped, self.n_elements if tag in REGIONS and not region else region, self.n_elements if tag in CONTAINERS else container)
-        )
+        if is_boilerplate(tag, attrs, region > 0):
+            if dropped < 0 or tag in REGIONS or is_foreign(tag, attrs):
+                dropped = -self.n_elements
+            elif not dropped:
+                dropped = self.n_elements
+                if names_notice(attrs):
+                    self.notices.add(dropped)
+        begins = tag in REGIONS or (tag in ("div", "section") and names_article(attrs))
+        self._push((tag, dropped, self.n_elements if begins and not region else region, self.n_elements if tag in CONTAINERS else container))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BREAKING or tag in DROPPED:
@@ -202,9 +237,24 @@ class LineParser(HTMLParser):
             self.block = ""
         # An end tag closes up to its element, but none beyond a barrier; the page's own ends may.
         if self.scopes[-1][tag] or (tag in ("body", "html") and self.all_open[tag]):
+            if tag in ("body", "html"):
+                self._leave_open()
             while self._pop() != tag:
                 pass
 
+    def _leave_open(self) -> None:
+        """Note the elements that the page's end closes."""
+        self.unclosed |= {dropped for tag, dropped, _, _ in self.open if dropped < 0 and tag in LEFT_OPEN}
+
+    def close(self) -> None:
+        """End the page."""
+        super().close()
+        self.flush()
+        self._leave_open()
+        for x in self.lines:
+            if x.dropped in self.unclosed and not x.linked and (x.paragraph or len(x.text) >= PROSE):
+                x.dropped = 0
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
@@ -225,29 +275,47 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
-def content_lines(lines: list[Line]) -> list[Line]:
-    """The lines of the selected regions."""
-    size = lambda dropped: sum(len(x.text) - x.link_chars for x in lines if x.dropped == dropped)
-    named, region = {x.dropped for x in lines} - {0, FOREIGN}, any(x.region and not x.dropped for x in lines)
-    total = size(0) + sum(map(size, named))
-    most = set() if region else {n for n in named if 2 * size(n) > total}  # its text overrules its name
-    good = [x.dropped in {0} | most for x in lines]
-    ratios = np.array([len(x.text) / x.tags if ok and (x.paragraph or x.link_chars <= LINK_SHARE * len(x.text)) else 0.0 for x, ok in zip(lines, good, strict=True)])
+def content_lines(lines: list[Line], notices: set[int] = frozenset()) -> list[Line]:
+    """The lines of the selected regions; ``notices`` are elements that stay out whatever they hold."""
+    sizes: Counter = Counter()
+    for x in lines:
+        sizes[max(0, x.dropped) if x.dropped >= 0 else -1] += len(x.text) - x.link_chars
+    named = {x.dropped for x in lines if x.dropped > 0} - notices
+    in_regions = sum(len(x.text) - x.link_chars for x in lines if x.region and not x.dropped)
+    total = sizes[0] + sum(sizes[n] for n in named)
+    most = {n for n in named if 2 * sizes[n] > total} if in_regions < TEASER * (total - in_regions) else set()  # its text overrules its name
+    good = [x.dropped == 0 or x.dropped in most for x in lines]
     if not any(good):
         return []
+    ratios = np.array([len(x.text) / x.tags if ok and (x.paragraph or not x.linked) else 0.0 for x, ok in zip(lines, good, strict=True)])
     smooth = smoothed(ratios)
     threshold = min(smooth.std(), smooth.max())
     content = [ok and s >= threshold and r > 0 for ok, s, r in zip(good, smooth, ratios, strict=True)]
-    if regions := {x.region for x, ok in zip(lines, good, strict=True) if ok and x.region}:
-        chosen = {x.region for x, hit in zip(lines, content, strict=True) if hit and x.region}
-        if not chosen:
-            chosen = {max(regions, key=lambda n: sum(len(x.text) for x, ok in zip(lines, good, strict=True) if ok and x.region == n))}
+    prose: Counter = Counter()
+    for x, ok in zip(lines, good, strict=True):
+        if ok:
+            prose[x.region] += len(x.text) - x.link_chars * (not x.paragraph)
+    outside = prose.pop(0, 0)
+    hits = [n for n, (x, hit) in enumerate(zip(lines, content, strict=True)) if hit and not x.region]
+    if prose and (prose.total() >= TEASER * outside or not hits):
+        chosen = {x.region for x, hit in zip(lines, content, strict=True) if hit and x.region} or {max(prose, key=prose.__getitem__)}
         return [x for x, ok in zip(lines, good, strict=True) if ok and x.region in chosen]
-    chosen = {x.container for x, hit in zip(lines, content, strict=True) if hit}
-    hits = [n for n, hit in enumerate(content) if hit]
-    menu = [x.link_chars > LINK_SHARE * len(x.text) and not x.paragraph for x in lines]
-    inside = lambda n, x: x.container in chosen or (bool(hits) and hits[0] < n < hits[-1])
-    return [x for n, (x, ok, link) in enumerate(zip(lines, good, menu, strict=True)) if ok and not link and inside(n, x)]
+    chosen = {lines[n].container for n in hits}
+    own: Counter = Counter()  # prose less links of each container
+    for x, ok in zip(lines, good, strict=True):
+        if ok:
+            own[x.container] += len(x.text) - 2 * x.link_chars * (not x.paragraph)
+    listed = {c for c in chosen if own[c] > 0}
+
+    def kept(n: int, x: Line) -> bool:
+        among = bool(hits) and hits[0] < n < hits[-1]
+        if x.linked and not x.paragraph:
+            return x.container in listed and among
+        if x.region:
+            return among
+        return x.container in chosen or among
+
+    return [x for n, (x, ok) in enumerate(zip(lines, good, strict=True)) if ok and kept(n, x)]
 
 
 def extract(html: str | None) -> str:
@@ -257,8 +325,7 @@ def extract(html: str | None) -> str:
     parser = LineParser()
     parser.feed(html)
     parser.close()
-    parser.flush()
-    return "\n\n".join(x.text for x in content_lines(parser.lines))
+    return "\n\n".join(x.text for x in content_lines(parser.lines, parser.notices))
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

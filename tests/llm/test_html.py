@@ -79,3 +79,60 @@ def test_pages_of_random_templates():
         wrap = rng.choice(["%s", "<div class='site no-sidebar'>%s</div>", "<form>%s</form>", "<div id=page><div class=wrapper>%s</div></div>"])
         page = f"<html><body>{wrap % f'{before}<{tag}>{body}</{tag}>{after}'}<script>var a='<p>no</p>'</script></body></html>"
         assert html.extract(page) == "\n\n".join(blocks)
+
+
+PROSE = [f"Sentence number {k} of the article says something of its own, and then a bit more of it." for k in range(20)]
+BODY = "".join(f"<p>{p}</p>" for p in PROSE)
+ALL = "\n\n".join(PROSE)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<article>short teaser</article><div>{BODY}</div>", ALL),
+        (f"<div>{BODY}</div><article><h2>Read next</h2></article><article>Or this</article>", ALL),
+        (f"<nav><a href=a>Home</a> <a href=b>News</a>{BODY}", ALL),
+        (f"<html><body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul><div>{BODY}</div><footer>The end</footer></body></html>", ALL),
+        (f"<div class='article-body'><article>{BODY}</article><p>After it all.</p></div>", f"{ALL}\n\nAfter it all."),
+        (f"<div class='post'><p>{PROSE[0]}</p></div><div class=posts-nav><a href=x>Older</a></div>", PROSE[0]),
+        (f"<div><p>{PROSE[0]}</p><ul><li><a href=x>One linked item</a></li><li>Two</li></ul><p>{PROSE[1]}</p></div>", f"{PROSE[0]}\n\nOne linked item\n\nTwo\n\n{PROSE[1]}"),
+        (f"<div class='cookie-consent-bar'>{BODY}</div><div><p>{PROSE[0]}</p><p>{PROSE[1]}</p></div>", f"{PROSE[0]}\n\n{PROSE[1]}"),
+        (f"<article><p>{PROSE[0]}</p></article><section class='user-discussion'>{BODY}</section>", PROSE[0]),
+        (f"<article><p>{PROSE[0]}</p></article><article><p>{PROSE[1]}</p></article>", f"{PROSE[0]}\n\n{PROSE[1]}"),
+        (f"<aside><p>{PROSE[3]}</p></aside><nav><a href=a>Home</a></nav><div>{BODY}</div>", ALL),
+    ],
+)
+def test_misleading_pages(page, want):
+    """Teasers, several articles, menus left open, text behind an article, linked items, long notices and comments."""
+    assert html.extract(page) == want
+
+
+def test_named_boxes_cost_alike():
+    """Twice the notices take some twice the time."""
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html.extract("<article><p>Text of it.</p></article>" + "<div class=notice>Note this.</div>" * n)
+        return time.process_time() - began
+
+    seconds(500)
+    short, long = min(seconds(2000) for _ in range(3)), seconds(16_000)
+    assert long < 16 * short + 0.2
+
+
+def test_templates_without_articles():
+    """Prose in plain boxes among menus, teasers and notices comes out whole and alone."""
+    import random
+
+    rng = random.Random(9)
+    for _ in range(150):
+        blocks = rng.sample(PROSE, rng.randrange(4, 12))
+        for k in rng.sample(range(1, len(blocks) - 1), 1):
+            blocks.insert(k, "Short one.")
+        body = "".join(f"<p>{b}</p>" for b in blocks)
+        links = "".join(f"<li><a href=x>Place {k}</a></li>" for k in range(rng.randrange(2, 9)))
+        before = rng.choice([f"<nav><ul>{links}</ul></nav>", f"<header><ul>{links}</ul></header>", f"<div class=menu><ul>{links}</ul></div>", "<article>Teaser</article>"])
+        after = rng.choice([f"<aside>{BODY}</aside>", f"<div class='comments'>{BODY}</div>", f"<footer>{PROSE[0]}</footer>", f"<div id=cookie-notice>{BODY}</div>"])
+        page = f"<html><body>{before}{rng.choice(['<div>%s</div>', '<div id=content><div>%s</div></div>', '<section>%s</section>']) % body}{after}</body></html>"
+        assert html.extract(page) == "\n\n".join(blocks)
