@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.functions.tensors import channels_first
@@ -17,6 +17,7 @@ from episodica.operators.sampling import draw_batches, draw_from, pick_episode
 from episodica.operators.selection import filter_tasks, kept_episode_map, select_episodes
 from episodica.operators.tubelets import TubeletGrid, tubelets
 from episodica.operators.windows import TemporalWindow, batch_windows, default_window
+from episodica.sources.records import nested_episodes, numbered_records
 from episodica.sources.store import EpisodeStore
 from episodica.sources.tabular import tabular_steps
 from episodica.sources.tasks import DEFAULT_FPS
@@ -52,6 +53,11 @@ class TrajectoryDataset:
         """From nested episodes ``(episode_id, steps array<struct>)``."""
         return cls(to_transitions(explode_episodes(episodes), observation, keep_text), **options)
 
+    @classmethod
+    def from_records(cls, spark: SparkSession, path: str, schema: str, observation: list[str], **options) -> TrajectoryDataset:
+        """From shards of records whose payloads are nested episodes as JSON; an episode's id is its place in all shards."""
+        return cls.from_nested(nested_episodes(numbered_records(spark, path), schema), observation, **options)
+
     @classmethod
     def from_tabular(cls, rows: DataFrame, tasks: list | None = None, episodes: list[int] | None = None, **options) -> TrajectoryDataset:
         """From one row per frame; of the given tasks, and of the given episodes within them."""
