@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.operators.selection import align_cameras, archives_of, find_archives, global_episode_map, require_archives
-from episodica.sources.tasks import DEFAULT_CAMERAS, decode_frames
+from episodica.sources.archives import aligned_frames, camera_members, member_frames, members
+from episodica.sources.tasks import DEFAULT_CAMERAS
 
 
 def needed_archives(tasks: DataFrame, listing: DataFrame) -> DataFrame:
@@ -27,8 +28,11 @@ def video_steps(tasks: DataFrame, cameras: dict[str, DataFrame], known: DataFram
     frames = align_cameras(cameras)
     lengths = frames.groupBy("episode_id").agg(F.count("*").cast("int").alias("ep_len"))
     observed = frames.withColumnsRenamed({f"value_{c}": c for c in cameras}).join(lengths, "episode_id")
-    steps = numbered.join(observed, "episode_id")
-    return steps.select(
+    return _as_steps(numbered.join(observed, "episode_id"), tuple(cameras))
+
+
+def _as_steps(observed: DataFrame, cameras: tuple[str, ...]) -> DataFrame:
+    return observed.select(
         F.col("global_id").alias("episode_id"),
         "step",
         "ep_len",
@@ -40,8 +44,15 @@ def video_steps(tasks: DataFrame, cameras: dict[str, DataFrame], known: DataFram
 
 
 def read_videos(tasks: DataFrame, listing: DataFrame, root: str, decode: Callable[[bytes], list[bytes]], cameras: tuple[str, ...] = DEFAULT_CAMERAS) -> DataFrame:
-    """Steps of the tasks' episodes from archives under ``root``; only their archives are read."""
-    paths = [f"{root.rstrip('/')}/{r.path}" for r in needed_archives(tasks, listing).toLocalIterator()]  # file names, as in any listing
-    archives = tasks.sparkSession.read.format("binaryFile").load(paths)
-    frames = decode_frames(archives.select("path", "content"), decode, cameras, strict=True)
-    return video_steps(tasks, {c: frames.where(F.col("camera") == c) for c in cameras})
+    """Steps of the tasks' episodes from archives under ``root``.
+
+    Only archives that hold an episode are opened, only the episodes' videos read, and each is decoded once.
+    """
+    found = require_archives(find_archives(tasks.select("task_id", "episode_id").distinct(), archives_of(listing)))
+    located = found.select("task_id", "episode_id", F.concat(F.lit(f"{root.rstrip('/')}/"), "path").alias("path"))
+    index = camera_members(members(located), cameras).join(located, ["path", "episode_id"], "left_semi")
+    frames = member_frames(index, decode, strict=True)
+    named = camera_members(frames, cameras).join(located, ["path", "episode_id"])
+    observed = aligned_frames(named, ["task_id", "episode_id"], cameras)
+    numbered = global_episode_map(tasks).join(tasks.select("task_id", "episode_id", "task_name"), ["task_id", "episode_id"])
+    return _as_steps(numbered.join(observed, ["task_id", "episode_id"]), cameras)
