@@ -6,7 +6,9 @@ and tasks read the ranges they name. So an archive may be of any size, and its m
 
 from __future__ import annotations
 
+import io
 import tarfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -91,3 +93,42 @@ def aligned_frames(frames: DataFrame, keys: list[str], cameras: tuple[str, ...])
     of = lambda c: F.max(F.when(F.col("camera") == c, F.col("value"))).alias(c)
     met = frames.groupBy(*keys, "step").agg(F.count_distinct("camera").alias("n_cameras"), F.min("n_frames").alias("ep_len"), *[of(c) for c in cameras])
     return met.where((F.col("n_cameras") == len(cameras)) & (F.col("step") < F.col("ep_len"))).drop("n_cameras")
+
+
+def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    path = archive = sink = None
+    n = 0
+
+    def close() -> pa.RecordBatch:
+        archive.close()
+        sink.close()
+        store.move(draft, at)
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "members"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["path"] != path:
+                if path is not None:
+                    yield close()
+                path, n = row["path"], 0
+                store, at = fs.FileSystem.from_uri(path)
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                draft = f"{at}.{uuid.uuid4().hex}.tmp"
+                sink = store.open_output_stream(draft)
+                archive = tarfile.open(fileobj=sink, mode="w|")
+            info = tarfile.TarInfo(row["member"])
+            info.size = len(row["content"])
+            archive.addfile(info, io.BytesIO(row["content"]))
+            n += 1
+    if path is not None:
+        yield close()
+
+
+def write_archives(files: DataFrame) -> DataFrame:
+    """Archives of the rows ``path, member, content``; ``path, members`` of what was written once it is asked for.
+
+    An archive is one file and so one task's stream, in order of its members; it gets its name when it is whole, and a
+    repeated attempt puts the same in its place.
+    """
+    dealt = files.select("path", "member", "content").repartition("path").sortWithinPartitions("path", "member")
+    return dealt.mapInArrow(_write, "path string, members bigint")
