@@ -9,12 +9,14 @@ from episodica.operators.episodes import episode_index, number_steps, to_transit
 from episodica.operators.quantiles import exact_percentiles
 from episodica.operators.selection import skill_at
 from episodica.operators.windows import dense_windows
-from episodica.plans.steps import EVENTS_SQL, event_steps
+from episodica.plans.steps import EVENTS_SQL, TURNS_SQL, event_steps, turn_steps
 from episodica.plans.store_queries import fresh
 from episodica.sources.archives import write_archives
 from episodica.sources.records import nested_episodes, numbered_records, write_records
+from episodica.sources.store import EpisodeStore
 from episodica.sources.tables import table
 from episodica.sources.video import read_videos
+from episodica.streaming.transitions import ingest_transitions
 
 STRETCH, FAR = 1024, 9 * 10**18
 OFFSETS = [-3, 0, 2]
@@ -86,9 +88,24 @@ def exact_event_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_type", *[F.round(c, 9).alias(c) for c in ("p1", "p50", "p99")])
 
 
-QUERIES = {f.__name__: f for f in (record_shard_steps, archive_video_steps, long_episode_windows, long_episode_transitions, skewed_episode_index, skill_segments_of_one_episode, exact_event_percentiles)}
+def stream_unnumbered_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' turns stream in without step numbers, stop, and go on: transitions across micro-batches."""
+    turns = turn_steps(spark, sf_dir).withColumn("is_last", F.col("step") == F.col("ep_len") - 1).select("episode_id", "turn", "role", "is_last", "step")
+    source, state = fresh(spark, "stream-in"), fresh(spark, "stream-state")
+    store = EpisodeStore(spark, fresh(spark, "stream-store"))
+    schema = turns.drop("step").schema
+    for part in (F.col("step") < 3, F.col("step") >= 3):  # the second one's query goes on from the first one's state
+        turns.where(part).drop("step").repartition(2, "episode_id").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(source)
+        ingest_transitions(stream, store, state, ["turn"], ["turn", "role"]).awaitTermination()
+    return store.read().select("episode_id", "step", "observation.role", F.col("next.observation.role").alias("next_role"), F.col("next.observation.turn").alias("next_turn"), "done")
+
+
+QUERIES = {f.__name__: f for f in (record_shard_steps, archive_video_steps, long_episode_windows, long_episode_transitions, skewed_episode_index, skill_segments_of_one_episode, exact_event_percentiles, stream_unnumbered_transitions)}
 _ALL = "al AS (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1)::INT AS step, count(*) OVER () AS n FROM events)"
 ORACLE_SQL = {
+    "stream_unnumbered_transitions": f"""WITH {TURNS_SQL} SELECT a.episode_id, a.step, a.role, b.role AS next_role, b.turn AS next_turn, a.step = a.ep_len - 1 AS done
+FROM tn a JOIN tn b ON a.episode_id = b.episode_id AND b.step = least(a.ep_len - 1, a.step + 1)""",
     "record_shard_steps": f"WITH {EVENTS_SQL} SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS place, user_id, step, event_id, value FROM ev",
     "archive_video_steps": """WITH o AS (
   SELECT o_custkey, o_orderpriority[1:1] <= '3' AS is_head, o_orderkey,
