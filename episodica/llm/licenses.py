@@ -4,7 +4,9 @@ A text is cut into sentences; a sentence that runs over lines is also tried line
 is normalised (lower case, everything but letters and digits to one space) and looked up in a fixed
 table of licence sentences; what is found, in order, is the document's identifier sequence. Ordered
 rules, the longest first, then claim runs of identifiers, so that a full licence header is reported
-once and not again by its parts. An SPDX expression gives the licences of all its operands.
+once and not again by its parts. An SPDX expression gives the licences of all its operands, and so
+does a notice of several licences, if all of their names are known; a field such as ``License: MIT``
+at the start of a line is a notice, and an exception to a licence leaves the licence.
 
 Only DataFrame functions are used, all within a row: nothing is shuffled. Null and empty texts have
 no licences, repeated rows are scanned each, an empty table gives an empty result, and other columns
@@ -112,7 +114,12 @@ _NAMES = {
     "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mpl 2 0", "mpl version 2 0"),
     "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v2 0", "epl 2 0"),
     "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0"),
-    "Zlib": ("zlib license",),
+    "Zlib": ("zlib license", "zlib"),
+    "0BSD": ("0bsd license", "0bsd", "zero clause bsd license", "bsd zero clause license"),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0", "artistic 2 0"),
+    "PostgreSQL": ("postgresql license", "postgresql licence"),
+    "WTFPL": ("wtfpl", "wtfpl license", "do what the fuck you want to public license"),
+    "X11": ("x11 license",),
     "Unlicense": ("unlicense",),
     "CC0-1.0": ("cc0 1 0", "cc0 1 0 universal", "creative commons zero v1 0 universal"),
     **{
@@ -145,8 +152,14 @@ def _names() -> dict[str, str]:
 #: What may come before the name in a notice; ``NOTICE`` stands for it and is in no normalised text.
 NOTICE_START = (
     "^(?:(?:this|the) (?:work|project|software|program|file|code|source code|library|package|document|text|module) is |it is )?"
-    "(?:licensed|released|distributed|published|provided|made available|available) under (?:an? |the )?(?:terms of (?:an? |the )?)?"
+    "(?:(?:dual |dually )?licensed|released|distributed|published|provided|made available|available) under (?:an? |the )?(?:terms of (?:an? |the )?)?"
 )
+#: Around the names of a notice of several licences, between them, and behind a name.
+NOTICE_AROUND = "^> (?:either of |both |either |both of |your choice of )?(?:the )?| at your (?:option|choice)$"
+NOTICE_BETWEEN = " (?:or|and|and or)(?: the)? (?!later|any later|at your option)"
+NOTICE_EXCEPTION = " with (?:the )?[a-z0-9 ]+ exception(?: [0-9 ]+)?$"
+#: A field at the start of a line, behind comment marks.
+FIELD = r"(?im)^([\x20\t/*#;%|'-]*)licen[sc]e[\x20\t]*:[\x20\t]*(?=[a-z0-9])"
 NOTICE = "> "
 
 #: The operators of an SPDX expression, and what an exception adds to a licence.
@@ -216,6 +229,17 @@ def looked_up(piece: Column) -> Column:
     return F.when(own | ~F.contains(plain, F.lit(" under ")), plain).otherwise(F.regexp_replace(plain, NOTICE_START, NOTICE))
 
 
+def named_in(notice: Column) -> Column:
+    """The parts of a normalised notice of several licences or with an exception, each as a notice of its own."""
+    bare = F.regexp_replace(F.regexp_replace(notice, NOTICE_EXCEPTION, ""), NOTICE_AROUND, "")
+    return F.transform(F.split(bare, NOTICE_BETWEEN), lambda x: F.concat(F.lit(NOTICE), F.regexp_replace(x, NOTICE_EXCEPTION, "")))
+
+
+def fields_as_notices(text: Column) -> Column:
+    """``text`` with ``License: X`` at the start of a line said as a notice."""
+    return F.when(F.contains(F.lower(text), F.lit("licen")), F.regexp_replace(text, FIELD, "$1Licensed under ")).otherwise(text)
+
+
 def tags_apart(text: Column) -> Column:
     """``text`` with every operand of an SPDX expression under a tag of its own, without exceptions."""
     plain = F.regexp_replace(text, SPDX_EXCEPTION, "")
@@ -226,10 +250,11 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the licence sentences of a text, in order."""
     known = list(SCAN_SENTENCES)
     by_sentence = F.create_map(*[F.lit(x) for pair in SCAN_SENTENCES.items() for x in pair])
-    whole = F.transform(F.split(tags_apart(F.coalesce(text, F.lit(""))), SCAN_END), lambda s: F.struct(looked_up(s).alias("n"), s.alias("raw")))
+    whole = F.transform(F.split(tags_apart(fields_as_notices(F.coalesce(text, F.lit("")))), SCAN_END), lambda s: F.struct(looked_up(s).alias("n"), s.alias("raw")))
     pieces = F.transform(
         whole,
         lambda s: F.when(s["n"].isin(known), F.array(s["n"]))
+        .when(F.startswith(s["n"], F.lit(NOTICE)) & F.forall(named_in(s["n"]), lambda x: x.isin(known)), named_in(s["n"]))
         .when(F.contains(s["raw"], F.lit("\n")), F.filter(F.transform(F.split(s["raw"], "\n"), looked_up), lambda x: x.isin(known)))
         .otherwise(F.array().cast("array<string>")),
     )

@@ -84,3 +84,28 @@ def test_notices_of_other_licences(spark):
     docs = spark.createDataFrame(rows, "text string, want string")
     for want, found in licenses.scan(docs).select("want", F.array_join("licences", ",")).collect():
         assert found == want
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("Dual licensed under MIT and GPL v2.", ["GPL-2.0-only", "MIT"]),
+        ("Licensed under the MIT License and the Apache License 2.0.", ["Apache-2.0", "MIT"]),
+        ("License: MIT", ["MIT"]),
+        ("# License: Apache-2.0\nimport x", ["Apache-2.0"]),
+        (" * Licence: GPL-3.0-or-later\n */", ["GPL-3.0-or-later"]),
+        ("Licensed under the Artistic License 2.0.", ["Artistic-2.0"]),
+        ("Released under the WTFPL", ["WTFPL"]),
+        ("This software is released under the PostgreSQL License.", ["PostgreSQL"]),
+        ("Licensed under GPL-2.0-or-later WITH Classpath-exception-2.0", ["GPL-2.0-or-later"]),
+        ("Licensed under the GNU General Public License, version 2 or any later version.", ["GPL-2.0-or-later"]),
+        ("Licensed under the MIT License and a house rule.", []),
+        ("Driving license: valid", []),
+        ("He has a license: MIT students need none.", []),
+        ("License: none", []),
+    ],
+)
+def test_notices_of_several_licences_and_fields(spark, text, want):
+    found = licenses.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert found.licences == want
