@@ -38,6 +38,11 @@ def store_path(name: str, version: str, root: str | None = None) -> str:
     return "/".join(p for p in (cache_root(root).rstrip("/"), name.strip("/"), version.strip("/")) if p)
 
 
+def open_store(spark: SparkSession, name: str, version: str, root: str | None = None) -> EpisodeStore:
+    """The store of a dataset's version, under the cache's root or another."""
+    return EpisodeStore(spark, store_path(name, version, root))
+
+
 @dataclass(frozen=True)
 class TrajectoryDataset:
     """Steps of episodes with a sampler; immutable, every change gives a new handle."""
@@ -49,12 +54,12 @@ class TrajectoryDataset:
     store: EpisodeStore | None = None
 
     @classmethod
-    def from_nested(cls, episodes: DataFrame, observation: list[str], keep_text: bool = True, **options) -> TrajectoryDataset:
+    def from_nested(cls, episodes: DataFrame, observation: list[str] | str = "observation", keep_text: bool = True, **options) -> TrajectoryDataset:
         """From nested episodes ``(episode_id, steps array<struct>)``."""
         return cls(to_transitions(explode_episodes(episodes), observation, keep_text), **options)
 
     @classmethod
-    def from_records(cls, spark: SparkSession, path: str, schema: str, observation: list[str], **options) -> TrajectoryDataset:
+    def from_records(cls, spark: SparkSession, path: str, schema: str, observation: list[str] | str = "observation", **options) -> TrajectoryDataset:
         """From shards of records whose payloads are nested episodes as JSON; an episode's id is its place in all shards."""
         return cls.from_nested(nested_episodes(numbered_records(spark, path), schema), observation, **options)
 
@@ -77,8 +82,13 @@ class TrajectoryDataset:
         return cls(to_transitions(video_steps(wanted, cameras, known), list(cameras)), **{"control_frequency": DEFAULT_FPS} | options)
 
     @classmethod
-    def from_store(cls, store: EpisodeStore, episodes: DataFrame | None = None, **options) -> TrajectoryDataset:
-        """From a store as it is now, whose manifest is the episode index; samples open only files that hold their draws."""
+    def from_store(cls, store: EpisodeStore, episodes: DataFrame | None = None, split: str | None = None, **options) -> TrajectoryDataset:
+        """From a store as it is now, whose manifest is the episode index; samples open only files that hold their draws.
+
+        Of all episodes, of those given, or of those of a split that the store keeps.
+        """
+        if split is not None:
+            episodes = store.split(split) if episodes is None else select_episodes(store.split(split), episodes)
         fixed = store.at(store.snapshot().version) if store.version is None and store.versions() else store
         return cls(fixed.read(episodes).drop("flat_index"), given_index=fixed.index(episodes), store=fixed, **options)
 
@@ -110,9 +120,10 @@ class TrajectoryDataset:
         return self._sizes[1]
 
     def info(self) -> dict:
-        """Episodes, steps, frequency, and kind, type and shape of every leaf."""
+        """Episodes, steps, frequency, and kind, type and shape of every leaf; of a store, its description and splits too."""
         leaves = {m.path: {"kind": m.kind, "dtype": m.dtype, "shape": list(m.shape)} for m in self.get_modalities()}
-        return {"episodes": self.num_episodes(), "steps": self.num_steps(), "control_frequency": self.control_frequency, "leaves": leaves}
+        told = {} if self.store is None else {k: v for k, v in self.store.info().items() if k != "members"}
+        return {"episodes": self.num_episodes(), "steps": self.num_steps(), "control_frequency": self.control_frequency, "leaves": leaves, **told}
 
     def splits(self, shares: dict[str, float], seed: int | str = 0) -> dict[str, TrajectoryDataset]:
         """Datasets of disjoint episodes, each episode dealt to a split by a hash of its id."""

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Ranges of ids in which lengths are summed up, and positions per range of stored rows.
 ID_RANGES = 1024
@@ -153,10 +154,13 @@ def flat_episode(rows: DataFrame, episode: str) -> DataFrame:
 
 
 def to_transitions(
-    steps: DataFrame, observation: list[str], keep_text: bool = True, extras: list[str] | None = None, stretch: int = STRETCH
+    steps: DataFrame, observation: list[str] | str, keep_text: bool = True, extras: list[str] | None = None, stretch: int = STRETCH
 ) -> DataFrame:
     """Steps in the transition layout, with the next step's observation beside the own.
 
+    ``observation`` names the columns that an observation has, or the one column that is it: a struct gives its fields,
+    anything else becomes the field ``obs``.
+
     The last step by position keeps its own observation as the next one, also where the next one
     would be null. ``is_last`` and ``is_terminal`` override the flags by position; reward is 0 and
     action ``[0]`` where a source has none. Of other columns only text is carried, and none of it
@@ -165,7 +169,13 @@ def to_transitions(
     columns = set(steps.columns)
     order = W.partitionBy("episode_id", "__stretch").orderBy("step")
     at_end = F.col("step") == F.col("ep_len") - 1
-    kept = [c for c in observation if keep_text or dict(steps.dtypes)[c] not in ("string", "array<string>")]
+    if isinstance(observation, str):
+        whole = steps.schema[observation].dataType
+        parts = {f.name: (F.col(f"`{observation}`").getField(f.name), f) for f in whole} if isinstance(whole, StructType) else {"obs": (F.col(f"`{observation}`"), steps.schema[observation])}
+        observation = [observation]
+    else:
+        parts = {c: (F.col(c), steps.schema[c]) for c in observation}
+    kept = [v.alias(c) for c, (v, f) in parts.items() if keep_text or f.dataType.simpleString() not in ("string", "array<string>")]
     done = F.coalesce("is_last", at_end) if "is_last" in columns else at_end
     flags = with_neighbours(steps, 0, 1, stretch).withColumns({"__obs": F.struct(*kept), "__done": done})
     flags = flags.withColumn("__term", F.coalesce("is_terminal", "__done") if "is_terminal" in columns else F.col("__done"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from episodica.dataset import TrajectoryDataset, open_store
 from episodica.operators.episodes import episode_index, number_steps, to_transitions
 from episodica.operators.quantiles import exact_percentiles
-from episodica.operators.selection import skill_at
+from episodica.operators.selection import kept_episode_map, skill_at
 from episodica.operators.windows import dense_windows
-from episodica.plans.steps import EVENTS_SQL, TURNS_SQL, event_steps, turn_steps
+from episodica.plans.steps import EVENTS_SQL, LINES_SQL, TURNS_SQL, event_steps, line_steps, turn_steps
 from episodica.plans.store_queries import fresh
 from episodica.sources.archives import write_archives
 from episodica.sources.records import nested_episodes, numbered_records, write_records
@@ -101,9 +104,44 @@ def stream_unnumbered_transitions(spark: SparkSession, sf_dir: str) -> DataFrame
     return store.read().select("episode_id", "step", "observation.role", F.col("next.observation.role").alias("next_role"), F.col("next.observation.turn").alias("next_turn"), "done")
 
 
-QUERIES = {f.__name__: f for f in (record_shard_steps, archive_video_steps, long_episode_windows, long_episode_transitions, skewed_episode_index, skill_segments_of_one_episode, exact_event_percentiles, stream_unnumbered_transitions)}
+def stored_split_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Splits that a store keeps, by the market segments of customers: steps and counts of each split's users."""
+    steps = event_steps(spark, sf_dir).select("episode_id", "step", "ep_len", "value")
+    store = open_store(spark, "events", "1.0", fresh(spark, "cache"))
+    store.append(steps, "all")
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("episode_id")).distinct()
+    store.describe("events by user", users.withColumn("split", F.when(F.col("episode_id") % 5 == 0, "val").otherwise("train")))
+    parts = []
+    for split, n in store.info()["splits"].items():
+        data = TrajectoryDataset.from_store(store, split=split)
+        parts.append(data.steps.select(F.lit(split).alias("split"), F.lit(n).cast("long").alias("n_episodes"), "episode_id", "step", "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def wrapped_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested orders whose steps have one number as their observation: it becomes a field, now and next."""
+    lines = line_steps(spark, sf_dir).select("episode_id", F.struct("step", F.col("l_quantity").cast("double").alias("observation")).alias("s"))
+    nested = lines.groupBy("episode_id").agg(F.array_sort(F.collect_list("s")).alias("steps")).withColumn("steps", F.transform("steps", lambda s: F.struct(s["observation"].alias("observation"))))
+    made = TrajectoryDataset.from_nested(nested).steps
+    return made.select("episode_id", "step", F.col("observation.obs").alias("obs"), F.col("next.observation.obs").alias("next_obs"))
+
+
+def kept_map_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A global map that is kept: customers of even nations first, then all, whose new tasks come behind."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("task_id"), F.col("c_custkey").cast("long").alias("episode_id"))
+    path = fresh(spark, "map")
+    kept_episode_map(rows.where("task_id % 2 = 0"), path)
+    return kept_episode_map(rows, path)
+
+
+QUERIES = {f.__name__: f for f in (record_shard_steps, archive_video_steps, long_episode_windows, long_episode_transitions, skewed_episode_index, skill_segments_of_one_episode, exact_event_percentiles, stream_unnumbered_transitions, stored_split_steps, wrapped_observations, kept_map_episodes)}
 _ALL = "al AS (SELECT *, (row_number() OVER (ORDER BY ts, event_id) - 1)::INT AS step, count(*) OVER () AS n FROM events)"
 ORACLE_SQL = {
+    "stored_split_steps": f"""WITH {EVENTS_SQL}, s AS (SELECT CASE WHEN user_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, * FROM ev)
+SELECT split, (SELECT count(DISTINCT user_id) FROM s t WHERE t.split = s.split) AS n_episodes, episode_id, step, value FROM s""",
+    "wrapped_observations": f"""WITH {LINES_SQL} SELECT a.episode_id, a.step, a.l_quantity::DOUBLE AS obs, b.l_quantity::DOUBLE AS next_obs
+FROM ln a JOIN ln b ON a.episode_id = b.episode_id AND b.step = least(a.ep_len - 1, a.step + 1)""",
+    "kept_map_episodes": "SELECT row_number() OVER (ORDER BY c_nationkey % 2, c_nationkey, c_custkey) - 1 AS global_id, c_nationkey::BIGINT AS task_id, c_custkey::BIGINT AS episode_id FROM customer",
     "stream_unnumbered_transitions": f"""WITH {TURNS_SQL} SELECT a.episode_id, a.step, a.role, b.role AS next_role, b.turn AS next_turn, a.step = a.ep_len - 1 AS done
 FROM tn a JOIN tn b ON a.episode_id = b.episode_id AND b.step = least(a.ep_len - 1, a.step + 1)""",
     "record_shard_steps": f"WITH {EVENTS_SQL} SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS place, user_id, step, event_id, value FROM ev",

@@ -280,6 +280,32 @@ class EpisodeStore:
             raise ValueError(f"{lost.count()} of the episodes are not stored")
         return flat_index_of(self.stored(wanted).drop("flat_index"), self.index(wanted))
 
+    def describe(self, description: str = "", splits: DataFrame | None = None) -> None:
+        """Keep a description, and the split of every episode of ``splits`` (``episode_id, split``, an episode once)."""
+        known = [int(n[:-5]) for n in files.names_in(self.spark, f"{self.root}/info") if n.endswith(".json") and n[:-5].isdigit()]
+        told = {"description": description, "splits": {}, "members": None}
+        if splits is not None:
+            told["members"] = f"splits/{uuid.uuid4().hex}"
+            splits.select("episode_id", "split").write.parquet(f"{self.root}/{told['members']}")
+            kept = self.spark.read.parquet(f"{self.root}/{told['members']}")
+            if not kept.groupBy("episode_id").count().where("count > 1").isEmpty():
+                files.delete(self.spark, f"{self.root}/{told['members']}")
+                raise ValueError("an episode is in more than one split")
+            told["splits"] = {r.split: r["count"] for r in kept.groupBy("split").count().orderBy("split").collect()}  # a row for each split
+        files.write_new_text(self.spark, f"{self.root}/info/{max(known, default=0) + 1:010d}.json", json.dumps(told))
+
+    def info(self) -> dict:
+        """The last description, and the number of episodes of each split."""
+        known = [n for n in files.names_in(self.spark, f"{self.root}/info") if n.endswith(".json") and n[:-5].isdigit()]
+        return json.loads(files.read_text(self.spark, f"{self.root}/info/{known[-1]}")) if known else {"description": "", "splits": {}, "members": None}
+
+    def split(self, name: str) -> DataFrame:
+        """``episode_id`` of the episodes of a split; a ``ValueError`` names the splits that there are."""
+        told = self.info()
+        if name not in told["splits"]:
+            raise ValueError(f"no split {name}, there are {', '.join(told['splits']) or 'none'}")
+        return self.spark.read.parquet(f"{self.root}/{told['members']}").where(F.col("split") == name).select("episode_id")
+
     def delete(self) -> None:
         """Remove the store with all it holds."""
         files.delete(self.spark, self.root)

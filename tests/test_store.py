@@ -6,7 +6,7 @@ from urllib.parse import unquote, urlparse
 import pytest
 from pyspark.sql import functions as F
 
-from episodica.dataset import TrajectoryDataset
+from episodica.dataset import TrajectoryDataset, cache_root, open_store
 from episodica.sources.store import EpisodeStore
 
 
@@ -133,3 +133,36 @@ def test_epoch_equals_single_samples(spark):
     some = data.batches(6, seed=16, planned=2)
     assert [key(next(some)) for _ in range(3)] == [key(data.sample(6, k)) for k in (16, 17, 18)]
     some.close()
+
+
+def test_descriptions_and_splits(spark, tmp_path, monkeypatch):
+    """Splits and description are kept with the store; an unknown split, and an episode in two of them, raise."""
+    monkeypatch.setenv("EPISODICA_CACHE", str(tmp_path))
+    store = open_store(spark, "/robots/", "1.2")
+    assert store.root == f"{tmp_path}/robots/1.2" and cache_root("/x") == "/x" and open_store(spark, "a", "", "/r").root == "/r/a"
+    store.append(made(spark, [3, 2, 4]), "0")
+    assert store.info()["splits"] == {}
+    with pytest.raises(ValueError, match="no split train, there are none"):
+        TrajectoryDataset.from_store(store, split="train")
+    splits = spark.createDataFrame([(0, "train"), (2, "train"), (1, "test")], "episode_id long, split string")
+    store.describe("three episodes", splits)
+    train = TrajectoryDataset.from_store(store, split="train")
+    assert (train.num_episodes(), train.num_steps()) == (2, 7)
+    assert train.info()["description"] == "three episodes" and train.info()["splits"] == {"test": 1, "train": 2}
+    with pytest.raises(ValueError, match="no split val, there are test, train"):
+        store.split("val")
+    with pytest.raises(ValueError, match="more than one"):
+        store.describe("", splits.union(splits.limit(1)))
+    assert store.info()["description"] == "three episodes"
+
+
+@pytest.mark.parametrize("keep_text", [True, False])
+def test_observations_of_any_type(spark, keep_text):
+    """An observation that is no struct becomes one; the fields of a struct may be named like other columns."""
+    rows = [(0, [((1.0, "a"), [0.5]), ((2.0, "b"), [1.5])])]
+    nested = spark.createDataFrame(rows, "episode_id long, steps array<struct<observation:struct<action:double,word:string>,action:array<double>>>")
+    out = TrajectoryDataset.from_nested(nested, keep_text=keep_text).steps.orderBy("step").collect()
+    assert [r.observation.asDict() for r in out] == [{"action": 1.0} | ({"word": "a"} if keep_text else {}), {"action": 2.0} | ({"word": "b"} if keep_text else {})]
+    assert out[0].next.observation.action == 2.0 and out[0].action == [0.5]
+    plain = spark.createDataFrame([(0, [(7,), (8,)])], "episode_id long, steps array<struct<observation:int>>")
+    assert [(r.observation.obs, r.next.observation.obs) for r in TrajectoryDataset.from_nested(plain).steps.orderBy("step").collect()] == [(7, 8), (8, 8)]
