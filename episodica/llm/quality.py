@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from episodica.llm.shared import free_name, in_small_batches
+from episodica.llm.shared import free_name, in_small_batches, written
 from episodica.sources.tables import table
 
 #: Fixed values of the contract.
@@ -151,6 +152,28 @@ def ablation(entries: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     )
 
 
+def written_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ledger as a table without texts, from which any policy, also a later one, is applied without measuring again."""
+    return written(ledger(docs, text), "ledger")
+
+
+def compared(entries: DataFrame, policies: list[Policy]) -> DataFrame:
+    """Per policy: documents that it keeps, documents that it and no other rejects, and rules that reject any.
+
+    Entries are counted by their failure bits first, at most ``2 ** len(RULES)`` rows.
+    """
+    by_bits = entries.groupBy("failed").agg(F.count("*").alias("n"))
+    rejects = [F.col("failed").bitwiseAND(F.lit(p.mask)) != 0 for p in policies]
+    rows = []
+    for k, p in enumerate(policies):
+        others = [r for j, r in enumerate(rejects) if j != k]
+        alone = reduce(lambda a, b: a & ~b, others, rejects[k])
+        rows.append(F.struct(F.lit(p.version).alias("policy"), rejects[k].alias("out"), alone.alias("alone"), F.col("failed").bitwiseAND(F.lit(p.mask)).alias("bits")))
+    told = by_bits.select("n", F.explode(F.array(*rows)).alias("p")).select("n", "p.*")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return told.groupBy("policy").agg(count(~F.col("out")).alias("n_kept"), count(F.col("alone")).alias("n_rejected_alone"), F.bit_or("bits").alias("rules"))
+
+
 def filter_documents(docs: DataFrame, policy: Policy = DEFAULT, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with all their columns.
 
@@ -178,6 +201,11 @@ def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ablation(ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), POLICIES["v2"])
 
 
+def quality_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of the policy over one written ledger of all documents."""
+    return compared(written_ledger(table(spark, sf_dir, "documents").select("doc_id", "text")), list(POLICIES.values()))
+
+
 OP7_SQL = r"""
 WITH t AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
@@ -216,3 +244,11 @@ WITH q AS ({OP7_SQL}), r AS (SELECT * FROM (VALUES {", ".join(f"('{r.name}', {1
 SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits = bit) AS n_failed_alone
 FROM q, r GROUP BY rule
 """
+
+POLICIES_SQL = f"""
+WITH q AS ({OP7_SQL}), p AS (SELECT * FROM (VALUES {", ".join(f"('{p.version}', {p.mask})" for p in POLICIES.values())}) v(policy, mask))
+SELECT policy, count(*) FILTER (failed_bits & mask = 0) AS n_kept,
+       count(*) FILTER (failed_bits & mask <> 0 AND (SELECT count(*) FROM p o WHERE o.policy <> p.policy AND failed_bits & o.mask <> 0) = 0) AS n_rejected_alone,
+       bit_or(failed_bits & mask) AS rules
+FROM q, p GROUP BY policy
+"""

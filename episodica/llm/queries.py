@@ -19,6 +19,7 @@ QUERIES = {
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_conversation_repair": repair.op13_conversation_repair,
     "quality_ablation": quality.quality_ablation,
+    "quality_policies": quality.quality_policies,
     "warc_read_by_predicate": warc.warc_read_by_predicate,
 }
 ORACLE_SQL = {
@@ -32,5 +33,6 @@ ORACLE_SQL = {
     "op12_importance_resampling": resampling.OP12_SQL,
     "op13_conversation_repair": repair.OP13_SQL,
     "quality_ablation": quality.ABLATION_SQL,
+    "quality_policies": quality.POLICIES_SQL,
     "warc_read_by_predicate": warc.PREDICATE_SQL,
 }
