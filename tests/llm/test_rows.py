@@ -31,7 +31,7 @@ def test_query_matches_sql(spark, sf, name):
     got, want = queries.QUERIES[name](spark, sf).toPandas(), sql_rows(sf, queries.ORACLE_SQL[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    as_int = lambda df: df.assign(**{c: df[c].astype("Int64") for c in columns if c == "refers_to"})
+    as_int = lambda df: df.assign(**{c: df[c].astype("Int64") for c in columns if c in ("refers_to", "rank")})
     assert text_rows(as_int(got), columns) == text_rows(as_int(want), columns)
 
 
