@@ -37,7 +37,7 @@ def store_later_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = steps.where(F.col("episode_id") % PARTS == k)
         store.append(part if k < PARTS // 2 else part.withColumns({"bucket": F.col("event_id") % 5, "part": F.lit(f"p{k}"), "file": F.col("value") * 2}), str(k))
     store.compact()
-    return store.read().select("episode_id", "step", "event_id", "flat_index", "bucket", "part", "file")
+    return store.read().select("episode_id", "step", "event_id", "flat_index", F.coalesce("bucket", F.lit(-1)).alias("bucket"), "part", "file")
 
 
 def store_sample_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ ORACLE_SQL = {
     "store_completed_parts": f"""WITH {EVENTS_SQL} SELECT episode_id, step, event_id, row_number() OVER (ORDER BY episode_id, step) - 1 AS flat_index,
   CASE WHEN ep_len > 1 THEN 'some' ELSE 'rest' END AS batch, ep_len::BIGINT AS n_steps, true AS lacked FROM ev""",
     "store_later_columns": f"""WITH {EVENTS_SQL} SELECT episode_id, step, event_id, row_number() OVER (ORDER BY episode_id, step) - 1 AS flat_index,
-  CASE WHEN late THEN event_id % 5 END AS bucket, CASE WHEN late THEN 'p' || (episode_id % {PARTS}) END AS part, CASE WHEN late THEN value * 2 END AS file
+  CASE WHEN late THEN event_id % 5 ELSE -1 END AS bucket, CASE WHEN late THEN 'p' || (episode_id % {PARTS}) END AS part, CASE WHEN late THEN value * 2 END AS file
 FROM (SELECT *, episode_id % {PARTS} >= {PARTS // 2} AS late FROM ev)""",
     "store_sample_batch": f"WITH {EVENTS_SQL}, {_DRAWN} SELECT b, episode_id, anchor_step, event_id, {_PICK} FROM around WHERE seed = {SEEDS.start} GROUP BY b, episode_id, anchor_step, event_id",
     "epoch_batches": f"WITH {EVENTS_SQL}, {_DRAWN} SELECT seed, b, episode_id, anchor_step, event_id, {_PICK} FROM around GROUP BY seed, b, episode_id, anchor_step, event_id",
