@@ -55,8 +55,8 @@ class TrajectoryDataset:
 
     @classmethod
     def from_nested(cls, episodes: DataFrame, observation: list[str] | str = "observation", keep_text: bool = True, **options) -> TrajectoryDataset:
-        """From nested episodes ``(episode_id, steps array<struct>)``."""
-        return cls(to_transitions(explode_episodes(episodes), observation, keep_text), **options)
+        """From nested episodes ``(episode_id, steps array<struct>)``; bytes of text columns that are UTF-8 become text."""
+        return cls(to_transitions(schema.decoded(explode_episodes(episodes)), observation, keep_text), **options)
 
     @classmethod
     def from_records(cls, spark: SparkSession, path: str, schema: str, observation: list[str] | str = "observation", **options) -> TrajectoryDataset:
@@ -65,8 +65,8 @@ class TrajectoryDataset:
 
     @classmethod
     def from_tabular(cls, rows: DataFrame, tasks: list | None = None, episodes: list[int] | None = None, **options) -> TrajectoryDataset:
-        """From one row per frame; of the given tasks, and of the given episodes within them."""
-        made = cls(tabular_steps(rows if tasks is None else filter_tasks(rows, tasks)), **options)
+        """From one row per frame; of the given tasks, and of the given episodes within them. Bytes of text columns that are UTF-8 become text."""
+        made = cls(tabular_steps(schema.decoded(rows if tasks is None else filter_tasks(rows, tasks))), **options)
         return made if episodes is None else made.select(episodes)
 
     @classmethod

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from episodica.functions.names import kind_of_name
+from episodica.functions.names import kind_of_name, utf8_or_null
 
 #: Leaves that windows leave out, and columns that only keep books.
 UNWINDOWED = ("done", "terminated")
@@ -116,6 +116,17 @@ def without_text(df: DataFrame) -> DataFrame:
     return df.select(*kept(df.schema, ""))
 
 
+def decoded(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Bytes as text where they are UTF-8: the given binary columns, or those whose names say that they are text.
+
+    A column has one type, so bytes that are no UTF-8 go to ``<column>_bytes``, and the text is null there.
+    """
+    chosen = [f.name for f in df.schema if isinstance(f.dataType, T.BinaryType) and (kind_of_name(f.name) == "text" if columns is None else f.name in columns)]
+    given = {c: utf8_or_null(F.col(f"`{c}`")) for c in chosen}
+    left = {f"{c}_bytes": F.when(given[c].isNull(), F.col(f"`{c}`")) for c in chosen}
+    return df.select(*[given[c].alias(c) if c in given else F.col(f"`{c}`") for c in df.columns], *[v.alias(c) for c, v in left.items()])
+
+
 def require_leaf(df: DataFrame, path: str) -> Column:
     """The column of a path, or an error that lists what there is."""
     known = [p for p, _ in leaf_fields(df.schema)]

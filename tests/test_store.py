@@ -156,6 +156,19 @@ def test_descriptions_and_splits(spark, tmp_path, monkeypatch):
     assert store.info()["description"] == "three episodes"
 
 
+def test_bytes_become_text(spark):
+    """Bytes that are UTF-8 are text where a name says so; others are kept as bytes in a column of their own, images as they are."""
+    from episodica.operators import schema
+
+    rows = [(0, [(1.0, bytearray("grüße".encode())), (2.0, None)]), (1, [(3.0, bytearray(b"\xff\xfe"))])]
+    nested = spark.createDataFrame(rows, "episode_id long, steps array<struct<x:double,instruction:binary>>")
+    steps = TrajectoryDataset.from_nested(nested, ["x"]).steps
+    assert sorted((r.episode_id, r.step, r.instruction or "") for r in steps.collect()) == [(0, 0, "grüße"), (0, 1, ""), (1, 0, "")]
+    flat = spark.createDataFrame([(bytearray(b"ok"), bytearray(b"ok")), (bytearray(b"\xff"), bytearray(b"\xff"))], "caption binary, image binary")
+    assert [tuple(r) for r in schema.decoded(flat).select("caption", "caption_bytes", "image").collect()] == [("ok", None, b"ok"), (None, b"\xff", b"\xff")]
+    assert schema.decoded(flat, ["image"]).columns == ["caption", "image", "image_bytes"]
+
+
 @pytest.mark.parametrize("keep_text", [True, False])
 def test_observations_of_any_type(spark, keep_text):
     """An observation that is no struct becomes one; the fields of a struct may be named like other columns."""
