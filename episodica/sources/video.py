@@ -12,12 +12,6 @@ from episodica.sources.archives import aligned_frames, camera_members, member_fr
 from episodica.sources.tasks import DEFAULT_CAMERAS
 
 
-def needed_archives(tasks: DataFrame, listing: DataFrame) -> DataFrame:
-    """``path`` of every archive that holds an episode of the tasks, each once."""
-    found = require_archives(find_archives(tasks.select("task_id", "episode_id").distinct(), archives_of(listing)))
-    return found.select("path").distinct()
-
-
 def video_steps(tasks: DataFrame, cameras: dict[str, DataFrame], known: DataFrame | None = None) -> DataFrame:
     """Steps of episodes by global id: a frame of every camera, the task as language, no action.
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from episodica.dataset import TrajectoryDataset
 from episodica.functions.checksums import crc32c, masked_crc32c
-from episodica.sources import records
 from episodica.sources.records import nested_episodes, numbered_records, write_records
 
 
@@ -31,7 +30,7 @@ def test_checksums():
     assert masked_crc32c(b"") == 0xA282EAD8
 
 
-def test_round_trip(spark, tmp_path, monkeypatch):
+def test_round_trip(spark, tmp_path):
     """Records of all sizes come back in the order of shards, numbered without gaps; empty partitions make no gap."""
     payloads = [b"", b"a", random.Random(2).randbytes(9_000_000), b"\xff" * 5000] + [str(k).encode() for k in range(200)]
     made = spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(payloads)], "k int, payload binary")
