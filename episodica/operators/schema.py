@@ -80,9 +80,28 @@ def window_leaves(df: DataFrame) -> list[str]:
     ]
 
 
+def _listed(field: T.StructField, value: Column, path: str) -> Iterator[tuple[str, Column]]:
+    """Leaves of a value with their paths; the items of a list of known length are numbered segments."""
+    length = field.metadata.get("items")
+    if isinstance(field.dataType, T.StructType):
+        for inner in field.dataType:
+            yield from _listed(inner, value.getField(inner.name), f"{path}/{inner.name}")
+    elif isinstance(field.dataType, T.ArrayType) and length is not None:
+        for k in range(length):
+            item = T.StructField(str(k), field.dataType.elementType, True, {})
+            yield from _listed(item, F.get(value, F.lit(k)), f"{path}/{k}")
+    else:
+        yield path, value
+
+
 def flattened(df: DataFrame) -> DataFrame:
-    """Every leaf as a column named by its path."""
-    return df.select(*[leaf_column(p).alias(p) for p, _ in leaf_fields(df.schema)])
+    """Every leaf as a column named by its path.
+
+    An array whose field has the metadata ``items``, a number, is a list of so many values rather than a tensor: each of
+    them is a segment of the path by its place, and what is nested in it has paths of its own; places it lacks are null.
+    """
+    found = [leaf for f in df.schema for leaf in _listed(f, F.col(f"`{f.name}`"), f.name)]
+    return df.select(*[value.alias(path) for path, value in found])
 
 
 def nested(df: DataFrame, separator: str = ".") -> DataFrame:

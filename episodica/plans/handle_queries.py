@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.dataset import TrajectoryDataset
-from episodica.operators.schema import leaf_column
+from episodica.operators.schema import flattened, leaf_column
 from episodica.operators.tubelets import TubeletGrid
 from episodica.plans.steps import EVENTS_SQL, event_steps
 from episodica.plans.store_queries import fresh
@@ -16,6 +16,7 @@ from episodica.sources.catalog import Catalog, list_datasets, listing
 from episodica.sources.tables import table
 
 VERSIONS = ("1.0", "1.5", "1.10")
+ITEMS = 3
 GRID = TubeletGrid(3, 2, 0.2)
 
 
@@ -66,12 +67,23 @@ def default_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.select("b", "episode_id", "anchor_step", one("event_id").alias("event_id"), one("value").alias("value"), one("next/value").alias("next_value"), F.size("value").alias("frames"), "event_type")
 
 
-QUERIES = {f.__name__: f for f in (catalog_of_folders, spec_values, tubelets_of_any_batch_size, default_sample)}
+def listed_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' first three turns as a list of nested values: a column for every place and field."""
+    turn = F.struct("turn", F.struct("role", F.length("text").alias("size")).alias("said"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("all"))
+    nested = turns.select("conv_id", F.slice("all", 1, ITEMS).alias("turns", metadata={"items": ITEMS}))
+    return flattened(nested).toDF("conv_id", *[f"{n}{k}" for k in range(ITEMS) for n in ("turn", "role", "size")]).na.fill(-1).na.fill("")
+
+
+QUERIES = {f.__name__: f for f in (catalog_of_folders, spec_values, tubelets_of_any_batch_size, default_sample, listed_leaves)}
 _SPECS = (
     ("observation/wrist", "image", "float", "4x4x4"), ("observation/flat", "state", "float", "64"), ("observation/label", "state", "int", ""),
     ("other", "generic", "bigint", ""), ("caption", "text", "string", ""), ("action", "action", "float", ""),
 )
 ORACLE_SQL = {
+    "listed_leaves": "WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations) SELECT conv_id, "
+    + ", ".join(f"coalesce(max(turn) FILTER (k = {k}), -1) AS turn{k}, coalesce(max(role) FILTER (k = {k}), '') AS role{k}, coalesce(max(length(text)) FILTER (k = {k}), -1) AS size{k}" for k in range(ITEMS))
+    + " FROM n GROUP BY conv_id",
     "catalog_of_folders": f"""WITH c AS (SELECT 'dataset=' || lower(c_mktsegment) AS name, c_nationkey % {len(VERSIONS)} AS k, c_custkey FROM customer),
 v AS (SELECT name, string_agg(DISTINCT 'version=' || {list(VERSIONS)}[k + 1], ',' ORDER BY 'version=' || {list(VERSIONS)}[k + 1]) AS any_order, max(k) AS top, list_reverse(list_sort(list(DISTINCT k))) AS ks FROM c GROUP BY name)
 SELECT v.name, array_to_string(list_transform(ks, lambda k: 'version=' || {list(VERSIONS)}[k + 1]), ',') AS versions, v.name || '/version=' || {list(VERSIONS)}[top + 1] AS newest,
