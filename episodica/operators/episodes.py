@@ -52,13 +52,13 @@ def with_range(ids: DataFrame) -> DataFrame:
     Bounds are quantiles of a sketch that every task adds its ids to; at most ``ID_RANGES`` of them come to the driver,
     so all that is made from the ranges sees the same ones. They are looked up in two steps.
     """
-    shares = F.array(*[F.lit(k / ID_RANGES) for k in range(1, ID_RANGES)])
+    shares = F.expr(f"array({', '.join(f'{k / ID_RANGES!r}D' for k in range(1, ID_RANGES))})")  # one expression, not a call for each
     found = ids.agg(F.percentile_approx(F.col("episode_id").cast("bigint"), shares, ACCURACY).alias("bounds")).first().bounds
     bounds = sorted(set(found or []))
     side = max(1, math.isqrt(len(bounds)))
     heads = bounds[::side]
-    literal = lambda xs: F.array(*[F.lit(x).cast("bigint") for x in xs]).cast("array<bigint>")
-    groups = F.array(*[literal(bounds[k : k + side]) for k in range(0, len(bounds), side)]) if bounds else F.array(literal([]))
+    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    groups = F.array(*[literal(bounds[k : k + side]) for k in range(0, max(1, len(bounds)), side)])
     below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("episode_id")))
     head = F.greatest(F.lit(1), below(literal(heads)))
     return ids.withColumn("__head", head).withColumn("__range", ((F.col("__head") - 1) * side + below(F.get(groups, F.col("__head") - 1))).cast("bigint")).drop("__head")

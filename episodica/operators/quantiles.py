@@ -35,7 +35,7 @@ def _inside(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
 def _refined(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     """``wanted`` with smaller intervals."""
     interval = [*keys, "low", "high"]
-    grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    grid = F.expr(f"array({', '.join(f'{k / GRID!r}D' for k in range(GRID + 1))})")
     cuts = F.percentile_approx("value", grid, ACCURACY).alias("cuts")
     sketched = wanted.join(_inside(values, wanted.select(*interval).distinct(), keys).groupBy(*interval).agg(cuts), interval)
     at = F.floor((F.col("place") - F.col("below")) / F.col("n") * GRID).cast("int")
