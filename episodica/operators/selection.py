@@ -121,11 +121,20 @@ def kept_episode_map(episodes: DataFrame, path: str) -> DataFrame:
     return load_episode_map(spark, f"{path}/v={last + 1}")
 
 
+def _part_of_archive(path: str, k: int) -> Column:
+    return F.regexp_extract(path, r"(?:^|/)(\d+)/(\d+)-(\d+)\.tar$", k)
+
+
+def task_of_archive(path: str) -> Column:
+    """The task that the column ``path`` of an archive names."""
+    return _part_of_archive(path, 1).cast("bigint")
+
+
 def archives_of(paths: DataFrame) -> DataFrame:
     """``task_id, first, last, position, path`` of archives named ``.../{task}/{first}-{last}.tar``."""
-    part = lambda k: F.regexp_extract("path", r"(?:^|/)(\d+)/(\d+)-(\d+)\.tar$", k)
+    part = lambda k: _part_of_archive("path", k)
     return paths.where(part(1) != "").select(
-        part(1).cast("bigint").alias("task_id"), part(2).cast("bigint").alias("first"), part(3).cast("bigint").alias("last"), "position", "path"
+        task_of_archive("path").alias("task_id"), part(2).cast("bigint").alias("first"), part(3).cast("bigint").alias("last"), "position", "path"
     )
 
 

@@ -48,8 +48,10 @@ def archive_video_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.floor(F.col("episode_id") / 100) * 100
     path = F.concat_ws("/", F.lit("observations"), F.col("task_id"), F.concat(block, F.lit("-"), block + 99, F.lit(".tar")))
     files = videos.join(customers, "episode_id").select(path.alias("name"), F.concat(F.col("episode_id"), F.lit("/videos/"), "camera", F.lit(".mp4")).alias("member"), F.col("content").cast("binary").alias("content"))
-    written = write_archives(files.withColumn("path", F.concat(F.lit(f"{root}/"), "name"))).collect()  # one row for each archive
-    listing = spark.createDataFrame([(k, p) for k, p in enumerate(sorted(r.path.removeprefix(f"{root}/") for r in written))], "position int, path string")
+    listed = fresh(spark, "listing")
+    write_archives(files.withColumn("path", F.concat(F.lit(f"{root}/"), "name"))).write.parquet(listed)  # one row for each archive
+    name = F.expr(f"substring(path, {len(root) + 2})")
+    listing = spark.read.parquet(listed).select(name.alias("position"), name.alias("path"))  # in order of names
     steps = read_videos(tasks, listing, root, bytes.split, ("head", "hand"))
     return steps.select("episode_id", "step", "ep_len", F.col("head").cast("string").alias("head"), F.col("hand").cast("string").alias("hand"), "language_instruction")
 

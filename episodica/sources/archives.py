@@ -1,7 +1,8 @@
 """Members of archives: found by their headers, read by their ranges, decoded once.
 
-No row holds an archive, or a member before it is decoded: rows of an index say where members lie, are dealt out evenly,
-and tasks read the ranges they name. So an archive may be of any size, and its members are decoded by many tasks.
+No row holds an archive, or a member before it is decoded: rows of an index say where members lie, are dealt out by blocks
+of an archive, and tasks read the ranges they name. So an archive may be of any size, and its members are decoded by many
+tasks; and many small archives are opened once to find their members and once to read them, not once for each member.
 """
 
 from __future__ import annotations
@@ -10,38 +11,93 @@ import io
 import tarfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MEMBERS = "path string, member string, offset bigint, size bigint"
 FRAMES = "path string, member string, n_frames int, step int, value binary"
-#: Bytes of frames that are handed to Spark at once.
+WRITTEN = "path string, members bigint"
+#: Bytes of frames, and rows, that are handed to Spark at once.
 BATCH_BYTES = 16 << 20
+BATCH_ROWS = 8192
+#: Bytes of an archive whose members are one task's.
+BLOCK_BYTES = 8 << 20
+#: Bytes that are read or written at once around headers.
+BUFFER_BYTES = 16 << 10
+
+_KINDS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(held: list[tuple], layout: str) -> pa.RecordBatch:
+    names, kinds = zip(*[c.split() for c in layout.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=list(names))
+
+
+def _dealt(rows: DataFrame, *by: str | Column) -> DataFrame:
+    """``rows`` dealt out to all of the session's shuffle partitions, which Spark would join where rows are small.
+
+    What a task does with a row of this module, opening a file, takes longer than its bytes tell.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = []
     for batch in batches:
         for path in batch.column("path").to_pylist():
             store, at = fs.FileSystem.from_uri(path)
-            with store.open_input_file(at) as source, tarfile.open(fileobj=source, mode="r:") as archive:
-                found = [(path, m.name, m.offset_data, m.size) for m in archive if m.isfile()]
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
-            columns = zip(*found, strict=True) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "member", "offset", "size"])
+            with store.open_input_file(at) as source, tarfile.open(fileobj=io.BufferedReader(source, BUFFER_BYTES), mode="r:") as archive:
+                for m in archive:
+                    if m.isfile():
+                        held.append((path, m.name, m.offset_data, m.size))
+                    if len(held) >= BATCH_ROWS:
+                        yield _batch(held, MEMBERS)
+                        held = []
+    if held:
+        yield _batch(held, MEMBERS)
 
 
 def members(paths: DataFrame) -> DataFrame:
     """``path, member, offset, size`` of the files in uncompressed archives ``path``; only headers are read."""
-    return paths.select("path").distinct().mapInArrow(_index, MEMBERS)
+    return _dealt(paths.select("path").distinct()).mapInArrow(_index, MEMBERS)
 
 
-def _batch(path: str, member: str, n: int, first: int, held: list[bytes]) -> pa.RecordBatch:
-    k = len(held)
-    arrays = [pa.array([path] * k), pa.array([member] * k), pa.array([n] * k, pa.int32()), pa.array(range(first, first + k), pa.int32()), pa.array(held, pa.binary())]
-    return pa.RecordBatch.from_arrays(arrays, names=["path", "member", "n_frames", "step", "value"])
+def _frames(batches: Iterator[pa.RecordBatch], decode: Callable[[bytes], list[bytes]], strict: bool) -> Iterator[pa.RecordBatch]:
+    path = source = None
+    held, size = [], 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["path"] != path:
+                if source is not None:
+                    source.close()
+                path = row["path"]
+                store, at = fs.FileSystem.from_uri(path)
+                source = store.open_input_file(at)
+            source.seek(row["offset"])
+            content = source.read(row["size"])
+            try:
+                found = decode(content)
+            except (ValueError, OSError, EOFError) as error:
+                if strict:
+                    raise ValueError(f"{row['member']} of {path} can't be decoded") from error
+                continue
+            if strict and not len(found):
+                raise ValueError(f"{row['member']} of {path} has no frames")
+            for k, frame in enumerate(found):
+                held.append((path, row["member"], len(found), k, bytes(frame)))
+                size += len(frame)
+                if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                    yield _batch(held, FRAMES)
+                    held, size = [], 0
+    if source is not None:
+        source.close()
+    if held:
+        yield _batch(held, FRAMES)
 
 
 def member_frames(index: DataFrame, decode: Callable[[bytes], list[bytes]], strict: bool = False) -> DataFrame:
@@ -49,32 +105,8 @@ def member_frames(index: DataFrame, decode: Callable[[bytes], list[bytes]], stri
 
     A member on which ``decode`` fails or that has no frames is an error if ``strict``, else it has no rows.
     """
-
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                store, at = fs.FileSystem.from_uri(row["path"])
-                with store.open_input_file(at) as source:
-                    source.seek(row["offset"])
-                    content = source.read(row["size"])
-                try:
-                    found = decode(content)
-                except (ValueError, OSError, EOFError) as error:
-                    if strict:
-                        raise ValueError(f"{row['member']} of {row['path']} can't be decoded") from error
-                    continue
-                if strict and not len(found):
-                    raise ValueError(f"{row['member']} of {row['path']} has no frames")
-                held, size, first = [], 0, 0
-                for k, frame in enumerate(found):
-                    held.append(bytes(frame))
-                    size += len(frame)
-                    if size >= BATCH_BYTES or k == len(found) - 1:
-                        yield _batch(row["path"], row["member"], len(found), first, held)
-                        held, size, first = [], 0, k + 1
-
-    dealt = index.select("path", "member", "offset", "size").repartition("path", "offset")
-    return dealt.mapInArrow(frames, FRAMES)
+    dealt = _dealt(index.select("path", "member", "offset", "size"), "path", F.floor(F.col("offset") / BLOCK_BYTES))
+    return dealt.sortWithinPartitions("path", "offset").mapInArrow(lambda batches: _frames(batches, decode, strict), FRAMES)
 
 
 def camera_members(index: DataFrame, cameras: tuple[str, ...]) -> DataFrame:
@@ -90,38 +122,48 @@ def aligned_frames(frames: DataFrame, keys: list[str], cameras: tuple[str, ...])
     ``frames`` has ``keys, camera, n_frames, step, value``. As a frame tells how many its video has, lengths need no
     second look at the frames: an episode is as long as its shortest camera.
     """
-    of = lambda c: F.max(F.when(F.col("camera") == c, F.col("value"))).alias(c)
-    met = frames.groupBy(*keys, "step").agg(F.count_distinct("camera").alias("n_cameras"), F.min("n_frames").alias("ep_len"), *[of(c) for c in cameras])
+    own = lambda c, found: F.max(F.when(F.col("camera") == c, found))
+    n_cameras = reduce(add, [F.coalesce(own(c, F.lit(1)), F.lit(0)) for c in cameras])
+    met = frames.groupBy(*keys, "step").agg(n_cameras.alias("n_cameras"), F.min("n_frames").alias("ep_len"), *[own(c, F.col("value")).alias(c) for c in cameras])
     return met.where((F.col("n_cameras") == len(cameras)) & (F.col("step") < F.col("ep_len"))).drop("n_cameras")
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    path = archive = sink = None
-    n = 0
+    path = sink = None
+    n, held = 0, []
+
+    def put(data: bytes, block: int) -> None:
+        sink.write(data)
+        sink.write(bytes(-len(data) % block))
 
-    def close() -> pa.RecordBatch:
-        archive.close()
+    def close() -> None:
+        put(bytes(2 * tarfile.BLOCKSIZE), tarfile.BLOCKSIZE)
         sink.close()
         store.move(draft, at)
-        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "members"])
+        held.append((path, n))
 
     for batch in batches:
         for row in batch.to_pylist():
             if row["path"] != path:
                 if path is not None:
-                    yield close()
+                    close()
+                if len(held) >= BATCH_ROWS:
+                    yield _batch(held, WRITTEN)
+                    held.clear()
                 path, n = row["path"], 0
                 store, at = fs.FileSystem.from_uri(path)
                 store.create_dir(at.rpartition("/")[0], recursive=True)
                 draft = f"{at}.{uuid.uuid4().hex}.tmp"
-                sink = store.open_output_stream(draft)
-                archive = tarfile.open(fileobj=sink, mode="w|")
+                sink = store.open_output_stream(draft, buffer_size=BUFFER_BYTES)
             info = tarfile.TarInfo(row["member"])
             info.size = len(row["content"])
-            archive.addfile(info, io.BytesIO(row["content"]))
+            sink.write(info.tobuf(tarfile.GNU_FORMAT, "utf-8"))
+            put(row["content"], tarfile.BLOCKSIZE)
             n += 1
     if path is not None:
-        yield close()
+        close()
+    if held:
+        yield _batch(held, WRITTEN)
 
 
 def write_archives(files: DataFrame) -> DataFrame:
@@ -130,5 +172,5 @@ def write_archives(files: DataFrame) -> DataFrame:
     An archive is one file and so one task's stream, in order of its members; it gets its name when it is whole, and a
     repeated attempt puts the same in its place.
     """
-    dealt = files.select("path", "member", "content").repartition("path").sortWithinPartitions("path", "member")
-    return dealt.mapInArrow(_write, "path string, members bigint")
+    dealt = _dealt(files.select("path", "member", "content"), "path").sortWithinPartitions("path", "member")
+    return dealt.mapInArrow(_write, WRITTEN)

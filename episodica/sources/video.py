@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from episodica.operators.selection import align_cameras, archives_of, find_archives, global_episode_map, require_archives
+from episodica.operators.selection import align_cameras, archives_of, find_archives, global_episode_map, require_archives, task_of_archive
 from episodica.sources.archives import aligned_frames, camera_members, member_frames, members
 from episodica.sources.tasks import DEFAULT_CAMERAS
 
@@ -40,13 +40,13 @@ def _as_steps(observed: DataFrame, cameras: tuple[str, ...]) -> DataFrame:
 def read_videos(tasks: DataFrame, listing: DataFrame, root: str, decode: Callable[[bytes], list[bytes]], cameras: tuple[str, ...] = DEFAULT_CAMERAS) -> DataFrame:
     """Steps of the tasks' episodes from archives under ``root``.
 
-    Only archives that hold an episode are opened, only the episodes' videos read, and each is decoded once.
+    Only archives that hold an episode are opened, only the episodes' videos read, and each is decoded once. Where
+    episodes lie stays persisted for the result's readers, as it is looked up to be checked already.
     """
-    found = require_archives(find_archives(tasks.select("task_id", "episode_id").distinct(), archives_of(listing)))
-    located = found.select("task_id", "episode_id", F.concat(F.lit(f"{root.rstrip('/')}/"), "path").alias("path"))
+    found = require_archives(find_archives(tasks.select("task_id", "episode_id").distinct(), archives_of(listing)).persist())
+    located = found.select("episode_id", F.concat(F.lit(f"{root.rstrip('/')}/"), "path").alias("path"))
     index = camera_members(members(located), cameras).join(located, ["path", "episode_id"], "left_semi")
-    frames = member_frames(index, decode, strict=True)
-    named = camera_members(frames, cameras).join(located, ["path", "episode_id"])
+    named = camera_members(member_frames(index, decode, strict=True), cameras).withColumn("task_id", task_of_archive("path"))
     observed = aligned_frames(named, ["task_id", "episode_id"], cameras)
     numbered = global_episode_map(tasks).join(tasks.select("task_id", "episode_id", "task_name"), ["task_id", "episode_id"])
     return _as_steps(numbered.join(observed, ["task_id", "episode_id"]), cameras)

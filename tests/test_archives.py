@@ -3,6 +3,7 @@
 import io
 import tarfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,69 @@ def test_frames_that_fail(spark, root, tmp_path):
     assert {r.member: (r.n, r.told) for r in kept} == {"13/videos/head.mp4": (4, 4), "13/videos/hand.mp4": (4, 4)}
     with pytest.raises(Exception, match="can't be decoded|has no frames"):
         member_frames(index, decode, strict=True).collect()
+
+
+def test_many_small_archives(spark, tmp_path, monkeypatch):
+    """Archives are opened once for their headers and once for their frames, by many tasks, and come in few batches."""
+    from episodica.sources import archives
+
+    paths = [f"{tmp_path}/{k}/0-9.tar" for k in range(50)]
+    long = "deep/" * 60
+    wanted = {(p, f"{e}/videos/{c}.mp4"): f"{k} {e} {c}".encode() for k, p in enumerate(paths) for e in (*range(5), long) for c in ("head", "hand")}
+    rows = [pa.RecordBatch.from_pylist([{"path": p, "member": m, "content": c}]) for (p, m), c in sorted(wanted.items())]
+    written = list(archives._write(iter(rows)))
+    assert len(written) == 1 and [(r["path"], r["members"]) for r in written[0].to_pylist()] == [(p, 12) for p in sorted(paths)]
+    for p in paths:
+        with tarfile.open(p) as a:
+            assert {(p, m.name): a.extractfile(m).read() for m in a} == {k: v for k, v in wanted.items() if k[0] == p}
+
+    opened, real = [], archives.fs.FileSystem
+
+    class Counted:
+        @staticmethod
+        def from_uri(path):
+            opened.append(path)
+            return real.from_uri(path)
+
+    index = list(archives._index(iter([pa.RecordBatch.from_pydict({"path": paths})])))
+    assert len(index) == 1 and index[0].num_rows == len(wanted)
+    found = members(spark.createDataFrame([(p,) for p in paths], "path string"))
+    assert found.select("path", F.spark_partition_id().alias("task")).groupBy("task").count().count() == 4
+    frames = archives.member_frames(spark.createDataFrame(index[0].to_pylist()), lambda content: [content[k : k + 1] for k in range(len(content))])
+    assert frames.select(F.spark_partition_id()).distinct().count() == 4
+    got = {}
+    for r in frames.orderBy("path", "member", "step").collect():
+        got[r.path, r.member] = got.get((r.path, r.member), b"") + bytes(r.value)
+    assert got == wanted
+    monkeypatch.setattr(archives.fs, "FileSystem", Counted)
+    ordered = pa.RecordBatch.from_pylist(sorted(index[0].to_pylist(), key=lambda r: (r["path"], r["offset"])))
+    batches = list(archives._frames(iter([ordered]), lambda content: [content], True))
+    assert opened == sorted(paths) and len(batches) == 1 and batches[0].num_rows == len(wanted)
+
+
+def test_batches_end_at_a_number_of_rows_and_bytes(tmp_path, monkeypatch):
+    from episodica.sources import archives
+
+    path = str(tmp_path / "7/0-9.tar")
+    files = [{"path": path, "member": f"{k}/videos/head.mp4", "content": bytes([k]) * 5} for k in range(7)]
+    monkeypatch.setattr(archives, "BATCH_ROWS", 3)
+    assert [b.num_rows for b in archives._write(iter([pa.RecordBatch.from_pylist(files)]))] == [1]
+    index = list(archives._index(iter([pa.RecordBatch.from_pydict({"path": [path]})])))
+    assert [b.num_rows for b in index] == [3, 3, 1]
+    monkeypatch.setattr(archives, "BATCH_BYTES", 2)
+    frames = list(archives._frames(iter(index), lambda content: [content[:1]] * 2, True))
+    assert [b.num_rows for b in frames] == [2] * 7
+    assert [r["step"] for b in frames for r in b.to_pylist()] == [0, 1] * 7
+
+
+def test_listing_of_archives_stays_off_the_driver(spark, sf, monkeypatch):
+    """The query's archives are as many as its input: their names are no list of the driver."""
+    from pyspark.sql import DataFrame
+
+    from episodica.plans import source_queries
+
+    def refused(self):
+        raise AssertionError("rows of archives on the driver")
+
+    monkeypatch.setattr(DataFrame, "collect", refused)
+    assert source_queries.archive_video_steps(spark, sf).count() > 0
