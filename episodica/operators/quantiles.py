@@ -1,10 +1,13 @@
-"""Exact percentiles per key by narrowing: no task holds a key's values, and values are never exchanged.
+"""Exact percentiles per key by narrowing: no task holds a key's values, and values are not exchanged.
 
 A percentile is one or two order statistics. Each of them is looked for in an interval of values that is known to hold
 it, at first all values of the key. A pass makes a sketch of each interval, partially in every task, and takes two of
 its quantiles around the wanted place; then it counts what is below, at, between and above them, exactly. The part that
 holds the place is the next interval, some hundredth of the last one whatever the distribution, and the counts are
 right even where the sketch is not. A part of one value is an answer, and parts of at most ``FEW`` values are sorted.
+
+Intervals are broadcast to the values, as Spark takes them for large as the values they come from and would exchange
+those by key. Only more than ``BROADCAST`` intervals are exchanged, and values with them, dealt out by ``SALTS``.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from pyspark.sql import functions as F
 GRID = 256
 ACCURACY = 4096
 FEW = 10_000
+#: Intervals that are broadcast; parts in which a key's values are dealt out where there are more.
+BROADCAST = 200_000
+SALTS = 64
 
 
 def _wanted(sizes: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
@@ -28,22 +34,28 @@ def _wanted(sizes: DataFrame, keys: list[str], shares: list[float]) -> DataFrame
     return sizes.select(*keys, F.explode(places).alias("place"), "low", "high", F.lit(0).cast("bigint").alias("below"), "n")
 
 
-def _inside(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    return values.join(wanted, keys).where(F.col("value").between(F.col("low"), F.col("high")))
+def _inside(values: DataFrame, wanted: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``values`` by the intervals of ``wanted``, at most ``n`` of them, that hold them."""
+    if n <= BROADCAST:
+        met = values.join(F.broadcast(wanted), keys)
+    else:
+        salted = values.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
+        met = salted.join(wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"]).drop("_salt")
+    return met.where(F.col("value").between(F.col("low"), F.col("high")))
 
 
-def _refined(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """``wanted`` with smaller intervals."""
+def _refined(values: DataFrame, wanted: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``wanted``, ``n`` rows, with smaller intervals."""
     interval = [*keys, "low", "high"]
     grid = F.expr(f"array({', '.join(f'{k / GRID!r}D' for k in range(GRID + 1))})")
     cuts = F.percentile_approx("value", grid, ACCURACY).alias("cuts")
-    sketched = wanted.join(_inside(values, wanted.select(*interval).distinct(), keys).groupBy(*interval).agg(cuts), interval)
+    sketched = wanted.join(_inside(values, wanted.select(*interval).distinct(), keys, n).groupBy(*interval).agg(cuts), interval)
     at = F.floor((F.col("place") - F.col("below")) / F.col("n") * GRID).cast("int")
     cut = lambda k: F.get("cuts", F.greatest(F.lit(0), F.least(F.lit(GRID), k)))
     aimed = sketched.select(*interval, "place", "below", cut(at - 1).alias("a"), cut(at + 2).alias("b"))
     v = F.col("value")
     part = F.when(v < F.col("a"), 0).when(v == F.col("a"), 1).when(v < F.col("b"), 2).when(v == F.col("b"), 3).otherwise(4)
-    parts = _inside(values, aimed, keys).groupBy(*keys, "place", "below", part.alias("part")).agg(
+    parts = _inside(values, aimed, keys, n).groupBy(*keys, "place", "below", part.alias("part")).agg(
         F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     order = W.partitionBy(*keys, "place").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # at most five rows
@@ -52,9 +64,9 @@ def _refined(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame
     return counted.where(holds).select(*keys, "place", "low", "high", "below", "n")
 
 
-def _sorted(values: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, place, found`` from intervals of at most ``FEW`` values."""
-    listed = _inside(values, wanted, keys).groupBy(*keys, "place", "below").agg(F.array_sort(F.collect_list("value")).alias("vs"))
+def _sorted(values: DataFrame, wanted: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``keys, place, found`` from ``n`` intervals of at most ``FEW`` values."""
+    listed = _inside(values, wanted, keys, n).groupBy(*keys, "place", "below").agg(F.array_sort(F.collect_list("value")).alias("vs"))
     return listed.select(*keys, "place", F.get("vs", (F.col("place") - F.col("below")).cast("int")).alias("found"))
 
 
@@ -74,11 +86,12 @@ def exact_percentiles(values: DataFrame, keys: list[str], value: Column, shares:
         kept.append(open_)
         one, few = F.col("low") == F.col("high"), F.col("n") <= FEW
         answers.append(open_.where(one).select(*keys, "place", F.col("low").alias("found")))
-        answers.append(_sorted(known, open_.where(~one & few), keys))
-        rest = open_.where(~one & ~few)
-        if rest.isEmpty():
+        n_few, n_rest = open_.agg(F.count_if(~one & few), F.count_if(~one & ~few)).first()
+        if n_few:
+            answers.append(_sorted(known, open_.where(~one & few), keys, n_few))
+        if not n_rest:
             break
-        open_ = _refined(known, rest, keys).persist()
+        open_ = _refined(known, open_.where(~one & ~few), keys, n_rest).persist()
     found = reduce(DataFrame.unionByName, answers)
     by_key = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", "found"))).alias("at"))
 

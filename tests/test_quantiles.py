@@ -49,3 +49,45 @@ def test_no_task_holds_a_channel(spark):
     want = data.groupBy("k").agg(F.percentile("x", F.lit(0.01)).alias("lo"), F.percentile("x", F.lit(0.99)).alias("hi")).first()
     row = out.first()
     assert abs(row.lo - want.lo) < 1e-9 and abs(row.hi - want.hi) < 1e-9
+
+
+def shuffled(spark, run):
+    """Records that ``run``'s stages write to shuffles, and the most that one task reads from them."""
+    sc = spark.sparkContext
+    store, jvm = sc._jsc.sc().statusStore(), sc._jvm
+
+    def stages():
+        found = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s for s in (found.apply(k) for k in range(found.size()))}
+
+    before = stages().keys()
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    new = {k: s for k, s in stages().items() if k not in before}
+    read = 0
+    for stage, attempt in new:
+        tasks = store.taskList(stage, attempt, 1000)
+        metrics = [tasks.apply(k).taskMetrics() for k in range(tasks.size())]
+        read = max([read, *[m.get().shuffleReadMetrics().recordsRead() for m in metrics if m.isDefined()]])
+    return sum(s.shuffleWriteRecords() for s in new.values()), read
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_values_are_not_exchanged(spark, monkeypatch, broadcast):
+    """Values of one key stay where they are, however large Spark takes the intervals for; many intervals deal them out."""
+    n = 120_000
+    monkeypatch.setattr(quantiles, "BROADCAST", broadcast, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # partitions are small here
+    try:
+        data = spark.range(0, n, 1, 4).select((F.col("id") % 1).alias("k"), (F.col("id") * 7919 % n).cast("double").alias("x"))
+        got = []
+        written, read = shuffled(spark, lambda: got.append(exact_percentiles(data, ["k"], F.col("x"), {"lo": 0.01, "hi": 0.99}).first()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got[0].lo == pytest.approx(0.01 * (n - 1), abs=1e-6) and got[0].hi == pytest.approx(0.99 * (n - 1), abs=1e-6)
+    if broadcast:
+        assert written < n / 100
+    else:
+        assert read < n / 2
